@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = []
+MODULES = ["pages"]
 
 
 def query_modules() -> list:
