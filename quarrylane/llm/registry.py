@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["pages"]
+MODULES = ["stable_sample", "packing", "mixing", "pages"]
 
 
 def query_modules() -> list:
