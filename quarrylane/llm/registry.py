@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["stable_sample", "packing", "mixing", "pages"]
+MODULES = ["pairs", "stable_sample", "packing", "mixing", "pages"]
 
 
 def query_modules() -> list:
