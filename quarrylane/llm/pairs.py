@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -18,13 +17,9 @@ from .truncation import cut_texts
 COPY_SHARE = 0.2
 #: Bytes of a frame that says nothing.
 _FRAME = 8
-_QUOTE = re.compile(r"^[\s>*|]+|[\s*]+$", re.MULTILINE)
-_SPACE = re.compile(r"\s+")
-
-
 def plain(text: str) -> str:
-    """Lower case, without quotation marks of mail and with single spaces."""
-    return _SPACE.sub(" ", _QUOTE.sub(" ", text).lower()).strip()
+    """Lower case, without marks of quoting and emphasis and with single spaces."""
+    return " ".join(text.lower().replace(">", " ").replace("*", " ").replace("|", " ").split())
 
 
 class CopyMeter:
