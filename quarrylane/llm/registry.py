@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["pairs", "stable_sample", "packing", "mixing", "pages"]
+MODULES = ["filers", "pairs", "stable_sample", "packing", "mixing", "pages"]
 
 
 def query_modules() -> list:
