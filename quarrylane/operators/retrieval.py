@@ -44,8 +44,8 @@ def terms(c: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Words of two characters or more without stop words, and their neighbouring pairs."""
     words = F.regexp_extract_all(lexical_text(c), F.lit(r"\b(\w\w+)\b"), 1)
     kept = F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: ~w.isin(stop_words))
-    pairs = F.transform(kept, lambda w, i: F.concat_ws(" ", w, F.get(kept, i + 1)))
-    return F.concat(kept, F.when(F.size(kept) > 1, F.slice(pairs, 1, F.size(kept) - 1)).otherwise(F.array().cast("array<string>")))
+    pairs = F.zip_with(kept, F.slice(kept, F.lit(2), F.size(kept)), lambda w, x: F.when(x.isNotNull(), F.concat_ws(" ", w, x)))
+    return F.concat(kept, F.array_compact(pairs))
 
 
 def _rank(scored: DataFrame, group: str, item: str) -> DataFrame:
