@@ -73,9 +73,9 @@ def draw_candidates(targets: DataFrame, pool: DataFrame, *, quotas: dict[str, in
 
     drawn = got.groupBy("deal_id").agg(F.count("*").alias("k"), F.collect_set("ticker").alias("used"))
     short = t.join(drawn, "deal_id", "left").select("deal_id", "own", (F.lit(total) - F.coalesce("k", F.lit(0))).alias("deficit"), F.coalesce("used", F.array().cast("array<string>")).alias("used")).where("deficit > 0")
-    ring = base.select("ticker", "h", F.pmod(F.xxhash64("ticker"), F.lit(64)).alias("part"))
+    ring = base.select("ticker", "h", F.left("h", F.lit(2)).alias("part"))  # parts follow one another in the order of the digest
     counts = ring.groupBy("part").agg(F.count("*").alias("c"))
-    before = counts.select("part", (F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c")).alias("before"))  # 64 rows
+    before = counts.select("part", (F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c")).alias("before"))  # 256 rows
     ring = ring.withColumn("i", F.row_number().over(W.partitionBy("part").orderBy("h", "ticker")) - 1).join(F.broadcast(before), "part").select("ticker", (F.col("i") + F.col("before")).alias("pos"))
     size = counts.agg(F.sum("c").alias("n"))  # one row
     more = short.join(F.broadcast(size)).where("n > 0")

@@ -127,8 +127,8 @@ def nearest(rows: DataFrame, queries: DataFrame, *, key: str, vector: str, k: in
     """
     part = lambda df, n: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("block"))
     n_rows, n_queries = max(1, -(-rows.count() // block)), max(1, -(-queries.count() // query_block))
-    of_rows = part(rows, n_rows).select(F.col("block").alias("rb"), "k", "v", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).cast("long").alias("qb"))
-    of_queries = part(queries, n_queries).select(F.col("block").alias("qb"), "k", "v", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).cast("long").alias("rb"))
+    of_rows = part(rows, n_rows).select(F.col("block").alias("rb"), "k", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))).alias("qb"))
+    of_queries = part(queries, n_queries).select(F.col("block").alias("qb"), "k", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("rb"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "k": [], "score": []}
