@@ -65,7 +65,7 @@ def parse_ranking_loose(text: Column) -> Column:
 
 def parse_names(text: Column) -> Column:
     """At most five generated names: the last final line, the last JSON object, or numbered lines of three characters or more."""
-    clean = lambda a: F.slice(F.filter(F.transform(a, F.trim), lambda x: x != ""), 1, MOST_NAMES)
+    clean = lambda a: F.slice(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != ""), 1, MOST_NAMES)
     final = F.from_json(F.try_element_at(_all(text, FINAL_TARGETS), F.lit(-1)), "array<string>")
     blob = F.from_json(F.try_element_at(_all(text, JSON_TARGETS, 0), F.lit(-1)), "targets array<string>")["targets"]
     lines = F.transform(F.split(F.trim(text), r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_extract(x, NUMBERED_LINE, 1)))

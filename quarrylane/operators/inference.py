@@ -30,20 +30,20 @@ def _pick(seed: str, b: Column, i: Column, n: Column) -> Column:
 def _resampled(cells: DataFrame, keys: Sequence[str], units: str, sums: int, resamples: int, seed: str) -> DataFrame:
     """keys, b and s0, s1, ...: sums over the drawn units, arrays of ``sums`` doubles."""
     n = F.size(units)
-    spread = cells.select(*keys, units, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    spread = cells.select(*keys, units, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__b"))
     zero = F.array(*[F.lit(0.0)] * sums)
 
     def add(s: Column, i: Column) -> Column:
-        u = F.get(units, _pick(seed, F.col("b"), i, n))
+        u = F.get(units, _pick(seed, F.col("__b"), i, n))
         return F.array(*[s[j] + u[j] for j in range(sums)])
 
     drawn = F.aggregate(F.sequence(F.lit(0), n - 1), zero, add)
-    return spread.where(n > 0).select(*keys, "b", drawn.alias("s")).select(*keys, "b", *[F.col("s")[j].alias(f"s{j}") for j in range(sums)])
+    return spread.where(n > 0).select(*keys, "__b", drawn.alias("__z")).select(*keys, "__b", *[F.col("__z")[j].alias(f"s{j}") for j in range(sums)])
 
 
 def _gather(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
     unit = F.struct(F.col(order).alias("o"), F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(unit)).alias("u")).select(*keys, F.transform("u", lambda x: x["v"]).alias("units"))
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(unit)).alias("__u")).select(*keys, F.transform("__u", lambda x: x["v"]).alias("__units"))
 
 
 def _tails(level: float) -> tuple[float, float]:
@@ -58,9 +58,9 @@ def mean_interval(df: DataFrame, keys: Sequence[str], value: str, order: str, *,
     """
     usable = df.na.drop(subset=[*keys, value])
     cells = _gather(usable, keys, order, [value])
-    means = _resampled(cells, keys, "units", 1, resamples, seed)
+    means = _resampled(cells, keys, "__units", 1, resamples, seed)
     low, high = _tails(level)
-    n = cells.select(*keys, F.size("units").alias("n"))
+    n = cells.select(*keys, F.size("__units").alias("n"))
     ci = means.join(n, list(keys)).groupBy(*keys).agg(F.percentile(F.col("s0") / F.col("n"), F.array(F.lit(low), F.lit(high))).alias("p"))
     flat = usable.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     return flat.join(ci, list(keys)).select(*keys, "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
@@ -76,18 +76,18 @@ def paired_interval(
     clusters are left out (give a row its own cluster with ``coalesce`` where it should stay).
     """
     usable = df.na.drop(subset=[*keys, difference, cluster])
-    sums = usable.groupBy(*keys, cluster).agg(F.sum(difference).alias("s"), F.count("*").alias("c"))
-    drawn = _resampled(_gather(sums, keys, cluster, ["s", "c"]), keys, "units", 2, resamples, seed).withColumn("m", F.col("s0") / F.col("s1"))
-    flat = sums.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("n_clusters"), (F.sum("s") / F.sum("c")).alias("mean"))
+    sums = usable.groupBy(*keys, cluster).agg(F.sum(difference).alias("__s"), F.count("*").alias("__c"))
+    drawn = _resampled(_gather(sums, keys, cluster, ["__s", "__c"]), keys, "__units", 2, resamples, seed).withColumn("__m", F.col("s0") / F.col("s1"))
+    flat = sums.groupBy(*keys).agg(F.sum("__c").alias("n"), F.count("*").alias("n_clusters"), (F.sum("__s") / F.sum("__c")).alias("mean"))
     low, high = _tails(level)
     d = F.col("mean")
-    centred = F.round(F.col("m") - d, 12)
+    centred = F.round(F.col("__m") - d, 12)
     out = drawn.join(flat, list(keys)).groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("n_clusters").alias("n_clusters"), F.first("mean").alias("mean"),
-        F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("p"),
-        F.avg((centred >= F.round(d, 12)).cast("double")).alias("above"), F.avg((centred <= F.round(d, 12)).cast("double")).alias("below"),
+        F.percentile("__m", F.array(F.lit(low), F.lit(high))).alias("__p"),
+        F.avg((centred >= F.round(d, 12)).cast("double")).alias("__above"), F.avg((centred <= F.round(d, 12)).cast("double")).alias("__below"),
     )
-    return out.select(*keys, "n", "n_clusters", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), F.least(F.lit(1.0), 2 * F.least("above", "below")).alias("p_value"))
+    return out.select(*keys, "n", "n_clusters", "mean", F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"), F.least(F.lit(1.0), 2 * F.least("__above", "__below")).alias("p_value"))
 
 
 def subset_interval(
@@ -100,16 +100,16 @@ def subset_interval(
     usable = df.na.drop(subset=[*keys, value, cluster])
     inside = F.coalesce(F.col(subset), F.lit(False))
     sums = usable.groupBy(*keys, cluster).agg(
-        F.sum(F.when(inside, F.col(value)).otherwise(0.0)).alias("ss"), F.count_if(inside).alias("sc"), F.sum(value).alias("s"), F.count("*").alias("c")
+        F.sum(F.when(inside, F.col(value)).otherwise(0.0)).alias("__ss"), F.count_if(inside).alias("__sc"), F.sum(value).alias("__s"), F.count("*").alias("__c")
     )
-    drawn = _resampled(_gather(sums, keys, cluster, ["ss", "sc", "s", "c"]), keys, "units", 4, resamples, seed)
+    drawn = _resampled(_gather(sums, keys, cluster, ["__ss", "__sc", "__s", "__c"]), keys, "__units", 4, resamples, seed)
     safe = F.when(F.col("s1") == 0, F.raise_error(F.lit("a resample holds no row of the subset"))).otherwise(F.col("s0") / F.col("s1"))
     low, high = _tails(level)
-    ci = drawn.select(*keys, (safe - F.col("s2") / F.col("s3")).alias("d")).groupBy(*keys).agg(F.percentile("d", F.array(F.lit(low), F.lit(high))).alias("p"))
+    ci = drawn.select(*keys, (safe - F.col("s2") / F.col("s3")).alias("__d")).groupBy(*keys).agg(F.percentile("__d", F.array(F.lit(low), F.lit(high))).alias("__p"))
     flat = sums.groupBy(*keys).agg(
-        F.sum("sc").alias("n_subset"), F.sum("c").alias("n"), (F.sum("ss") / F.nullif(F.sum("sc"), F.lit(0))).alias("mean_subset"), (F.sum("s") / F.sum("c")).alias("mean")
+        F.sum("__sc").alias("n_subset"), F.sum("__c").alias("n"), (F.sum("__ss") / F.nullif(F.sum("__sc"), F.lit(0))).alias("mean_subset"), (F.sum("__s") / F.sum("__c")).alias("mean")
     )
-    return flat.join(ci, list(keys)).select(*keys, "n_subset", "n", "mean_subset", "mean", (F.col("mean_subset") - F.col("mean")).alias("difference"), F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return flat.join(ci, list(keys)).select(*keys, "n_subset", "n", "mean_subset", "mean", (F.col("mean_subset") - F.col("mean")).alias("difference"), F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"))
 
 
 def poisson_interval(df: DataFrame, keys: Sequence[str], value: str, order: str, *, resamples: int = 200, level: float = LEVEL, seed: str = SEED) -> DataFrame:
