@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
@@ -14,29 +16,24 @@ CORRUPT = "_corrupt_record"
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, skip: int = 0) -> DataFrame:
     """CSV with quoted fields that may hold line breaks and doubled quotes.
 
-    skip: lines above the header (exported sheets have some); they are found by their line number
-    in the file, so such a file is read unsplit, as any file with line breaks in fields is.
+    skip: lines above the header (exported sheets have some), counted with blank ones. Such a file
+    is read unsplit, as any file with line breaks in fields is.
     """
     options = {"header": True, "multiLine": True, "escape": '"', "nullValue": ""}
     if not skip:
         return spark.read.csv(path, schema=schema, **options)
-    head = spark.read.text(path).limit(skip + 1).collect()[-1][0]
-    names = next(__import__("csv").reader([head]))
-    wide = StructType([StructField(n, StringType()) for n in names])
-    raw = spark.read.csv(path, schema=wide, multiLine=True, escape='"', nullValue="")
-    body = raw.withColumn("__n", F.row_number().over(_file_order())).where(F.col("__n") > skip + 1).drop("__n")
+    head = [r[0] for r in spark.read.text(path).limit(skip + 1).collect()]
+    names = next(csv.reader([head[-1]]))
+    above = sum(1 for line in head if line.strip())  # the reader passes over blank lines
+    raw = spark.read.csv(path, schema=StructType([StructField(n, StringType()) for n in names]), multiLine=True, escape='"', nullValue="")
+    order = W.partitionBy(F.input_file_name()).orderBy(F.monotonically_increasing_id())
+    body = raw.withColumn("__n", F.row_number().over(order)).where(F.col("__n") > above).drop("__n")
     if schema is None:
         return body
     wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     return body.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def _file_order():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(F.input_file_name()).orderBy(F.monotonically_increasing_id())
-
-
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Files that each hold one array of records."""
     return spark.read.schema(schema).json(path, multiLine=True)
