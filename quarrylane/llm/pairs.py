@@ -15,6 +15,8 @@ from .truncation import cut_texts
 
 #: A copy needs at most this share of its bytes when compressed with the prompt as dictionary.
 COPY_SHARE = 0.2
+#: ... and at most this share of what it needs without the dictionary: a text that merely repeats itself is no copy.
+COPY_GAIN = 0.5
 #: Bytes of a frame that says nothing.
 _FRAME = 8
 def plain(text: str) -> str:
@@ -46,6 +48,14 @@ class CopyMeter:
                 self.held.popitem(last=False)
         return max(0, len(held.compress(body)) - _FRAME) / len(body)
 
+    def is_copy(self, prompt: str, response: str, share: float) -> bool:
+        """Whether ``share`` is that of a copy."""
+        if share > COPY_SHARE:
+            return False
+        body = plain(response).encode()
+        alone = max(1, len(self.z.ZstdCompressor(level=3, write_content_size=False).compress(body)) - _FRAME) / len(body)
+        return share <= COPY_GAIN * alone
+
 
 def judge(responses: DataFrame, prompts: DataFrame, *, key: str, link: str, prompt: list[str], text: str) -> DataFrame:
     """key, kind ('empty', 'copied', 'refusal', 'other_language' or null) and copy_share of each response.
@@ -70,7 +80,7 @@ def judge(responses: DataFrame, prompts: DataFrame, *, key: str, link: str, prom
                     kind = "empty"
                 else:
                     share = meter.share(p, t) if p else 1.0
-                    if share <= COPY_SHARE:
+                    if p and meter.is_copy(p, t, share):
                         kind = "copied"
                     elif is_refusal(t):
                         kind = "refusal"
