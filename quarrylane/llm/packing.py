@@ -75,8 +75,11 @@ def pack(items: DataFrame, specs: DataFrame, *, key: str = "doc_id", size: str =
     items = items.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"))
     shards = max(1, -(-items.count() // shard_items))
     spread = F.pmod(F.xxhash64("k", "n"), F.lit(shards)).alias("shard")
-    wanted = specs.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
-    work = items.select("k", "n", spread).join(F.broadcast(wanted))  # a row for each container size: a handful
+    wanted = [(r[0], int(r[1])) for r in specs.na.drop(subset=["pack_name", "capacity_tokens"]).select("pack_name", "capacity_tokens").distinct().collect()]  # a handful
+    if any(c < 1 for _, c in wanted):
+        raise ValueError("a capacity must be positive")
+    sizes = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("long").alias("capacity")) for n, c in sorted(wanted)]) if wanted else F.from_json(F.lit("[]"), "array<struct<pack_name: string, capacity: bigint>>")
+    work = items.select("k", "n", spread, F.explode(sizes).alias("s")).select("k", "n", "shard", "s.pack_name", "s.capacity")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["k", "n"], kind="stable", na_position="first").reset_index(drop=True)

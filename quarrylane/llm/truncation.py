@@ -192,9 +192,11 @@ def cut_texts(records: DataFrame, *, key: str, text: str, group: str, limit: Col
     piled = lengths.join(around, "n_chars").where((F.col("n") >= PILE) & (F.col("n") * 20 >= PILE_TIMES * (F.col("o") - F.col("n")))).select("n_chars", F.lit(True).alias("piled"))
 
     no = lambda c: F.coalesce(c, F.lit(False))
+    # records without a key get one of their own, so that they do not gather in one task
+    alone = F.concat(F.lit("\0"), "id")
     e = (
-        r.join(nodes, "final_word", "left").join(ends, "context", "left").join(sentences, "sentence", "left")
-        .join(closing, "signature", "left").join(F.broadcast(full), "grp", "left").join(piled, "n_chars", "left")
+        r.withColumn("final_word", F.coalesce("final_word", alone)).withColumn("sentence", F.coalesce("sentence", alone)).join(nodes, "final_word", "left").join(ends, "context", "left").join(sentences, "sentence", "left")
+        .join(closing, "signature", "left").join(full, "grp", "left").join(piled, "n_chars", "left")
     )
     done = F.col("closed") | no(F.col("closing"))
     listed = F.greatest("items", "references") >= F.col("full")
