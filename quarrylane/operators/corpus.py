@@ -77,8 +77,7 @@ def draw_candidates(targets: DataFrame, pool: DataFrame, *, quotas: dict[str, in
     counts = ring.groupBy("part").agg(F.count("*").alias("c"))
     before = counts.select("part", (F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c")).alias("before"))  # 256 rows
     ring = ring.withColumn("i", F.row_number().over(W.partitionBy("part").orderBy("h", "ticker")) - 1).join(F.broadcast(before), "part").select("ticker", (F.col("i") + F.col("before")).alias("pos"))
-    size = counts.agg(F.sum("c").alias("n"))  # one row
-    more = short.join(F.broadcast(size)).where("n > 0")
+    more = short.withColumn("n", F.coalesce(counts.agg(F.sum("c")).scalar(), F.lit(0).cast("long"))).where("n > 0")
     reach = F.least(F.col("deficit") + F.size("used") + 1, F.col("n"))
     more = more.select("deal_id", "own", "deficit", "used", "n", md5_int(F.concat_ws("|", "deal_id", F.lit("fill"))).alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), reach.cast("long") - 1)).alias("j"))
     more = more.withColumn("pos", F.pmod(F.col("start") + F.col("j"), F.col("n")))

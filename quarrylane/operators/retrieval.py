@@ -1,8 +1,8 @@
 """Lexical and dense ranking of items against a query, each group of items being its own corpus.
 
-Input of the lexical rankers: one row for each (group, item) with the item's tokens and the
-group's query tokens. The rows are hash-partitioned by group once; all counts, windows and sums
-after that are within a group, so no further shuffle of tokens follows. A group must fit a task.
+The lexical rankers hash-partition the words of items and queries by group once; all counts,
+windows and sums after that are within a group, so no further shuffle follows and the input is
+read once. A group's words must fit a task.
 
 Scores are rounded to nine digits before ranking; ties go to the smaller item.
 """
@@ -53,56 +53,64 @@ def _rank(scored: DataFrame, group: str, item: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def _one_a_group(items: DataFrame, group: str, item: str, doc: str, query: str) -> DataFrame:
-    return items.select(group, item, F.col(doc).alias("d"), F.col(query).alias("q")).repartition(group)
+def _counts(items: DataFrame, queries: DataFrame, group: str, item: str, doc: str, query: str) -> DataFrame:
+    """One row for each (group, item, word): n, and with the item's length; words of the query have no item but ``asked``.
 
-
-def _query_counts(base: DataFrame, group: str) -> DataFrame:
-    q = base.groupBy(group).agg(F.first("q", ignorenulls=True).alias("q"))
-    return q.select(group, F.explode("q").alias("t")).groupBy(group, "t").agg(F.count("*").alias("qf"))
-
-
-def bm25(items: DataFrame, *, group: str, item: str, doc: str, query: str) -> DataFrame:
+    A row without a word stands for each item, so that empty items stay. The rows are partitioned
+    by group here and nowhere else; the number of partitions is fixed, since counting words costs
+    far more than the bytes of the rows would let Spark expect. After the count, each row also has
+    the group's number of items with words (n_items) and their words (n_words), and its word's
+    number of items (df) and count in the query (qf).
+    """
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = F.coalesce(F.col(doc), F.array().cast("array<string>"))
+    marked = F.concat(words, F.array(F.lit(None).cast("string")))
+    rows = items.select(F.col(group).alias("g"), F.col(item).alias("i"), F.size(words).alias("len"), F.lit(False).alias("asked"), F.explode(marked).alias("t"))
+    none = F.lit(None).cast(rows.schema["i"].dataType)
+    ask = queries.select(F.col(group).alias("g"), none.alias("i"), F.lit(0).alias("len"), F.lit(True).alias("asked"), F.explode(query).alias("t"))
+    tf = rows.unionByName(ask).repartition(parts, "g").groupBy("g", "i", "len", "asked", "t").agg(F.count("*").alias("n"))
+    item_row = ~F.col("asked") & F.col("t").isNull() & (F.col("len") > 0)
+    by_word, by_group = W.partitionBy("g", "t"), W.partitionBy("g")
+    tf = tf.withColumns({"df": F.count_if(~F.col("asked")).over(by_word), "qf": F.coalesce(F.max(F.when(F.col("asked"), F.col("n"))).over(by_word), F.lit(0))})
+    return tf.withColumns({"n_items": F.count_if(item_row).over(by_group), "n_all": F.count_if(~F.col("asked") & F.col("t").isNull()).over(by_group), "n_words": F.sum(F.when(item_row, F.col("len"))).over(by_group)})
+
+
+def bm25(items: DataFrame, queries: DataFrame, *, group: str, item: str, doc: str, query: str) -> DataFrame:
     """(group, item, score, rank) by Okapi BM25; repeated query words count each time.
 
-    Items without words come last with the score -1. The query is the first of the group's query
-    arrays that is not null. Items repeated in a group must be removed before.
+    items: (group, item) once each, with an array of words. queries: one array of words for each
+    group. Items without words come last with the score -1; groups without a query score 0.
     """
-    base = _one_a_group(items, group, item, doc, query)
-    full = base.where(F.size("d") > 0)
-    sizes = full.groupBy(group).agg(F.count("*").alias("n_items"), F.avg(F.size("d")).alias("mean_len"))
-    tf = full.select(group, item, F.size("d").alias("len"), F.explode("d").alias("t")).groupBy(group, item, "len", "t").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(group, "t").agg(F.count("*").alias("df")).join(sizes, group)
-    idf = df.select(group, "t", "mean_len", (F.log(F.col("n_items") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    idf = idf.withColumn("mean_idf", F.avg("raw").over(W.partitionBy(group)))
-    idf = idf.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))).select(group, "t", "mean_len", "idf")
-    hit = _query_counts(base, group).join(idf, [group, "t"]).join(tf, [group, "t"])
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    sums = hit.groupBy(group, item).agg(F.sum(part).alias("s"))
-    scored = base.select(group, item, (F.size("d") > 0).alias("full")).join(sums, [group, item], "left")
-    score = F.when(F.col("full"), F.round(F.coalesce("s", F.lit(0.0)), DIGITS)).otherwise(-1.0)
-    return _rank(scored.select(group, item, score.alias("score")), group, item)
-
-
-def tfidf(items: DataFrame, *, group: str, item: str, doc: str, query: str) -> DataFrame:
+    c = _counts(items, queries, group, item, doc, query)
+    word = ~F.col("asked") & F.col("t").isNotNull()
+    raw = F.log(F.col("n_items") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    c = c.withColumn("raw", F.when(word, raw))
+    # each word counts once in the mean: its rows share its weight
+    once = F.when(word, 1.0 / F.col("df"))
+    by_group = W.partitionBy("g")
+    c = c.withColumn("floor", EPSILON * F.sum(F.col("raw") * once).over(by_group) / F.sum(once).over(by_group))
+    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    mean = F.col("n_words") / F.col("n_items")
+    part = F.col("qf") * idf * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("len") / mean))
+    sums = c.where(~F.col("asked")).groupBy("g", "i", "len").agg(F.sum(F.when(F.col("qf") > 0, part)).alias("s"))
+    score = F.when(F.col("len") > 0, F.round(F.coalesce("s", F.lit(0.0)), DIGITS)).otherwise(-1.0)
+    return _rank(sums.select(F.col("g").alias(group), F.col("i").alias(item), score.alias("score")), group, item)
+
+
+def tfidf(items: DataFrame, queries: DataFrame, *, group: str, item: str, doc: str, query: str) -> DataFrame:
     """(group, item, score, rank) by the cosine of tf-idf vectors fitted on the group's items.
 
-    tf is 1 + ln(count), idf is ln((1 + n) / (1 + df)) + 1, vectors have unit length; query terms that
-    no item has are ignored. Items or queries without terms score 0.
+    Input as for ``bm25``. tf is 1 + ln(count), idf is ln((1 + n) / (1 + df)) + 1, vectors have unit
+    length; query terms that no item has are ignored. Items or queries without terms score 0.
     """
-    base = _one_a_group(items, group, item, doc, query)
-    n = base.groupBy(group).agg(F.count("*").alias("n_items"))
-    tf = base.select(group, item, F.explode("d").alias("t")).groupBy(group, item, "t").agg((1 + F.log(F.count("*"))).alias("w"))
-    df = tf.groupBy(group, "t").agg(F.count("*").alias("df")).join(n, group)
-    idf = df.select(group, "t", (F.log((1.0 + F.col("n_items")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(idf, [group, "t"]).withColumn("w", F.col("w") * F.col("idf"))
-    norms = weighed.groupBy(group, item).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = _query_counts(base, group).join(idf, [group, "t"]).select(group, "t", ((1 + F.log("qf")) * F.col("idf")).alias("qw"))
-    q_norm = q.groupBy(group).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    dots = weighed.join(q, [group, "t"]).groupBy(group, item).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = base.select(group, item).join(dots, [group, item], "left").join(norms, [group, item], "left").join(q_norm, group, "left")
-    score = F.round(F.coalesce(F.col("dot") / (F.col("norm") * F.col("q_norm")), F.lit(0.0)), DIGITS)
-    return _rank(scored.select(group, item, score.alias("score")), group, item)
+    c = _counts(items, queries, group, item, doc, query)
+    idf = F.log((1.0 + F.col("n_all")) / (1.0 + F.col("df"))) + 1
+    c = c.withColumn("w", F.when(F.col("t").isNotNull() & (F.col("df") > 0), (1 + F.log("n")) * idf))
+    c = c.withColumn("qw", F.when(F.col("t").isNotNull() & (F.col("qf") > 0), (1 + F.log("qf")) * idf))
+    c = c.withColumn("q2", F.sum(F.when(F.col("asked"), F.col("w") * F.col("w"))).over(W.partitionBy("g")))
+    sums = c.where(~F.col("asked")).groupBy("g", "i").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("d2"), F.max("q2").alias("q2"))
+    score = F.round(F.coalesce(F.col("dot") / (F.sqrt("d2") * F.sqrt("q2")), F.lit(0.0)), DIGITS)
+    return _rank(sums.select(F.col("g").alias(group), F.col("i").alias(item), score.alias("score")), group, item)
 
 
 def cosine(a: Column, b: Column) -> Column:

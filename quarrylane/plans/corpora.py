@@ -92,48 +92,49 @@ def corpus_invariants(spark: SparkSession, root: str) -> DataFrame:
     return C.violations(_wide(spark, root), "deal_id", "target_ticker")
 
 
-def _ranked_items(spark: SparkSession, root: str, masked: bool, described: bool, words) -> DataFrame:
-    """(deal_id, no, d, q) of deals with filing texts: words of candidate lines and of the acquirer's texts."""
+def _queries(spark: SparkSession, root: str, masked: bool) -> DataFrame:
+    """(deal_id, q): the acquirer's filing texts of deals that have some."""
     d = table(spark, root, "deal_filing").where("hf_match").select("deal_id", "loaded_at", "acquirer_name", "acquirer_ticker", "item1_text", "mda_text")
-    d = pick_last(d, ["deal_id"], ["loaded_at", "acquirer_name", "acquirer_ticker", "item1_text", "mda_text"]).withColumn("deal_id", F.upper(F.trim("deal_id")))
+    d = pick_last(d, ["deal_id"], ["loaded_at", "acquirer_name", "acquirer_ticker", "item1_text", "mda_text"])
     cut = lambda c, first, most: F.substring(mask_acquirer(F.substring(c, 1, first), F.col("acquirer_name"), F.col("acquirer_ticker")) if masked else F.col(c), 1, most)
-    d = d.select("deal_id", cut("item1_text", 500, 400).alias("a"), cut("mda_text", 400, 300).alias("b"))
-    q = d.select("deal_id", F.concat_ws(" ", "a", "b").alias("t")).where(lexical_text(F.col("t")) != "").select("deal_id", words(F.col("t")).alias("q"))
-    line = F.col("anon_description") if described else C.without_description(F.col("anon_description"))
-    return corpus_rows(spark, root).select("deal_id", "no", "is_target", words(line).alias("d")).join(q, "deal_id")
+    d = d.select(F.upper(F.trim("deal_id")).alias("deal_id"), cut("item1_text", 500, 400).alias("a"), cut("mda_text", 400, 300).alias("b"))
+    return d.select("deal_id", F.concat_ws(" ", "a", "b").alias("q")).where(lexical_text(F.col("q")) != "")
+
+
+def _lines(spark: SparkSession, root: str, queries: DataFrame) -> DataFrame:
+    """(deal_id, no, is_target, line) of the deals with a query."""
+    return corpus_rows(spark, root).select("deal_id", "no", "is_target", F.col("anon_description").alias("line")).join(queries.select("deal_id"), "deal_id", "left_semi")
+
+
+def _ranked(rank, words, lines: DataFrame, queries: DataFrame, group: str = "deal_id") -> DataFrame:
+    items = lines.select(group, "no", words(F.col("line")).alias("d"))
+    return rank(items, queries.select(group, words(F.col("q")).alias("q")), group=group, item="no", doc="d", query="q")
 
 
 def bm25_rank(spark: SparkSession, root: str) -> DataFrame:
     """Candidates of every deal ranked by BM25 against the acquirer's filing texts."""
-    items = _ranked_items(spark, root, False, True, tokens)
-    return bm25(items, group="deal_id", item="no", doc="d", query="q").select("deal_id", "no", F.round("score", 6).alias("score"), "rank")
+    q = _queries(spark, root, False)
+    return _ranked(bm25, tokens, _lines(spark, root, q), q).select("deal_id", "no", F.round("score", 6).alias("score"), "rank")
 
 
 def tfidf_rank(spark: SparkSession, root: str) -> DataFrame:
     """Candidates of every deal ranked by the cosine of tf-idf vectors of words and word pairs."""
-    items = _ranked_items(spark, root, False, True, terms)
-    return tfidf(items, group="deal_id", item="no", doc="d", query="q").select("deal_id", "no", F.round("score", 6).alias("score"), "rank")
-
-
-def _target_places(spark: SparkSession, root: str, method: str, described: bool, masked: bool = True) -> DataFrame:
-    rank = {"bm25": (bm25, tokens), "tfidf": (tfidf, terms)}[method]
-    items = _ranked_items(spark, root, masked, described, rank[1])
-    ranked = rank[0](items, group="deal_id", item="no", doc="d", query="q")
-    gold = corpus_rows(spark, root).where("is_target").select("deal_id", "no")
-    return ranked.join(gold, ["deal_id", "no"]).groupBy("deal_id").agg(F.min("rank").alias("place"))
+    q = _queries(spark, root, False)
+    return _ranked(tfidf, terms, _lines(spark, root, q), q).select("deal_id", "no", F.round("score", 6).alias("score"), "rank")
 
 
 def baseline_panel(spark: SparkSession, root: str) -> DataFrame:
     """Metrics of the lexical baselines with and without descriptions, beside chance."""
-    full, bare = (_ranked_items(spark, root, True, described, lambda c: c) for described in (True, False))
-    both = full.select(F.concat(F.lit("B"), "deal_id").alias("g"), "no", "is_target", "d", "q").unionByName(bare.select(F.concat(F.lit("C"), "deal_id").alias("g"), "no", "is_target", "d", "q"))
+    q = _queries(spark, root, True)
+    lines = _lines(spark, root, q)
+    key = lambda condition: F.concat(F.lit(condition), "deal_id").alias("g")
+    both = lines.select(key("B"), "no", "is_target", "line").unionByName(lines.select(key("C"), "no", "is_target", C.without_description(F.col("line")).alias("line")))
+    asked = q.select(key("B"), "q").unionByName(q.select(key("C"), "q"))
     gold = both.where("is_target").select("g", "no")
 
     def places(method: str, rank, words) -> DataFrame:
-        items = both.select("g", "no", words(F.col("d")).alias("d"), words(F.col("q")).alias("q"))
-        ranked = rank(items, group="g", item="no", doc="d", query="q").join(gold, ["g", "no"])
-        place = F.min("rank").alias("place")
-        return ranked.groupBy("g").agg(place).select(F.lit(method).alias("method"), F.left("g", F.lit(1)).alias("condition"), F.when(F.col("place") <= R.K, F.col("place")).otherwise(0).alias("p"))
+        place = _ranked(rank, words, both, asked, "g").join(gold, ["g", "no"]).groupBy("g").agg(F.min("rank").alias("place"))
+        return place.select(F.lit(method).alias("method"), F.left("g", F.lit(1)).alias("condition"), F.when(F.col("place") <= R.K, F.col("place")).otherwise(0).alias("p"))
 
     all_places = places("bm25", bm25, tokens).unionByName(places("tfidf", tfidf, terms))
     p = F.col("p")
@@ -146,7 +147,10 @@ def baseline_panel(spark: SparkSession, root: str) -> DataFrame:
 
 def baseline_delta(spark: SparkSession, root: str) -> DataFrame:
     """mrr of the models' answers under condition B less that of BM25 on the same deals, with clustered intervals."""
-    base = _target_places(spark, root, "bm25", True, masked=False).select("deal_id", R.reciprocal_rank(F.when(F.col("place") <= R.K, F.col("place")).otherwise(0)).alias("base"))
+    q = _queries(spark, root, False)
+    lines = _lines(spark, root, q)
+    place = _ranked(bm25, tokens, lines, q).join(lines.where("is_target").select("deal_id", "no"), ["deal_id", "no"]).groupBy("deal_id").agg(F.min("rank").alias("place"))
+    base = place.select("deal_id", R.reciprocal_rank(F.when(F.col("place") <= R.K, F.col("place")).otherwise(0)).alias("base"))
     e = pick_last(_evaluated(spark, root).where("condition = 'B'").select("response_id", "deal_id", "acquirer_ticker", "model_key", "strategy", "mrr").na.drop(subset=["deal_id", "model_key", "strategy"]), ["deal_id", "model_key", "strategy"], ["response_id"])
     both = e.join(base, "deal_id").withColumn("d", F.col("mrr") - F.col("base")).withColumn("cluster", F.coalesce("acquirer_ticker", "deal_id"))
     return _round_all(paired_interval(both, ["model_key", "strategy"], "d", "cluster", resamples=DRAWS), [])

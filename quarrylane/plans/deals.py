@@ -76,18 +76,20 @@ def co_occurring_targets(spark: SparkSession, root: str) -> DataFrame:
 
 def resume_anti_join(spark: SparkSession, root: str) -> DataFrame:
     """Prompts that have no answer yet from a model, by model: the cells left to run."""
-    r = table(spark, root, "responses_raw")
-    models = r.select("model_key").where("model_key IS NOT NULL").distinct()  # a handful
+    r = table(spark, root, "responses_raw").where("model_key IS NOT NULL")
+    models = sorted(x[0] for x in r.select("model_key").distinct().collect())  # a handful
     p = table(spark, root, "prompts_raw").select("user_prompt_hash", "condition", "strategy").distinct()
-    left = pending(p.join(F.broadcast(models)), r, ["user_prompt_hash", "model_key"])
+    work = p.select("*", F.explode(F.array(*map(F.lit, models)).cast("array<string>")).alias("model_key"))
+    left = pending(work, r, ["user_prompt_hash", "model_key"])
     return left.groupBy("model_key", "condition", "strategy").agg(F.count("*").alias("n_pending"))
 
 
 def experiment_grid(spark: SparkSession, root: str) -> DataFrame:
     """All cells of conditions, models and strategies, with answers so far; cells without any count 0."""
     r = table(spark, root, "responses_raw").dropDuplicates(["response_id"]).na.drop(subset=["condition", "model_key", "strategy"])
-    one = lambda c: F.broadcast(r.select(c).distinct())
-    grid = one("condition").join(one("model_key")).join(one("strategy"))
+    grid = r.agg(*[F.collect_set(c).alias(c) for c in ("condition", "model_key", "strategy")])  # one row
+    for c in ("condition", "model_key", "strategy"):
+        grid = grid.withColumn(c, F.explode(c))
     n = r.groupBy("condition", "model_key", "strategy").agg(F.count("*").alias("n"))
     return grid.join(n, ["condition", "model_key", "strategy"], "left").select("condition", "model_key", "strategy", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -159,8 +159,8 @@ def lexical_tokens(spark: SparkSession, root: str) -> DataFrame:
 def lexical_terms(spark: SparkSession, root: str) -> DataFrame:
     """Most documents that share a term, by term, for terms in at least a hundredth of the documents."""
     d = table(spark, root, "documents").select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    n = table(spark, root, "documents").agg(F.count("*").alias("n"))
-    return d.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where("df * 100 >= n").select("term", "df")
+    n = table(spark, root, "documents").agg(F.count("*")).scalar()
+    return d.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") * 100 >= n)
 
 
 def prompt_parts(spark: SparkSession, root: str) -> DataFrame:

@@ -19,8 +19,9 @@ def groups(seed=3):
 
 
 def frame(spark, data):
-    rows = [(g, i, d, q) for g, (docs, q) in data.items() for i, d in enumerate(docs, 1)]
-    return spark.createDataFrame(rows, "g string, i int, d array<string>, q array<string>").repartition(3)
+    rows = [(g, i, d) for g, (docs, _) in data.items() for i, d in enumerate(docs, 1)]
+    items = spark.createDataFrame(rows, "g string, i int, d array<string>").repartition(3)
+    return items, spark.createDataFrame([(g, q) for g, (_, q) in data.items()], "g string, q array<string>")
 
 
 def loop_bm25(docs, q):
@@ -54,7 +55,7 @@ def loop_tfidf(docs, q):
 @pytest.mark.parametrize("fn,loop", [(R.bm25, loop_bm25), (R.tfidf, loop_tfidf)])
 def test_lexical_against_loop(spark, fn, loop):
     data = groups()
-    got = {(r.g, r.i): r for r in fn(frame(spark, data), group="g", item="i", doc="d", query="q").collect()}
+    got = {(r.g, r.i): r for r in fn(*frame(spark, data), group="g", item="i", doc="d", query="q").collect()}
     assert len(got) == 20
     for g, (docs, q) in data.items():
         want = loop(docs, q)
@@ -64,6 +65,16 @@ def test_lexical_against_loop(spark, fn, loop):
             assert got[g, j + 1].rank == place
 
 
+@pytest.mark.parametrize("fn", [R.bm25, R.tfidf])
+def test_edges(spark, fn):
+    items = spark.createDataFrame([("a", 1, ["x", "y"]), ("a", 2, None), ("b", 1, ["x"]), (None, 1, ["x"])], "t string, n int, df array<string>")
+    queries = spark.createDataFrame([("a", ["x"]), ("c", ["x"]), ("a2", None)], "t string, q array<string>")
+    got = {(r.t, r.n): (r.rank, r.score) for r in fn(items, queries, group="t", item="n", doc="df", query="q").collect()}
+    assert set(got) == {("a", 1), ("a", 2), ("b", 1), (None, 1)}
+    assert got["a", 2][0] == 2 and got["b", 1] == (1, 0.0)
+    assert fn(items.limit(0), queries, group="t", item="n", doc="df", query="q").count() == 0
+
+
 def test_words(spark):
     df = spark.createDataFrame([("The R&amp;D  unit of Acme-Co grew 5%!",), ("",), (None,)], "t string")
     got = df.select(R.tokens(F.col("t")).alias("a"), R.terms(F.col("t")).alias("b")).collect()
