@@ -42,10 +42,9 @@ def halves(key: Column) -> tuple[Column, Column]:
     padded = F.rpad(key, 2 * HALF, " ")
 
     def number(first: int) -> Column:
-        total = F.lit(0).cast("long")
-        for i in range(first, first + HALF):
-            total = total * BASE + F.instr(F.lit(ALPHABET), F.substring(padded, i, 1))
-        return total
+        # one loop, not HALF terms: the padded identifier is worked out once
+        add = lambda n, c: n * BASE + F.instr(F.lit(ALPHABET), c)
+        return F.aggregate(F.split(F.substring(padded, first, HALF), ""), F.lit(0).cast("long"), add)
 
     def digest(first: int) -> Column:
         return F.conv(F.substring(F.md5(key), first, 15), 16, 10).cast("long") % MODULUS
@@ -60,11 +59,13 @@ def permuted(df: DataFrame, key: str, seed: str) -> DataFrame:
     whatever f is; f is the first 60 bits of an MD5 digest.
     """
     left, right = halves(F.col(key))
-    df = df.withColumns({"__l": left, "__r": right})
-    for i in range(ROUNDS):
-        mixed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(str(i)), F.col("__r").cast("string"))), 1, 15), 16, 10).cast("long") % MODULUS
-        df = df.select(*[c for c in df.columns if c not in ("__l", "__r")], F.col("__r").alias("__l"), ((F.col("__l") + mixed) % MODULUS).alias("__r"))
-    return df.withColumnsRenamed({"__l": "permuted_high", "__r": "permuted_low"})
+
+    def turn(s: Column, i: Column) -> Column:
+        mixed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), i.cast("string"), s["r"].cast("string"))), 1, 15), 16, 10).cast("long") % MODULUS
+        return F.struct(s["r"].alias("l"), ((s["l"] + mixed) % MODULUS).alias("r"))
+
+    turns = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.alias("l"), right.alias("r")), turn)
+    return df.withColumn("__p", turns).select(*df.columns, F.col("__p.l").alias("permuted_high"), F.col("__p.r").alias("permuted_low"))
 
 
 def stable_sample(df: DataFrame, key: str, rate: str, seed: str = "s1") -> DataFrame:
@@ -82,9 +83,9 @@ def stable_sample(df: DataFrame, key: str, rate: str, seed: str = "s1") -> DataF
 
 
 def _deals(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each deal; rows of a deal are combined on either side of the shuffle."""
-    rows = table(spark, root, "corpus_per_deal").select(canonical("deal_id").alias("deal_id"), "loaded_at")
-    return rows.groupBy("deal_id").agg(F.count("*").alias("n_rows"), F.min("loaded_at").alias("first_loaded"), F.max("loaded_at").alias("last_loaded"))
+    """One row for each deal. Rows are combined as their ids are written before the ids are brought to one form, on either side of the shuffle."""
+    written = table(spark, root, "corpus_per_deal").groupBy("deal_id").agg(F.count("*").alias("n"), F.min("loaded_at").alias("a"), F.max("loaded_at").alias("b"))
+    return written.groupBy(canonical("deal_id").alias("deal_id")).agg(F.sum("n").alias("n_rows"), F.min("a").alias("first_loaded"), F.max("b").alias("last_loaded"))
 
 
 RATE = "0.1"
