@@ -14,9 +14,10 @@ def is_placeholder(text: str | None) -> bool:
     """Null, blank, or only wrappers and placeholders: tags, fences, brackets, names of fields without values."""
     if not text:
         return True
-    if len(text) > 400:
-        return False
-    return all(w in PLACEHOLDERS for w in _LETTERS.findall(_TAG.sub(" ", text).lower()))
+    first = _LETTERS.search(text)
+    if first and first[0].lower() not in PLACEHOLDERS and (not first.start() or text[first.start() - 1] not in "</"):
+        return False  # most texts end here
+    return all(w[0] in PLACEHOLDERS for w in _LETTERS.finditer(_TAG.sub(" ", text).lower()))
 
 
 #: Phrases that decline a request.
@@ -36,7 +37,7 @@ _CLOSING = re.compile(r"final (?:ranking|targets)\s*[:=]\s*\[\s*[\"\d]|\"(?:rank
 
 def is_refusal(text: str) -> bool:
     """Declines, and names or orders nothing: an excuse in front of an answer is none."""
-    if len(text) > 2000 or _CLOSING.search(text) or _LISTED.search(text) or len(_REFERENCE.findall(text)) > 1:
+    if _CLOSING.search(text) or _LISTED.search(text) or len(_REFERENCE.findall(text)) > 1:
         return False
     return bool(REFUSALS.search(text))
 

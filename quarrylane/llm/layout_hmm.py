@@ -146,8 +146,8 @@ def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
                 case,
             )
         )
-        sizes.append(min(65535, n + link_words))
-    return np.frombuffer(bytes(codes), dtype=np.uint8).reshape(-1, len(SIZES)), np.array(sizes, dtype=np.uint16)
+        sizes.append(n + link_words)
+    return np.frombuffer(bytes(codes), dtype=np.uint8).reshape(-1, len(SIZES)), np.array(sizes, dtype=np.uint32)
 
 
 class Model:
@@ -208,7 +208,7 @@ class Model:
 
 
 def _unpack(codes: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(codes, dtype=np.uint8).reshape(-1, len(SIZES)), np.frombuffer(words, dtype=np.uint16)
+    return np.frombuffer(codes, dtype=np.uint8).reshape(-1, len(SIZES)), np.frombuffer(words, dtype=np.uint32)
 
 
 def encoded(documents: DataFrame, key: str, text: str) -> DataFrame:

@@ -17,6 +17,7 @@ A text whose last line is a complete closing line is never a cut one, whatever i
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,6 +45,12 @@ def _context(words: list[str]) -> str:
     return _DIGITS.sub("0", " ".join(words[-2:]).lower())
 
 
+def _signature(line: str) -> str:
+    """The line without its figures; of a long line a digest, since closing lines are short."""
+    s = _DIGITS.sub("0", line.lower())
+    return s if len(s) <= 200 else hashlib.md5(s.encode()).hexdigest()
+
+
 def describe(text: str) -> dict:
     """What the end of one text looks like, without knowledge of the corpus."""
     body = text.rstrip()
@@ -68,7 +75,7 @@ def describe(text: str) -> dict:
         "n_chars": len(text),
         "final_word": final.lower() if _WORD.fullmatch(final) else (w[-1].lower() if (w := re.split(r"[-/'’\"(\[]", final)) and _WORD.fullmatch(w[-1]) else None),
         "context": _context(tokens),
-        "signature": _DIGITS.sub("0", last.lower())[:200],
+        "signature": _signature(last),
         "sentence": _context(sentences[-1].split()) if sentences and last.endswith((".", "!", "?")) else None,
         "ended": ended,
         "marker": bool(_MARKER.search(body[-40:])),
@@ -137,10 +144,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sums()
 
 
+MOST_LETTERS = 60
+
+
 def trie(words: DataFrame) -> DataFrame:
-    """Nodes of the trie of ``words`` (k, n): the prefix, how often it is a word, and how often it begins a longer word."""
+    """Nodes of the trie of ``words`` (k, n): the prefix, how often it is a word, and how often it begins a longer word.
+
+    A run of more than MOST_LETTERS letters is no word and has no nodes; its number of prefixes
+    would grow as the square of its length.
+    """
     length = F.length("k")
-    nodes = words.where(length <= 60).select(F.explode(F.sequence(F.lit(1), length)).alias("i"), "k", "n")
+    nodes = words.where(length <= MOST_LETTERS).select(F.explode(F.sequence(F.lit(1), length)).alias("i"), "k", "n")
     return nodes.select(F.expr("left(k, i)").alias("prefix"), F.when(F.col("i") == F.length("k"), F.col("n")).otherwise(0).alias("w"), F.when(F.col("i") < F.length("k"), F.col("n")).otherwise(0).alias("b")).groupBy("prefix").agg(
         F.sum("w").alias("as_word"), F.max("b").alias("begins")
     )
@@ -148,6 +162,8 @@ def trie(words: DataFrame) -> DataFrame:
 
 #: A word is known from this many occurrences on, and may complete a prefix from this many.
 KNOWN, COMPLETES = 2, 3
+#: A last line that so many texts share closes a text.
+CLOSING = 5
 #: Texts of one length, against the mean of the ten lengths on either side, that make a limit.
 PILE, PILE_TIMES = 8, 6
 #: A sentence that at most this share of its occurrences ends a text, of at least so many, does not end one.
@@ -177,7 +193,7 @@ def cut_texts(records: DataFrame, *, key: str, text: str, group: str, limit: Col
     sentences = sums("s").select(F.col("k").alias("sentence"), F.col("n").alias("goes_on"), F.col("m").alias("stops"))
 
     # closing lines: last lines without figures that many texts share and that no commoner one continues
-    lines = r.where(~F.col("signature").rlike("[0#]") & (F.col("item") == 0)).groupBy("signature").agg(F.count("*").alias("n")).where("n >= 5")
+    lines = r.where(~F.col("signature").rlike("[0#]") & (F.col("item") == 0)).groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= CLOSING)
     part = F.expr("transform(sequence(1, size(split(signature, ' ')) - 1), i -> array_join(slice(split(signature, ' '), 1, i), ' '))")
     longer = lines.where("signature LIKE '% %'").select(F.explode(part).alias("signature"), F.col("n").alias("c")).groupBy("signature").agg(F.max("c").alias("c"))
     closing = lines.join(longer, "signature", "left").where("c IS NULL OR c < n").select("signature", F.lit(True).alias("closing"))
