@@ -127,16 +127,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             d = describe(text)
             records.append(d | {"kind": "r", "id": key, "grp": group, "at_limit": bool(limit)})
-            found = _WORD.findall(text.lower())
+            low = _DIGITS.sub("0", text.lower())
+            found = _WORD.findall(low)
             words.update(found[:-1] if d["final_word"] else found)
-            lines = [x.strip() for x in text.split("\n")]
-            lines = [x for x in lines if x]
-            line_ends.update(_context(x.split()[-2:]) for x in lines[:-1])
+            lines = [x for x in map(str.strip, low.split("\n")) if x]
+            line_ends.update([" ".join(x.rsplit(None, 2)[-2:]) for x in lines[:-1]])
             if d["sentence"]:
                 stops[d["sentence"]] += 1
-            for x in lines:
-                parts = [s for s in _SENTENCE_END.split(x) if s]
-                goes_on.update(_context(s.split()[-2:]) for s in (parts[:-1] if x is lines[-1] else parts))
+            parts = [s for x in lines[:-1] for s in _SENTENCE_END.split(x) if s] + [s for s in _SENTENCE_END.split(lines[-1]) if s][:-1]
+            goes_on.update([" ".join(s.rsplit(None, 2)[-2:]) for s in parts])
         if records:
             yield _batch({c: [d[c] for d in records] for c in records[0]}, len(records))
         if len(words) > 500_000 or len(line_ends) > 500_000:
