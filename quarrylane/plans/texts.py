@@ -13,7 +13,7 @@ from ..functions.business import graded
 from ..operators.corpus import line_number, without_description
 from ..operators.entities import dictionary, fuzzy_match, rule_match
 from ..operators.relational import pick_last
-from ..operators.retrieval import terms, tokens
+from ..operators.retrieval import STOP_WORDS, terms, tokens
 from ..sources.tables import table
 from .deals import sql_normal
 from .evaluation import BASE, _recalled, answers
@@ -261,6 +261,16 @@ k AS (SELECT *, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_inter
 SELECT site, n_docs, len(a) AS n_said, len(b) AS n_filed, round(v, 6) AS jaccard, v > 0.15 AS suspicious FROM k""",
     "lexical_tokens": f"""WITH d AS (SELECT lower(trim(source)) AS source, CASE WHEN length({_LEX}) > 0 THEN string_split({_LEX}, ' ') ELSE [] END AS t FROM documents)
 SELECT source, count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_tokens, CAST(sum(len(list_distinct(t))) AS BIGINT) AS n_distinct FROM d GROUP BY 1""",
+    "lexical_terms": f"""WITH d AS (SELECT {_LEX} AS l FROM documents), k AS (SELECT list_filter(regexp_extract_all(l, '\\b(\\w\\w+)\\b', 1), lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in STOP_WORDS)}], w)) AS k FROM d),
+t AS (SELECT unnest(list_distinct(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])))) AS term FROM k)
+SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING count(*) * 100 >= (SELECT count(*) FROM documents)""",
+    "contamination_risk": BASE
+    + f""", rc AS (SELECT model_key, avg((label = 'SUCCESS')::INT) AS recall FROM lab GROUP BY 1),
+w AS (SELECT r.model_key, list_distinct(flatten(list_transform(names, lambda n: {_WORDS("n")}))) AS a, {_WORDS("r.target_name")} AS b, len({_TICKERS.replace("upper(text)", "upper(coalesce(response_text, ''))")}) > 2 AS lists FROM nm JOIN r USING (response_id) WHERE r.model_key IS NOT NULL),
+p AS (SELECT model_key, avg(coalesce({_F1("a", "b")}, 0)) AS p2, avg(lists::INT) AS p3 FROM w GROUP BY 1),
+q AS (SELECT *, (recall > 0.3)::INT + (p2 > 0.3)::INT + (p3 > 0.15)::INT AS k FROM p LEFT JOIN rc USING (model_key))
+SELECT model_key, round(recall, 6) AS recall, round(p2, 6) AS mean_f1, round(p3, 6) AS ticker_rate, k AS n_raised, CASE WHEN k > 1 THEN 'HIGH' WHEN k > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk,
+CASE WHEN recall > 0.1 AND k >= 2 THEN 'HIGH_BOTH' WHEN recall > 0.1 THEN 'HIGH_K / LOW_D' WHEN k >= 2 THEN 'LOW_K / HIGH_D' ELSE 'LOW_BOTH' END AS quadrant FROM q""",
     "fingerprint": "SELECT user_prompt_hash, left(sha256('structured-v1' || chr(0) || coalesce(prompt_system, '') || chr(0) || coalesce(prompt_user, '') || chr(0)), 16) AS fingerprint FROM (SELECT DISTINCT * FROM prompts_raw)",
     "prompt_parts": r"""WITH p AS (SELECT DISTINCT * FROM prompts_raw), q AS (SELECT *, replace(prompt_user, chr(13) || chr(10), chr(10)) AS t FROM p),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^Candidate\s*#\d+')) AS li, trim(split_part(split_part(t, chr(10) || '---' || chr(10), 2), chr(10) || 'CANDIDATE LIST:', 1)) AS pr FROM q)
