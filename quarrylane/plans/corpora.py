@@ -114,7 +114,7 @@ def _ranked(rank, words, lines: DataFrame, queries: DataFrame, group: str = "dea
 def bm25_rank(spark: SparkSession, root: str) -> DataFrame:
     """Candidates of every deal ranked by BM25 against the acquirer's filing texts."""
     q = _queries(spark, root, False)
-    return _ranked(bm25, tokens, _lines(spark, root, q), q).select("deal_id", "no", F.round("score", 6).alias("score"), "rank")
+    return _ranked(bm25, tokens, _lines(spark, root, q), q).select("deal_id", "no", F.round("score", 4).alias("score"), "rank")
 
 
 def tfidf_rank(spark: SparkSession, root: str) -> DataFrame:
@@ -256,7 +256,7 @@ w AS (SELECT deal_id, string_split(string_agg(anon_description, chr(10) ORDER BY
 v AS (SELECT *, list_transform(list_filter(li, lambda x: regexp_matches(x, '^Candidate\\s*#\\d+')), lambda x: regexp_extract(x, '^Candidate\\s*#(\\d+)', 1)::INT) AS ids, list_transform(list_filter(ct, lambda x: x IS NOT NULL AND x <> ''), lambda x: upper(x)) AS tk FROM w)
 SELECT deal_id, 'line_count' AS problem FROM v WHERE len(ids) <> 50 UNION ALL SELECT deal_id, 'numbers' FROM v WHERE list_sort(ids) <> range(1, 51) UNION ALL SELECT deal_id, 'position' FROM v WHERE NOT coalesce(tp BETWEEN 1 AND 50, false)
 UNION ALL SELECT deal_id, 'duplicate_tickers' FROM v WHERE len(tk) <> len(list_distinct(tk)) UNION ALL SELECT deal_id, 'target_not_once' FROM v WHERE tt IS NOT NULL AND len(list_filter(tk, lambda x: x = upper(tt))) <> 1""",
-    "bm25_rank": "WITH " + _BM25 + "SELECT deal_id, no, round(score, 6) AS score, rank FROM bm",
+    "bm25_rank": "WITH " + _BM25 + "SELECT deal_id, no, round(score, 4) AS score, rank FROM bm",
     "tfidf_rank": f"""WITH {_ROWS}, {_QUERY},
 it AS (SELECT c.deal_id, c.no, {_terms(_lex("anon_description"))} AS k, {_terms(_lex("qt"))} AS q FROM c JOIN dd USING (deal_id) WHERE {_lex("qt")} <> ''),
 tk AS (SELECT deal_id, no, {_PAIRED} AS d FROM it), nn AS (SELECT deal_id, count(*) AS n FROM tk GROUP BY 1),

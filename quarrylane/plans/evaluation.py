@@ -168,13 +168,14 @@ def subset_aggregates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def spearman_rank_agreement(spark: SparkSession, root: str) -> DataFrame:
-    """Agreement of the target's rank between conditions B and C; ranks beyond ten count as eleven."""
+    """Agreement of two models on the target's rank, over at least ten deals answered by both under one condition and strategy; ranks beyond ten count as eleven."""
     e = pick_last(_evaluated(spark, root).select("response_id", "deal_id", *CELL, "target_rank").na.drop(subset=["deal_id", *CELL]), ["deal_id", *CELL], ["response_id"])
-    keys = ["deal_id", "model_key", "strategy"]
+    keys = ["deal_id", "condition", "strategy"]
     rank = F.coalesce("target_rank", F.lit(11)).cast("double")
-    both = e.where("condition = 'B'").select(*keys, rank.alias("x")).join(e.where("condition = 'C'").select(*keys, rank.alias("y")), keys)
-    out = spearman(both, ["model_key", "strategy"], "x", "y").where("n >= 10")
-    return out.select("model_key", "strategy", "n", _r("rho").alias("rho"), graded(F.col("rho"), [(0.6, "HIGH"), (0.3, "MODERATE")], "LOW").alias("agreement"))
+    # a deal has one answer of each model here, so a deal gives at most a pair for each two models
+    both = e.select(*keys, F.col("model_key").alias("model_a"), rank.alias("x")).join(e.select(*keys, F.col("model_key").alias("model_b"), rank.alias("y")), keys).where("model_a < model_b")
+    out = spearman(both, ["condition", "model_a", "model_b"], "x", "y").where("n >= 10")
+    return out.select("condition", "model_a", "model_b", "n", _r("rho").alias("rho"), graded(F.col("rho"), [(0.6, "HIGH"), (0.3, "MODERATE")], "LOW").alias("agreement"))
 
 
 def spearman_significance(spark: SparkSession, root: str) -> DataFrame:
@@ -317,10 +318,11 @@ FROM (SELECT model_key, sum(ss) AS ss, sum(sc) AS sc, sum(s) AS s, sum(c) AS c F
 count(*) FILTER (NOT coalesce(any_of, false)) AS n_unknown, round(coalesce(avg(mrr) FILTER (NOT coalesce(any_of, false)), 0), 6) AS mrr_unknown
 FROM e LEFT JOIN lab ON lab.deal_id = e.deal_id AND lab.model_key = e.model_key LEFT JOIN seen ON seen.deal_id = e.deal_id WHERE condition IS NOT NULL AND e.model_key IS NOT NULL AND strategy IS NOT NULL GROUP BY ALL""",
     "spearman_rank_agreement": BASE
-    + """, rk AS (SELECT model_key, strategy, rank() OVER (PARTITION BY model_key, strategy ORDER BY x) + (count(*) OVER (PARTITION BY model_key, strategy, x) - 1) / 2.0 AS rx,
-  rank() OVER (PARTITION BY model_key, strategy ORDER BY y) + (count(*) OVER (PARTITION BY model_key, strategy, y) - 1) / 2.0 AS ry FROM pairs)
-SELECT model_key, strategy, count(*) AS n, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN round(corr(rx, ry), 6) END AS rho,
-CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 AND corr(rx, ry) > 0.6 THEN 'HIGH' WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 AND corr(rx, ry) > 0.3 THEN 'MODERATE' ELSE 'LOW' END AS agreement FROM rk GROUP BY ALL HAVING count(*) >= 10""",
+    + """, mp AS (SELECT a.condition, a.model_key AS model_a, b.model_key AS model_b, coalesce(a.target_rank, 11) AS x, coalesce(b.target_rank, 11) AS y FROM le a JOIN le b USING (deal_id, condition, strategy) WHERE a.model_key < b.model_key),
+rk AS (SELECT condition, model_a, model_b, rank() OVER (PARTITION BY condition, model_a, model_b ORDER BY x) + (count(*) OVER (PARTITION BY condition, model_a, model_b, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY condition, model_a, model_b ORDER BY y) + (count(*) OVER (PARTITION BY condition, model_a, model_b, y) - 1) / 2.0 AS ry FROM mp),
+co AS (SELECT condition, model_a, model_b, count(*) AS n, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS r FROM rk GROUP BY ALL HAVING count(*) >= 10)
+SELECT condition, model_a, model_b, n, round(r, 6) AS rho, CASE WHEN r > 0.6 THEN 'HIGH' WHEN r > 0.3 THEN 'MODERATE' ELSE 'LOW' END AS agreement FROM co""",
     "min_support_breakdown": BASE + "SELECT industry, count(DISTINCT deal_id) AS n_deals, count(*) AS n, round(avg(mrr), 6) AS mrr FROM e WHERE industry IS NOT NULL GROUP BY 1 HAVING count(DISTINCT deal_id) >= 5",
     "generated_names": BASE + "SELECT name, count(*) AS n, CAST(sum(i) AS BIGINT) AS places FROM (SELECT unnest(names) AS name, unnest(range(0, len(names))) AS i FROM nm) GROUP BY 1",
     "recall_label_rates": BASE
