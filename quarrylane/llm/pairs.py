@@ -129,7 +129,9 @@ def _judged(spark: SparkSession, root: str) -> DataFrame:
     r = table(spark, root, "responses_raw")
     kinds = judge(r, table(spark, root, "prompts_raw"), key="response_id", link="user_prompt_hash", prompt=["prompt_system", "prompt_user"], text="response_text")
     cut = _cut(spark, root).where("is_cut").select("response_id", F.lit("truncated").alias("cut"))
-    return kinds.join(cut, "response_id", "left").select("response_id", F.coalesce("kind", "cut").alias("defect_type"))
+    # a cut answer may begin with an excuse, so a cut goes before a refusal
+    first = F.when(F.col("kind").isin("empty", "copied"), F.col("kind"))
+    return kinds.join(cut, "response_id", "left").select("response_id", F.coalesce(first, "cut", "kind").alias("defect_type"))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

@@ -30,6 +30,7 @@ from ..runtime import cut_lineage
 from .answers import is_placeholder
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LAST_LETTERS = re.compile(r"(?:^|[\W_])([^\W\d_]+)$")
 _SENTENCE_END = re.compile(r"[.!?。！？][\"”')\]]*(?:\s+|$)")
 _ITEM = re.compile(r"\s*(?:\*\*)?(?:[^\W\d_]+ )?(\d{1,3})(?:[.):]|\s*:)(?:\*\*)?\s|\s*\|\s*(\d{1,3})\s*\||\s*(?:\*\*)?rank (\d{1,3}):?", re.IGNORECASE)
 _BULLET = re.compile(r"\s*[-*•] \S")
@@ -73,7 +74,7 @@ def describe(text: str) -> dict:
     ended = bool(re.search(r"[.!?。！？|\]}`\"”)*]$", last))
     return {
         "n_chars": len(text),
-        "final_word": final.lower() if _WORD.fullmatch(final) else (w[-1].lower() if (w := re.split(r"[-/'’\"(\[]", final)) and _WORD.fullmatch(w[-1]) else None),
+        "final_word": w[1].lower() if (w := _LAST_LETTERS.search(final)) else None,
         "context": _context(tokens),
         "signature": _signature(last),
         "sentence": _context(sentences[-1].split()) if sentences and last.endswith((".", "!", "?")) else None,
@@ -103,21 +104,23 @@ def _batch(columns: dict[str, list], n: int) -> pa.RecordBatch:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 'r' for texts, and sums over the batch: 'w' words, 'l' ends of lines, 's' ends of sentences."""
+    """Rows of kind 'r' for texts, and sums over the batch: 'w' words, 'l' ends and 'b' first words of lines, 's' ends of sentences."""
     words: Counter = Counter()
     line_ends: Counter = Counter()
     goes_on: Counter = Counter()
     stops: Counter = Counter()
+    begins: Counter = Counter()
 
     def sums() -> Iterator[pa.RecordBatch]:
         both = list(goes_on.keys() | stops.keys())
         for kind, keys, n, m in (
             ("w", list(words), list(words.values()), None),
             ("l", list(line_ends), list(line_ends.values()), None),
+            ("b", list(begins), list(begins.values()), None),
             ("s", both, [goes_on[k] for k in both], [stops[k] for k in both]),
         ):
             yield _batch({"kind": [kind] * len(keys), "k": keys, "n": n, "m": m or [0] * len(keys)}, len(keys))
-        for c in (words, line_ends, goes_on, stops):
+        for c in (words, line_ends, begins, goes_on, stops):
             c.clear()
 
     for b in batches:
@@ -129,9 +132,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             records.append(d | {"kind": "r", "id": key, "grp": group, "at_limit": bool(limit)})
             low = _DIGITS.sub("0", text.lower())
             found = _WORD.findall(low)
-            words.update(found[:-1] if d["final_word"] else found)
+            # what may be the stump of a word is no evidence for a word
+            words.update(found[: -2 if d["marker"] else -1] if d["marker"] or not d["ended"] else found)
             lines = [x for x in map(str.strip, low.split("\n")) if x]
             line_ends.update([" ".join(x.rsplit(None, 2)[-2:]) for x in lines[:-1]])
+            begins.update([x.split(None, 1)[0] for x in lines if " " in x])
             if d["sentence"]:
                 stops[d["sentence"]] += 1
             parts = [s for x in lines[:-1] for s in _SENTENCE_END.split(x) if s] + [s for s in _SENTENCE_END.split(lines[-1]) if s][:-1]
@@ -161,6 +166,8 @@ def trie(words: DataFrame) -> DataFrame:
 
 #: A word is known from this many occurrences on, and may complete a prefix from this many.
 KNOWN, COMPLETES = 2, 3
+#: ... and counts as unknown beside a longer word that is so many times as frequent.
+RARER = 10_000
 #: A last line that so many texts share closes a text.
 CLOSING = 5
 #: Texts of one length, against the mean of the ten lengths on either side, that make a limit.
@@ -195,7 +202,8 @@ def cut_texts(records: DataFrame, *, key: str, text: str, group: str, limit: Col
     lines = r.where(~F.col("signature").rlike("[0#]") & (F.col("item") == 0)).groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= CLOSING)
     part = F.expr("transform(sequence(1, size(split(signature, ' ')) - 1), i -> array_join(slice(split(signature, ' '), 1, i), ' '))")
     longer = lines.where("signature LIKE '% %'").select(F.explode(part).alias("signature"), F.col("n").alias("c")).groupBy("signature").agg(F.max("c").alias("c"))
-    closing = lines.join(longer, "signature", "left").where("c IS NULL OR c < n").select("signature", F.lit(True).alias("closing"))
+    first = sums("b").select(F.col("k").alias("signature"), F.col("n").alias("f"))  # a lone word that begins other lines
+    closing = lines.join(longer, "signature", "left").join(first, "signature", "left").where("(c IS NULL OR c < n) AND (f IS NULL OR f < n)").select("signature", F.lit(True).alias("closing"))
 
     # the number of items after which answers of a group have a closing line, most often
     full = r.where((F.col("items") > 0) & F.col("closed")).groupBy("grp", "items").agg(F.count("*").alias("n"))
@@ -213,15 +221,16 @@ def cut_texts(records: DataFrame, *, key: str, text: str, group: str, limit: Col
         r.withColumn("final_word", F.coalesce("final_word", alone)).withColumn("sentence", F.coalesce("sentence", alone)).join(nodes, "final_word", "left").join(ends, "context", "left").join(sentences, "sentence", "left")
         .join(closing, "signature", "left").join(full, "grp", "left").join(piled, "n_chars", "left")
     )
-    done = F.col("closed") | no(F.col("closing"))
+    unknown = no(~F.col("ended") & (F.coalesce("as_word", F.lit(0)) * RARER <= F.col("begins")) & (F.col("begins") >= COMPLETES))
+    done = F.col("closed") | no(F.col("closing")) & ~unknown
     listed = F.greatest("items", "references") >= F.col("full")
     e = e.withColumns(
         {
-            "prefix": no(~F.col("ended") & (F.coalesce("as_word", F.lit(0)) == 0) & (F.col("begins") >= COMPLETES)),
+            "prefix": unknown,
             "break": ~F.col("ended") & (F.coalesce("line_ends", F.lit(0)) < 2),
             "short": no(~F.col("fields") & F.when(F.col("item") > 0, F.col("item") < F.col("full")).otherwise((F.col("references") > 0) & ~listed)),
             "midway": no((F.col("goes_on") + F.col("stops") >= GOES_ON_OF) & (F.col("stops") <= GOES_ON * (F.col("goes_on") + F.col("stops")))) & ~no(listed),
-            "stop": (no(F.col("piled")) | F.col("at_limit")) & ~no(listed) & ~F.col("ended"),
+            "stop": (no(F.col("piled")) | F.col("at_limit")) & ~no(listed) & ~F.col("ended") & ~F.col("fields"),
         }
     )
     cut = F.col("marker") | F.col("open") | ~done & (F.col("prefix") | F.col("break") | F.col("short") | F.col("midway") | F.col("stop"))
