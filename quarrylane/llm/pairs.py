@@ -64,7 +64,7 @@ def judge(responses: DataFrame, prompts: DataFrame, *, key: str, link: str, prom
     response without a prompt cannot be a copy and is compared with English. Repeated keys count once.
     """
     asked = prompts.select(link, F.concat_ws("\n", *prompt).alias("__prompt")).where(F.col(link).isNotNull()).dropDuplicates([link])
-    rows = responses.select(F.col(key).alias("k"), link, F.col(text).alias("t")).dropDuplicates(["k"])
+    rows = responses.select(F.col(key).alias("k"), link, F.col(text).alias("t"))
     both = rows.join(asked, link, "left").select("k", "t", "__prompt")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +98,7 @@ def judge(responses: DataFrame, prompts: DataFrame, *, key: str, link: str, prom
             yield pd.DataFrame({"k": b["k"], "kind": pd.Series(kinds, dtype=object), "copy_share": shares})
 
     out = both.mapInPandas(run, both.select("k").schema.add("kind", "string").add("copy_share", "double"))
-    return out.withColumnRenamed("k", key)
+    return out.dropDuplicates(["k"]).withColumnRenamed("k", key)  # repeated rows go here, without their texts
 
 
 def _cut(spark: SparkSession, root: str) -> DataFrame:

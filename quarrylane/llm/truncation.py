@@ -182,14 +182,14 @@ def cut_texts(records: DataFrame, *, key: str, text: str, group: str, limit: Col
     group: a column whose values share what a full answer is (its number of list items). limit: true
     where the writer met its token limit. Result: key and the columns named after the kinds of
     evidence, all booleans. Null and blank texts and mere wrappers have no row. Records
-    repeated with the same key count once, with the same evidence. Other columns play no part.
+    repeated with the same key have one row. Other columns play no part.
     """
     rows = records.select(
         F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.col(group).cast("string").alias("grp"), F.coalesce(limit if limit is not None else F.lit(False), F.lit(False)).alias("at_limit")
     )
-    rows = rows.where(F.col("text").rlike(r"(?U)\S")).dropDuplicates(["id"])
+    rows = rows.where(F.col("text").rlike(r"(?U)\S"))
     scanned = cut_lineage(rows.mapInArrow(_scan, _SCHEMA))
-    r = scanned.where("kind = 'r'").select(*_RECORD)
+    r = scanned.where("kind = 'r'").select(*_RECORD).dropDuplicates(["id"])  # repeated rows go here, without their texts
 
     def sums(kind: str) -> DataFrame:
         return scanned.where(F.col("kind") == kind).groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
