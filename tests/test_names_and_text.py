@@ -60,6 +60,17 @@ def test_redaction(spark):
     assert redacted(spark, "Robotics firm", "Acme Robotics", None, None).left
 
 
+def test_description_sources(spark):
+    long = "Acme Robotics, Inc. builds welding arms for shipyards and sells them through nine distributors."
+    rows = [(long, "fallback text"), ("too short", long), (None, long), (None, None), (long.replace("Inc.", "Inc. and RoboticsOne"), None), (None, "Robotics of all kinds are sold here by the firm, which has many plants.")]
+    df = spark.createDataFrame(rows, "pit string, fb string").withColumn("n", F.lit("Acme Robotics, Inc."))
+    d = D.described(F.col("pit"), F.col("fb"), N.aliases(F.col("n")), F.col("n"), F.lit(None).cast("string"), F.lit(2020))
+    got = df.select(*[c.alias(k) for k, c in d.items()]).collect()
+    assert [r.source for r in got] == ["pit", "fallback", "fallback", "fallback_empty", "pit", "fallback"]
+    assert got[0].description == got[1].description and "Acme" not in got[0].description and not got[0].residual
+    assert got[3].description == got[5].description == D.NO_DESCRIPTION and got[5].residual and not got[3].residual
+
+
 def test_masking(spark):
     df = spark.createDataFrame([("Campbell&#39;s sells soup. CPB rose. Campbell grew.", "Campbell Soup Company (NYSE:CPB)", "CPB"), (None, "X", None), ("text", None, None)], "t string, n string, k string")
     got = [r[0] for r in df.select(D.mask_acquirer(F.col("t"), F.col("n"), F.col("k"))).collect()]
