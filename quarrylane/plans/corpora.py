@@ -10,7 +10,7 @@ from ..functions import ranking as R
 from ..functions.redaction import mask_acquirer
 from ..operators import corpus as C
 from ..operators.asof import as_known_at
-from ..operators.inference import paired_interval
+from ..operators.inference import RESAMPLES, paired_interval
 from ..operators.relational import pick_last
 from ..operators.retrieval import STOP_WORDS, bm25, lexical_text, nearest, terms, tfidf, tokens
 from ..sources.tables import table
@@ -145,7 +145,7 @@ def baseline_panel(spark: SparkSession, root: str) -> DataFrame:
     return out.unionByName(row)
 
 
-def baseline_delta(spark: SparkSession, root: str) -> DataFrame:
+def baseline_delta(spark: SparkSession, root: str, resamples: int = DRAWS) -> DataFrame:
     """mrr of the models' answers under condition B less that of BM25 on the same deals, with clustered intervals."""
     q = _queries(spark, root, False)
     lines = _lines(spark, root, q)
@@ -153,7 +153,12 @@ def baseline_delta(spark: SparkSession, root: str) -> DataFrame:
     base = place.select("deal_id", R.reciprocal_rank(F.when(F.col("place") <= R.K, F.col("place")).otherwise(0)).alias("base"))
     e = pick_last(_evaluated(spark, root).where("condition = 'B'").select("response_id", "deal_id", "acquirer_ticker", "model_key", "strategy", "mrr").na.drop(subset=["deal_id", "model_key", "strategy"]), ["deal_id", "model_key", "strategy"], ["response_id"])
     both = e.join(base, "deal_id").withColumn("d", F.col("mrr") - F.col("base")).withColumn("cluster", F.coalesce("acquirer_ticker", "deal_id"))
-    return _round_all(paired_interval(both, ["model_key", "strategy"], "d", "cluster", resamples=DRAWS), [])
+    return _round_all(paired_interval(both, ["model_key", "strategy"], "d", "cluster", resamples=resamples), [])
+
+
+def baseline_delta_full(spark: SparkSession, root: str) -> DataFrame:
+    """baseline_delta with all 1,000 resamples."""
+    return baseline_delta(spark, root, RESAMPLES)
 
 
 def dense_rank(spark: SparkSession, root: str) -> DataFrame:
@@ -174,7 +179,7 @@ def dense_metrics(spark: SparkSession, root: str) -> DataFrame:
     return first.join(label, "query").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(R.reciprocal_rank(p)), 6).alias("mrr"), F.round(F.avg(R.recall(p, 10)), 6).alias("recall_10"), F.round(F.avg(R.gain(p, 10)), 6).alias("ndcg_10"))
 
 
-NAMES = """quota_sample quota_report built_corpus deal_seeds size_windows wide_from_long corpus_invariants bm25_rank tfidf_rank baseline_panel baseline_delta dense_rank dense_metrics""".split()
+NAMES = """quota_sample quota_report built_corpus deal_seeds size_windows wide_from_long corpus_invariants bm25_rank tfidf_rank baseline_panel baseline_delta baseline_delta_full dense_rank dense_metrics""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _ROWS = """c AS (SELECT DISTINCT ON (deal_id, no) * FROM (SELECT upper(trim(deal_id)) AS deal_id, TRY_CAST(candidate_id AS INTEGER) AS no, loaded_at, target_ticker, candidate_ticker, is_target, anon_description, acquirer_ticker FROM corpus_per_deal)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking as R
 from ..functions.business import graded
-from ..operators.inference import mean_interval, paired_interval, spearman, subset_interval, with_p_value
+from ..operators.inference import RESAMPLES, mean_interval, paired_interval, spearman, subset_interval, with_p_value
 from ..operators.relational import all_and_any, pick_last, top_per_group
 from ..sources.tables import table
 
 CUT_REASONS = ("length", "max_tokens")
-#: Resamples of the registered bootstrap queries; the operators default to 1000.
+#: Resamples of the bootstrap queries that SQL repeats; those named _full draw RESAMPLES, as the original does, and have no SQL.
 DRAWS = 200
 
 
@@ -128,15 +128,25 @@ def _round_all(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
-def delta_bc_cluster_bootstrap(spark: SparkSession, root: str) -> DataFrame:
+def delta_bc_cluster_bootstrap(spark: SparkSession, root: str, resamples: int = DRAWS) -> DataFrame:
     """Intervals and p-values of the difference of mrr, drawing whole acquirers."""
     p = _paired(spark, root).withColumn("d", F.col("mrr_b") - F.col("mrr_c"))
-    return _round_all(paired_interval(p, ["model_key", "strategy"], "d", "cluster", resamples=DRAWS), [])
+    return _round_all(paired_interval(p, ["model_key", "strategy"], "d", "cluster", resamples=resamples), [])
 
 
-def bootstrap_ci_by_cell(spark: SparkSession, root: str) -> DataFrame:
+def delta_bc_cluster_bootstrap_full(spark: SparkSession, root: str) -> DataFrame:
+    """delta_bc_cluster_bootstrap with all 1,000 resamples."""
+    return delta_bc_cluster_bootstrap(spark, root, RESAMPLES)
+
+
+def bootstrap_ci_by_cell(spark: SparkSession, root: str, resamples: int = DRAWS) -> DataFrame:
     """Percentile intervals of the mean mrr of each cell."""
-    return _round_all(mean_interval(_evaluated(spark, root), CELL, "mrr", "response_id", resamples=DRAWS), [])
+    return _round_all(mean_interval(_evaluated(spark, root), CELL, "mrr", "response_id", resamples=resamples), [])
+
+
+def bootstrap_ci_by_cell_full(spark: SparkSession, root: str) -> DataFrame:
+    """bootstrap_ci_by_cell with all 1,000 resamples."""
+    return bootstrap_ci_by_cell(spark, root, RESAMPLES)
 
 
 def _recalled(spark: SparkSession, root: str) -> DataFrame:
@@ -147,11 +157,16 @@ def _recalled(spark: SparkSession, root: str) -> DataFrame:
     return pick_last(a, ["deal_id", "model_key"], ["response_id"])
 
 
-def subset_delta_ci(spark: SparkSession, root: str) -> DataFrame:
+def subset_delta_ci(spark: SparkSession, root: str, resamples: int = DRAWS) -> DataFrame:
     """Mean mrr over deals that no model recalled under condition A against all deals, by model."""
     flags = all_and_any(_recalled(spark, root), "deal_id", "model_key", "label", "SUCCESS")
     e = _evaluated(spark, root).join(flags, "deal_id", "left").withColumn("unknown", ~F.coalesce("any_of", F.lit(False)))
-    return _round_all(subset_interval(e.where("acquirer_ticker IS NOT NULL"), ["model_key"], "mrr", "unknown", "acquirer_ticker", resamples=DRAWS), [])
+    return _round_all(subset_interval(e.where("acquirer_ticker IS NOT NULL"), ["model_key"], "mrr", "unknown", "acquirer_ticker", resamples=resamples), [])
+
+
+def subset_delta_ci_full(spark: SparkSession, root: str) -> DataFrame:
+    """subset_delta_ci with all 1,000 resamples."""
+    return subset_delta_ci(spark, root, RESAMPLES)
 
 
 def subset_aggregates(spark: SparkSession, root: str) -> DataFrame:
@@ -213,7 +228,7 @@ def stale_metrics(spark: SparkSession, root: str) -> DataFrame:
 
 NAMES = """rank_eval_by_cell rank_eval_parse_tiers rank_eval_loose rank_moderators rank_summary_pivot best_cell_per_condition chance_panel delta_bc_paired
 delta_bc_cluster_bootstrap bootstrap_ci_by_cell subset_delta_ci subset_aggregates spearman_rank_agreement spearman_significance min_support_breakdown
-generated_names recall_label_rates stale_metrics""".split()
+generated_names recall_label_rates stale_metrics delta_bc_cluster_bootstrap_full bootstrap_ci_by_cell_full subset_delta_ci_full""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _ORDERED = lambda x: f"list_filter({x}, lambda x, i: list_position({x}, x) = i)"

@@ -1,0 +1,48 @@
+import random
+from pathlib import Path
+
+import pytest
+from test_inference import draw, quantile
+
+from quarrylane.operators import inference as I
+from quarrylane.plans import corpora, evaluation
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_full_queries_draw_a_thousand(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [("B", "m", "cot", f"r{i:02d}", f"d{i:02d}", f"a{i % 9}", rnd.random(), rnd.random()) for i in range(30)]
+    df = spark.createDataFrame(rows, "condition string, model_key string, strategy string, response_id string, deal_id string, acquirer_ticker string, mrr double, mrr_c double")
+    labels = spark.createDataFrame([(f"d{i:02d}", "m", "SUCCESS" if i >= 27 else "FAILURE") for i in range(30)], "deal_id string, model_key string, label string")
+    monkeypatch.setattr(evaluation, "_evaluated", lambda *_: df)
+    monkeypatch.setattr(evaluation, "_paired", lambda *_: df.withColumnsRenamed({"mrr": "mrr_b", "acquirer_ticker": "cluster"}))
+    monkeypatch.setattr(evaluation, "_recalled", lambda *_: labels)
+    value = [r[6] for r in rows]
+    tails = lambda x: [round(quantile(x, q), 6) for q in (0.025, 0.975)]
+    picked = lambda b, n: [draw(b, i, n) for i in range(n)]
+
+    r = evaluation.QUERIES["bootstrap_ci_by_cell_full"](spark, "").first()
+    assert [r.low, r.high] == pytest.approx(tails([sum(value[i] for i in picked(b, 30)) / 30 for b in range(1000)]), abs=2e-6)
+
+    by = [[x for x in rows if x[5] == f"a{k}"] for k in range(9)]
+    mean = lambda xs, f: sum(map(f, xs)) / len(xs)
+    drawn = [[x for k in picked(b, 9) for x in by[k]] for b in range(1000)]
+    r = evaluation.QUERIES["delta_bc_cluster_bootstrap_full"](spark, "").first()
+    d = lambda x: x[6] - x[7]
+    m = [mean(xs, d) for xs in drawn]
+    all_of = mean(rows, d)
+    p = min(1.0, 2 * min(sum(x - all_of >= all_of for x in m), sum(x - all_of <= all_of for x in m)) / 1000)
+    assert [r.low, r.high, r.p_value] == pytest.approx([*tails(m), p], abs=2e-6)
+
+    r = evaluation.QUERIES["subset_delta_ci_full"](spark, "").first()
+    inside = [mean([x for x in xs if x[4] < "d27"], lambda x: x[6]) - mean(xs, lambda x: x[6]) for xs in drawn]
+    assert [r.low, r.high] == pytest.approx(tails(inside), abs=2e-6)
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="the driver's tables are not here")
+def test_full_baseline_delta_draws_a_thousand(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(corpora, "paired_interval", lambda df, *_, resamples: asked.append(resamples) or df)
+    corpora.QUERIES["baseline_delta_full"](spark, SMALL)
+    assert asked == [I.RESAMPLES] == [1000]
