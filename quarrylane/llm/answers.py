@@ -1,8 +1,11 @@
-"""What a single answer is, apart from the corpus: placeholders, refusals and languages."""
+"""What a single answer is, apart from the corpus: placeholders and refusals."""
 
 from __future__ import annotations
 
 import re
+from functools import cache
+
+import numpy as np
 
 _TAG = re.compile(r"<[^<>\n]{0,40}>")
 _LETTERS = re.compile(r"[^\W_]+")
@@ -20,59 +23,104 @@ def is_placeholder(text: str | None) -> bool:
     return all(w[0] in PLACEHOLDERS for w in _LETTERS.finditer(_TAG.sub(" ", text).lower()))
 
 
-#: Phrases that decline a request.
-REFUSALS = re.compile(
-    r"""\b(?:i|we)(?:\ (?:just|really|simply|also))?\ (?:can(?:not|['’]t)|won['’]t|will\ not|am\ (?:not\ able|unable)|are\ (?:not\ able|unable)|must\ decline|have\ to\ (?:decline|pass)|would\ rather\ not|do\ not\ feel|don['’]t\ feel|refuse)
-    |\bi['’](?:m|d|ve)\ (?:unable|not\ able|rather\ not|had\ to\ decline)|\bcan['’]t\ (?:do|help|assist|answer)|\b(?:must|have\ to|will)\ (?:decline|refuse)|\bpass\ on\ this\b
-    |\bno\ (?:ranking|ordering|recommendation|comment|opinion|answer|list)s?\b[^.\n]{0,60}\b(?:will|can|is|possible|given|provided)|\bnot\ something\ (?:i|we)\ can|\bi\ have\ no\ basis\ for
-    |\boutside\ (?:of\ )?(?:what|my|the)\b[^.\n]{0,40}|\b(?:conflicts?\ with|against|violates?)\ (?:my|our|the)\b[^.\n]{0,30}(?:polic|guideline|rule)|\b(?:my|our)\ (?:guidelines|policy|policies)\b
-    |\b(?:request|question)\b[^.\n]{0,20}\b(?:declined|denied|refused|not\ processed|blocked|rejected)|\bdeclined?\b[^.\n]{0,20}\bpolic|\bnot\ (?:processed|permitted|allowed)\b|\bseeks?\ personali[sz]ed
-    |lo\ siento|no\ puedo|je\ (?:ne\ peux|refuse)|désolé|kann\ ich\ (?:leider\ )?nicht|leider\ nicht|não\ posso|抱歉|无法""",
-    re.IGNORECASE | re.VERBOSE,
-)
+#: Words of a refusal by their part in it; a star stands for any ending.
+DICTIONARY = {
+    "self": "i i'm i'd i'll i've we we're we'd we'll me us my our assistant model",
+    "not": "not n't cannot no never nothing none neither nor without unable impossible won't can't",
+    "able": "can could able will would shall may feel comfortable willing position permitted allowed possible going rather appropriate something",
+    "task": "rank* order* list* name* recommend* provid* give* given answer* help* assist* comply do doing done shar* comment* speculat* predict* advi* opinion* score* scoring select* pick* choos* choose evaluat* assess* guess* respond* complet*",
+    "decline": "declin* refus* abstain* pass reject* denied deny den* withh* forgo refrain* blocked",
+    "sorry": "sorry apolog* regret* unfortunately afraid respect however",
+    "rule": "polic* guideline* rule* prohibit* against violat* outside beyond scope confidential* manipulation legal compliance regulat* licensed liability table limits basis adviser professional",
+    "offer": "instead glad happy explain* summar* general outline otherwise else",
+    "pick": "first second third best strongest top lead* leading prefer* followed then ahead behind fit* fits suits match* because since choice winner highest #",
+}
+_OTHER_TONGUES = re.compile(r"lo\s+siento|no\s+puedo|je\s+(?:ne\s+peux|refuse)|désolé|kann\s+ich\s+(?:leider\s+)?nicht|leider\s+nicht|não\s+posso|mi\s+dispiace|non\s+posso|het\s+spijt|抱歉|无法|申し訳", re.IGNORECASE)
 _REFERENCE = re.compile(r"#\s?\d+|\bcandidate\s+\d+", re.IGNORECASE)
-_LISTED = re.compile(r"^\s*(?:\*\*)?(?:rank \d+|\d{1,2}[.)]\s+\S|\|\s*\d+\s*\||[-*]\s*#)", re.IGNORECASE | re.MULTILINE)
-_CLOSING = re.compile(r"final (?:ranking|targets)\s*[:=]\s*\[\s*[\"\d]|\"(?:ranking|targets)\"\s*:\s*\[\s*[\"\d]", re.IGNORECASE)
+_ITEM = re.compile(r"^\W*(?:[^\W\d_]+\s+)?\W*\d{1,3}\b[^\w\n]*\s", re.MULTILINE)
+_FILLED = re.compile(r"[\[(]\s*[\"\d][^\])]*[\])]")
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
+_TOKEN = re.compile(r"#|[^\W\d_]+(?:['’][^\W\d_]+)?")
+_NAME = re.compile(r"(?<![.!?;\n]\s)(?<!^)\b[A-Z][a-z]{2,}\b")
 
 
-def is_refusal(text: str) -> bool:
-    """Declines, and names or orders nothing: an excuse in front of an answer is none."""
-    if _CLOSING.search(text) or _LISTED.search(text) or len(_REFERENCE.findall(text)) > 1:
-        return False
-    return bool(REFUSALS.search(text))
-
-
-#: Words that are frequent in one of the languages and rare in the others.
-LANGUAGES = {
-    "en": "the of and to is was for that with by as are were this which its would from than but have has will it on be while without about".split(),
-    "de": "der und das den dem des mit für auf ist sind nicht sich wird werden wurde durch sowie aber oder einem einer eine ein zu zum zur vom beim ich habe danach ohne binnen ließe öffnet neuen bei im".split(),
-    "fr": "le les des une du et est dans pour sur avec sans mais par ce cette au aux ont été sont qui puis peu ne pas l d à un".split(),
-    "es": "el los las una del y con por para sin pero es se al lo su como muy más aunque podría fuera después primero quedaron en".split(),
-    "pt": "o os as uma do da dos das com não para mas ao em e foi são pelo pela um no na poderia depois primeiro novos fora".split(),
-    "it": "il gli che di della del dei una per con non è sono alla nel ma come più anche e senza dal".split(),
-    "nl": "de het een van en is zijn niet met voor op aan door maar ook bij naar uit wordt dat".split(),
-}
-_OF_LANGUAGE: dict[str, list[str]] = {}
-for _name, _words in LANGUAGES.items():
-    for _w in _words:
-        _OF_LANGUAGE.setdefault(_w, []).append(_name)
-_OTHER_SCRIPT = re.compile(r"[Ͱ-ϿЀ-ӿ֐-׿؀-ۿऀ-ॿ฀-๿぀-ヿ㐀-鿿가-힯]")
-_WORDS = re.compile(r"[^\W\d_]+")
+def _parts(words: list[str]) -> np.ndarray:
+    """Which parts of the dictionary the words have."""
+    exact, starts = _looked_up()
+    out = np.zeros(len(DICTIONARY))
+    for w in words:
+        for i in exact.get(w, ()):
+            out[i] = 1
+        for n in range(3, len(w) + 1):
+            for i in starts.get(w[:n], ()):
+                out[i] = 1
+        if w.endswith("n't"):
+            out[1] = 1
+    return out
+
+
+@cache
+def _looked_up() -> tuple[dict, dict]:
+    exact: dict[str, list[int]] = {}
+    starts: dict[str, list[int]] = {}
+    for i, words in enumerate(DICTIONARY.values()):
+        for w in words.split():
+            (starts if w.endswith("*") else exact).setdefault(w.rstrip("*"), []).append(i)
+    return exact, starts
+
 
+def refusal_features(text: str, prompt: str | None = None) -> np.ndarray:
+    """Evidence of a refusal: by sentence what the dictionary finds together, the end of the text, and what the text delivers."""
+    sentences = [s for s in _SENTENCE.split(text.strip().replace("’", "'")) if s.strip()]
+    parts = [_parts([w.lower() for w in _TOKEN.findall(s)]) for s in sentences] or [np.zeros(len(DICTIONARY))]
+    me, no, able, task, decline, sorry, rule, offer, pick = np.array(parts).T
+    last = parts[-1]
+    known = prompt or ""
+    names = [n for n in _NAME.findall(text) if n not in known and n.lower() not in ("candidate", "rank", "final", "score")]
+    references = len(_REFERENCE.findall(text))
+    return np.array(
+        [
+            1.0, (me * no * np.maximum(able, task)).max(), decline.max(), (task * np.maximum(no, rule)).max(), rule.max(), sorry.max(), (me * decline).max(),
+            max(last[6], last[7] * (1 - last[8])), (pick * (1 - np.maximum.reduce([no, decline, offer]))).max(), float(references == 1), float(references > 1), min(len(names), 2) / 2, float(len(text) > 600),
+        ]
+    )
 
-def language(text: str) -> str | None:
-    """The language that most of the text is in by its function words, 'other' for another script; None if nothing tells.
 
-    Characters of another script decide where they outnumber function words three to one.
+#: Labelled answers that the model is fitted on.
+REFUSING = """I'm sorry, but I can't help with that.|I cannot rank these companies.|I am unable to provide a recommendation.|I must decline.|I'd rather not say.|We are not able to answer this question.
+I won't give an opinion on these firms. Please consult a licensed adviser.|This is not something I can do.|I have to pass on this one.|Regrettably I refuse to name targets.|No recommendation can be given.
+Providing such a list would be against our policy.|My guidelines do not permit opinions on securities.|Request denied.|Declined.|Answer withheld for compliance reasons.|I have no basis for an answer. I can explain the criteria instead.
+Unfortunately I can't assist. The material may be confidential. I'd be happy to summarise the profile instead.|As a language model I am not permitted to advise on investments.|That request is outside my scope.|The question was blocked by policy.
+I would prefer to abstain from naming any company.|Sorry, naming acquisition targets is off the table for me.|I will not order candidates #1 to #50.|I cannot comment on Candidate #7 or any other.|I do not feel comfortable choosing among these.
+I'm not going to speculate about real firms.|It would not be appropriate for me to answer. Is there anything else you need?|I apologize; no list will be given.|With respect, I can't select any of them. There is a risk of market manipulation.|Rankings of companies are not possible here.|I'd rather not.
+I respectfully refrain from scoring anyone.|We can't share an assessment; it could amount to advice.|Your request has been rejected. Reason: policy|No comment.|I never give recommendations on shares.|This violates our rules, so nothing can be provided.""".replace("\n", "|").split("|")
+ANSWERING = """Candidate #4 is the best match.|The strongest fit is #12, then #7.|I can't rule out the others, but the strongest fit is Candidate #9.|Tellmore Holdings, then Drax. I won't list the rest.|My first choice is Candidate #3. Behind it come #8 and #2.
+It is not clear how margins develop, but #21 leads.|I would pick Norvane Foods first because it adds reach.|1. Norvane Foods\n2. Tarrow Grid|No candidate is perfect; #5 comes closest.|I cannot be certain, yet #30 and #2 suit the profile.|The profile says little about size. Even so #11 is my choice.
+Probably Quell Systems. I am not able to name a second.|None of the names is a close match; Merrow Labs is the least bad.|The firm has no overlap with the buyer, so it ranks last. #14 is first.|FINAL RANKING: [3, 1, 2]|The company declined to comment on the offer, so I looked at #8 and #9 first.
+Regulators may object, but #17 remains the leading target.|Rank 1: Candidate #02 - cannot be beaten on cost.|Our guidelines favour growth, so #6 and #40 come first.|I considered policy risks. #44 is ahead of #13.|The best is Vantor Tools, followed by Kell Energy.|Without more data I choose #1.
+Sorry for the short answer: #22, #23, #24.|Let me think about sector fit first. Utilities match the plan.|The acquirer sells pumps to water boards and wants regional reach.|Overlap is limited, and the price cannot exceed cash on hand.|First I compare the sectors, then the size.|Costs fall quickly where plants are shared.|Size is not given.
+The buyer has never paid more than its cash, so small names fit.""".split("\n")
+ANSWERING = [x.replace("\\n", "\n") for line in ANSWERING for x in line.split("|")]
+
+
+@cache
+def refusal_weights() -> np.ndarray:
+    """Logistic weights fitted on REFUSING and ANSWERING by Newton's method with a ridge."""
+    x = np.array([refusal_features(t) for t in (*REFUSING, *ANSWERING)])
+    y = np.array([1.0] * len(REFUSING) + [0.0] * len(ANSWERING))
+    b = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(b))
+        b = b + np.linalg.solve(h, x.T @ (y - p) - 0.05 * b)
+    return b
+
+
+def is_refusal(text: str, prompt: str | None = None) -> bool:
+    """Declines, and names or orders nothing: an excuse in front of an answer is none.
+
+    Names that the prompt has are no answer. Texts with two list items or a filled list are never a refusal.
     """
-    counts = dict.fromkeys(LANGUAGES, 0.0)
-    for w in _WORDS.findall(text.lower()):
-        names = _OF_LANGUAGE.get(w)
-        if names:
-            for n in names:
-                counts[n] += 1 / len(names)
-    other = len(_OTHER_SCRIPT.findall(text))
-    if other >= 8 and other > 3 * max(counts.values()):  # names and headings may stay Latin
-        return "other"
-    best = max(counts, key=counts.__getitem__)
-    return best if counts[best] >= 2 else None
+    if _FILLED.search(text) or len(_REFERENCE.findall(text)) > 2 or len(_ITEM.findall(text)) > 1:
+        return False
+    return bool(_OTHER_TONGUES.search(text)) or float(refusal_features(text, prompt) @ refusal_weights()) > 0

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .answers import is_placeholder, is_refusal, language
-from .truncation import cut_texts
+from .answers import is_refusal
+from .languages import language
+from .truncation import cut_texts, judged, scan, scan_rows
 
 #: A copy needs at most this share of its bytes when compressed with the prompt as dictionary.
 COPY_SHARE = 0.2
@@ -19,6 +18,12 @@ COPY_SHARE = 0.2
 COPY_GAIN = 0.5
 #: Bytes of a frame that says nothing.
 _FRAME = 8
+#: Log odds of a cut from which it goes before a refusal.
+CLEARLY_CUT = 2.0
+#: A prompt that more than this share of the responses answer is copied SPREAD times for the join.
+HOT_SHARE, SPREAD = 1e-3, 64
+
+
 def plain(text: str) -> str:
     """Lower case, without marks of quoting and emphasis and with single spaces."""
     return " ".join(text.lower().replace(">", " ").replace("*", " ").replace("|", " ").split())
@@ -36,8 +41,6 @@ class CopyMeter:
 
     def share(self, prompt: str, response: str) -> float:
         body = plain(response).encode()
-        if len(body) < 24:
-            return 1.0
         held = self.held.get(prompt)
         if held is None:
             size = len(prompt.encode())
@@ -46,65 +49,77 @@ class CopyMeter:
             held = self.held[prompt] = self.z.ZstdCompressor(dict_data=data, compression_params=params)
             if len(self.held) > self.keep:
                 self.held.popitem(last=False)
-        return max(0, len(held.compress(body)) - _FRAME) / len(body)
+        return max(0, len(held.compress(body)) - _FRAME) / max(1, len(body))
 
-    def is_copy(self, prompt: str, response: str, share: float) -> bool:
+    def is_copy(self, response: str, share: float) -> bool:
         """Whether ``share`` is that of a copy."""
         if share > COPY_SHARE:
             return False
         body = plain(response).encode()
-        alone = max(1, len(self.z.ZstdCompressor(level=3, write_content_size=False).compress(body)) - _FRAME) / len(body)
+        alone = max(1, len(self.z.ZstdCompressor(level=3, write_content_size=False).compress(body)) - _FRAME) / max(1, len(body))
         return share <= COPY_GAIN * alone
 
 
-def judge(responses: DataFrame, prompts: DataFrame, *, key: str, link: str, prompt: list[str], text: str) -> DataFrame:
-    """key, kind ('empty', 'copied', 'refusal', 'other_language' or null) and copy_share of each response.
-
-    prompts: its columns ``prompt`` hold the prompt's parts; rows repeated exactly count once. A
-    response without a prompt cannot be a copy and is compared with English. Repeated keys count once.
+def verdicts():
+    """A function from response and prompt to 'copied', 'refusal', 'other_language' or None, and the copy's share of bytes."""
+    meter = CopyMeter()
+    spoken: OrderedDict[str, str] = OrderedDict()
+
+    def judge(text: str, prompt: str | None) -> tuple[str | None, float]:
+        share = meter.share(prompt, text) if prompt else 1.0
+        if prompt and meter.is_copy(text, share):
+            return "copied", share
+        if is_refusal(text, prompt):
+            return "refusal", share
+        asked = spoken.get(prompt) if prompt else "en"
+        if asked is None:
+            asked = spoken[prompt] = language(prompt) or "en"
+            if len(spoken) > 256:
+                spoken.popitem(last=False)
+        own = language(text, asked)
+        return ("other_language" if own not in (None, asked) else None), share
+
+    return judge
+
+
+def with_prompt(rows: DataFrame, prompts: DataFrame, link: str, prompt: list[str]) -> DataFrame:
+    """Add ``prompt``, the parts ``prompt`` of the prompt with the same ``link``, a frequent prompt's rows spread over many tasks."""
+    asked = prompts.where(F.col(link).isNotNull()).select(link, F.concat_ws("\n", *prompt).alias("prompt")).groupBy(link).agg(F.min("prompt").alias("prompt"))
+    n = rows.count()
+    hot = rows.where(F.col(link).isNotNull()).groupBy(link).agg(F.count("*").alias("c")).where(F.col("c") > max(1000, HOT_SHARE * n)).select(link, F.lit(True).alias("hot"))  # at most 1 / HOT_SHARE rows
+    hot = F.broadcast(hot)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0).alias("salt")
+    copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    left = rows.join(hot, link, "left").select(*rows.columns, salt)
+    right = asked.join(hot, link, "left").select(link, "prompt", copies)
+    return left.join(right, [link, "salt"], "left").drop("salt")
+
+
+def judge(responses: DataFrame, prompts: DataFrame, *, key: str, link: str, prompt: list[str], text: str, group: str, limit=None) -> DataFrame:
+    """key, defect_type (null for a usable answer), copy_share and is_cut of each response, in one pass over the texts.
+
+    prompts: its columns ``prompt`` hold the prompt's parts; of several prompts with one link the least
+    counts. A response without a prompt cannot be a copy and is compared with English. Repeated keys
+    count once. group and limit as for ``cut_texts``. Which kind goes first: empty, copied, a clear cut,
+    refusal, cut, other language (a cut answer may begin with an excuse).
     """
-    asked = prompts.select(link, F.concat_ws("\n", *prompt).alias("__prompt")).where(F.col(link).isNotNull()).dropDuplicates([link])
-    rows = responses.select(F.col(key).alias("k"), link, F.col(text).alias("t"))
-    both = rows.join(asked, link, "left").select("k", "t", "__prompt")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        meter = CopyMeter()
-        spoken: OrderedDict[str, str | None] = OrderedDict()
-        for b in batches:
-            kinds, shares = [], []
-            for t, p in zip(b["t"], b["__prompt"], strict=True):
-                t = t if isinstance(t, str) else None
-                p = p if isinstance(p, str) else None
-                kind, share = None, 1.0
-                if is_placeholder(t):
-                    kind = "empty"
-                else:
-                    share = meter.share(p, t) if p else 1.0
-                    if p and meter.is_copy(p, t, share):
-                        kind = "copied"
-                    elif is_refusal(t):
-                        kind = "refusal"
-                    else:
-                        own = language(t)
-                        if own is not None:
-                            if p is not None and p not in spoken:
-                                spoken[p] = language(p)
-                                if len(spoken) > 256:
-                                    spoken.popitem(last=False)
-                            if own != ((spoken[p] if p is not None else None) or "en"):
-                                kind = "other_language"
-                kinds.append(kind)
-                shares.append(share)
-            yield pd.DataFrame({"k": b["k"], "kind": pd.Series(kinds, dtype=object), "copy_share": shares})
-
-    out = both.mapInPandas(run, both.select("k").schema.add("kind", "string").add("copy_share", "double"))
-    return out.dropDuplicates(["k"]).withColumnRenamed("k", key)  # repeated rows go here, without their texts
+    rows = with_prompt(scan_rows(responses, key=key, text=text, group=group, limit=limit, keep=[link]), prompts, link, prompt)
+    scanned = scan(rows.select("id", "text", "grp", "at_limit", "prompt"), responses.count(), verdicts)
+    cut = judged(scanned).select("id", "is_cut", "score")
+    told = scanned.where("kind IN ('r', 'e')").groupBy("id").agg(F.max("verdict").alias("verdict"), F.max("copy_share").alias("copy_share"))  # repeated rows go here, without their texts
+    both = told.join(cut, "id", "left")
+    verdict = F.col("verdict")
+    truncated = F.when(F.col("is_cut"), "truncated")
+    kind = F.when(verdict.isin("empty", "copied"), verdict).when(F.col("score") > CLEARLY_CUT, "truncated").otherwise(F.coalesce(F.when(verdict == "refusal", verdict), truncated, verdict))
+    return both.select(F.col("id").cast(responses.schema[key].dataType).alias(key), kind.alias("defect_type"), "copy_share", F.coalesce("is_cut", F.lit(False)).alias("is_cut"))
+
+
+_MET = ("length", "max_tokens")
 
 
 def _cut(spark: SparkSession, root: str) -> DataFrame:
     r = table(spark, root, "responses_raw")
-    met = F.lower("finish_reason").isin("length", "max_tokens")
-    return cut_texts(r, key="response_id", text="response_text", group="condition", limit=met)
+    return cut_texts(r, key="response_id", text="response_text", group="condition", limit=F.lower("finish_reason").isin(*_MET))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -127,11 +142,10 @@ def p3_by_provider(spark: SparkSession, root: str) -> DataFrame:
 
 def _judged(spark: SparkSession, root: str) -> DataFrame:
     r = table(spark, root, "responses_raw")
-    kinds = judge(r, table(spark, root, "prompts_raw"), key="response_id", link="user_prompt_hash", prompt=["prompt_system", "prompt_user"], text="response_text")
-    cut = _cut(spark, root).where("is_cut").select("response_id", F.lit("truncated").alias("cut"))
-    # a cut answer may begin with an excuse, so a cut goes before a refusal
-    first = F.when(F.col("kind").isin("empty", "copied"), F.col("kind"))
-    return kinds.join(cut, "response_id", "left").select("response_id", F.coalesce(first, "cut", "kind").alias("defect_type"))
+    return judge(
+        r, table(spark, root, "prompts_raw"), key="response_id", link="user_prompt_hash", prompt=["prompt_system", "prompt_user"], text="response_text",
+        group="condition", limit=F.lower("finish_reason").isin(*_MET),
+    ).select("response_id", "defect_type")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

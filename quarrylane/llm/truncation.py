@@ -1,18 +1,19 @@
 """Texts that were cut off (problem 3).
 
-What speaks for a cut, from the whole corpus:
-
-* prefix - the final token is no word of the corpus but a proper prefix of one, looked up in a trie
-  of the corpus vocabulary (a table with a row for each node);
-* context - the text breaks off inside a line: its last two words never end a line elsewhere;
-* marker - a cut mark or a broken character at the end;
-* open - a bracket, code fence or object that was begun is not closed;
-* short - a list ends before the number of items that answers of its group have, with nothing after it;
-* sentence - the last sentence is one that texts go on after;
-* limit - the length is one at which texts of the corpus pile up, or the token limit was met, and
-  the list or the closing line is missing.
-
-A text whose last line is a complete closing line is never a cut one, whatever its length.
+Three kinds of evidence are read off the end of each text and looked up in counts over the whole corpus:
+
+* the final token in a trie of the corpus vocabulary (a table with a row for each node): a word, a
+  proper prefix of a known word, or neither;
+* the terminal context: how often the last two words end a line, how often the last sentence ends a
+  text, whether the last line is one that closes texts or a beginning of one, what is left open;
+* the length: a length at which texts pile up, a token limit that was met, a list or a set of
+  references shorter than the one that texts of the same group mostly have.
+
+A logistic model weighs them. Nobody labels records: the model first learns from cuts that are made
+on purpose, at a hashed place of each text of a bounded sample, and is then fitted again to all
+records by their own posteriors, so that lengths and marks get their weight too. The fit sees a table
+of counts of combinations of evidence, whose size does not depend on the corpus, and every piece of
+evidence is a share or a ratio, so a corpus repeated ten times gives each record the same verdict.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +34,26 @@ from .answers import is_placeholder
 _WORD = re.compile(r"[^\W\d_]+")
 _LAST_LETTERS = re.compile(r"(?:^|[\W_])([^\W\d_]+)$")
 _SENTENCE_END = re.compile(r"[.!?。！？][\"”')\]]*(?:\s+|$)")
-_ITEM = re.compile(r"\s*(?:\*\*)?(?:[^\W\d_]+ )?(\d{1,3})(?:[.):]|\s*:)(?:\*\*)?\s|\s*\|\s*(\d{1,3})\s*\||\s*(?:\*\*)?rank (\d{1,3}):?", re.IGNORECASE)
-_BULLET = re.compile(r"\s*[-*•] \S")
-_MARKER = re.compile(r"(?:…|\.\.\.|�|[\[(<](?:cut|truncated|continued|snip|\.\.\.)[^\]\)>]{0,20}[\])>])\W*$", re.IGNORECASE)
-_CLOSED = re.compile(r"(?:final (?:ranking|targets)\s*[:=]\s*\[[^\]]*\]|\{[^{}]*\[[^\]]*\]\s*\})\W{0,4}$", re.IGNORECASE)
-_OPEN = re.compile(r"(?:final\b[^\n\[]*|\{[^{}\n]*)\[[^\]]*$|\{[^{}]*$", re.IGNORECASE)
+_NUMBERED = re.compile(r"\W*(?:[^\W\d_]+\s+)?\W*(\d{1,3})(?!\d)")
+_BULLET = re.compile(r"\s*[-*•–] \S")
+#: Marks that stand where a text was broken off.
+_MARKER = re.compile(r"(?:…|\.\.\.|�|[\[(<](?:cut|truncated|continued|snip|\.\.\.)[^\]\)>]*[\])>])\W*$", re.IGNORECASE)
 _REFERENCE = re.compile(r"#(\d+)")
-_FIELDS = re.compile(r"\w+: [^|\n]*\| \w+")
 _DIGITS = re.compile(r"-?\d+(?:[.,]\d+)*")
+_QUOTED = re.compile(r"\"[^\"]*\"")
+_RUN = re.compile(r"(0|\"q\")(?:, ?\1)+")
+#: Lines longer than this are told apart by a digest.
+_LONG = 200
+
+#: Texts of the sample that is cut on purpose, at most.
+FIT_TEXTS = 50_000
+#: Share of the texts from which on a last line counts as a common one; so there are at most 1 / COMMON.
+COMMON = 1e-3
+#: A word counts as unknown beside a longer word that is so many times as frequent.
+RARER = 10_000
+ROUNDS = 8
+#: Weight of the made cuts in the fit against that of the cuts told among the records.
+MADE = 0.3
 
 
 def _context(words: list[str]) -> str:
@@ -47,9 +61,9 @@ def _context(words: list[str]) -> str:
 
 
 def _signature(line: str) -> str:
-    """The line without its figures; of a long line a digest, since closing lines are short."""
-    s = _DIGITS.sub("0", line.lower())
-    return s if len(s) <= 200 else hashlib.md5(s.encode()).hexdigest()
+    """The line with its figures, quoted names and runs of them made equal; of a long line a digest."""
+    s = _RUN.sub(r"\1", _QUOTED.sub('"q"', _DIGITS.sub("0", line.lower())))
+    return s if len(s) <= _LONG else hashlib.md5(s.encode()).hexdigest()
 
 
 def describe(text: str) -> dict:
@@ -57,183 +71,300 @@ def describe(text: str) -> dict:
     body = text.rstrip()
     lines = [x for x in body.split("\n") if x.strip()]
     last = lines[-1].strip() if lines else ""
+    mark = _MARKER.search(last)
+    if mark and last[: mark.start()].strip():
+        last = last[: mark.start()].rstrip()
     items = bullets = at = 0
-    for x in lines:
-        if m := _ITEM.match(x):
-            items = max(items, int(m[1] or m[2] or m[3]))
+    for i, x in enumerate(lines, 1 - len(lines)):
+        m = _NUMBERED.match(x)
+        if m and int(m[1]) == items + 1:
+            items += 1
+            at = 0 if i else items
         elif _BULLET.match(x):
             bullets += 1
-    m = _ITEM.match(last)
-    if m:
-        at = int(m[1] or m[2] or m[3])
-    elif _BULLET.match(last) and bullets > 1:
-        at = bullets
+            at = 0 if i else -1
+    if bullets > max(1, items):
+        items, at = bullets, bullets if at < 0 else 0
     tokens = last.split()
     final = tokens[-1] if tokens else ""
+    end = last.rstrip("\"”'’*_`")[-1:]
+    tail = 0 if end in ".!?。！？" else 1 if end in ")]}|>" else 2 if end.isalnum() else 3
     sentences = [x.strip() for x in _SENTENCE_END.split(last) if x.strip()]
-    ended = bool(re.search(r"[.!?。！？|\]}`\"”)*]$", last))
     return {
         "n_chars": len(text),
+        "digest": int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "little", signed=True),
+        "tail": tail,
         "final_word": w[1].lower() if (w := _LAST_LETTERS.search(final)) else None,
         "context": _context(tokens),
         "signature": _signature(last),
-        "sentence": _context(sentences[-1].split()) if sentences and last.endswith((".", "!", "?")) else None,
-        "ended": ended,
-        "marker": bool(_MARKER.search(body[-40:])),
-        "closed": bool(_CLOSED.search(last)) or (last == "```" and body.count("```") % 2 == 0),
-        "open": (body.count("```") % 2 == 1 or bool(_OPEN.search(last))) and not bool(_CLOSED.search(last) and body.count("```") % 2 == 0),
-        "item": at,
-        "items": max(items, bullets if bullets > 1 else 0),
+        "sentence": _context(sentences[-1].split()) if sentences and tail == 0 else None,
+        "marker": bool(mark),
+        "open": any(body.count(a) > body.count(b) for a, b in ("[]", "{}")) or last.count("(") > last.count(")") or body.count("```") % 2 == 1 or last.count('"') % 2 == 1 or last.count("**") % 2 == 1,
+        "item": max(at, 0),
+        "items": items,
         "references": len(set(_REFERENCE.findall(body))),
-        "fields": bool(_FIELDS.search(last)),
     }
 
 
 _SCHEMA = (
-    "kind string, k string, n long, m long, id string, grp string, n_chars int, final_word string, context string, signature string, "
-    "sentence string, ended boolean, marker boolean, closed boolean, `open` boolean, item int, items int, `references` int, fields boolean, at_limit boolean"
+    "kind string, k string, n long, m long, id string, grp string, n_chars int, digest long, tail int, final_word string, context string, signature string, "
+    "sentence string, marker boolean, `open` boolean, item int, items int, `references` int, at_limit boolean, verdict string, copy_share double"
 )
 _RECORD = [x.strip().split()[0].strip("`") for x in _SCHEMA.split(",")][4:]
-
-
-_ARROW = pa.schema([(n.strip("`"), {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in _SCHEMA.split(","))])
+_ARROW = pa.schema([(n.strip("`"), {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for n, t in (x.split() for x in _SCHEMA.split(","))])
 
 
 def _batch(columns: dict[str, list], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 'r' for texts, and sums over the batch: 'w' words, 'l' ends and 'b' first words of lines, 's' ends of sentences."""
-    words: Counter = Counter()
-    line_ends: Counter = Counter()
-    goes_on: Counter = Counter()
-    stops: Counter = Counter()
-    begins: Counter = Counter()
-
-    def sums() -> Iterator[pa.RecordBatch]:
-        both = list(goes_on.keys() | stops.keys())
-        for kind, keys, n, m in (
-            ("w", list(words), list(words.values()), None),
-            ("l", list(line_ends), list(line_ends.values()), None),
-            ("b", list(begins), list(begins.values()), None),
-            ("s", both, [goes_on[k] for k in both], [stops[k] for k in both]),
-        ):
-            yield _batch({"kind": [kind] * len(keys), "k": keys, "n": n, "m": m or [0] * len(keys)}, len(keys))
-        for c in (words, line_ends, begins, goes_on, stops):
-            c.clear()
-
-    for b in batches:
-        records = []
-        for key, text, group, limit in zip(*(b.column(c).to_pylist() for c in ("id", "text", "grp", "at_limit")), strict=True):
-            if is_placeholder(text):
-                continue
-            d = describe(text)
-            records.append(d | {"kind": "r", "id": key, "grp": group, "at_limit": bool(limit)})
-            low = _DIGITS.sub("0", text.lower())
-            found = _WORD.findall(low)
-            # what may be the stump of a word is no evidence for a word
-            words.update(found[: -2 if d["marker"] else -1] if d["marker"] or not d["ended"] else found)
-            lines = [x for x in map(str.strip, low.split("\n")) if x]
-            line_ends.update([" ".join(x.rsplit(None, 2)[-2:]) for x in lines[:-1]])
-            begins.update([x.split(None, 1)[0] for x in lines if " " in x])
-            if d["sentence"]:
-                stops[d["sentence"]] += 1
-            parts = [s for x in lines[:-1] for s in _SENTENCE_END.split(x) if s] + [s for s in _SENTENCE_END.split(lines[-1]) if s][:-1]
-            goes_on.update([" ".join(s.rsplit(None, 2)[-2:]) for s in parts])
-        if records:
-            yield _batch({c: [d[c] for d in records] for c in records[0]}, len(records))
-        if len(words) > 500_000 or len(line_ends) > 500_000:
-            yield from sums()
-    yield from sums()
-
-
-MOST_LETTERS = 60
+def shortened(key: str, text: str, rate: float) -> str | None:
+    """The text cut at a place given by a digest of its key, every fourth at the end of the line before it, for ``rate`` of the keys."""
+    h = hashlib.md5((key or "").encode()).digest()
+    if int.from_bytes(h[:6], "little") >= rate * (1 << 48):
+        return None
+    short = text[: 1 + int.from_bytes(h[6:12], "little") * (len(text) - 1) >> 48]
+    if h[12] % 4 == 0:
+        short = short[: max(0, short.rfind("\n"))] or short
+    return None if is_placeholder(short) else short
+
+
+Judge = Callable[[str, str | None], tuple[str | None, float]]
+
+
+def scanner(rate: float, judge: Callable[[], Judge] | None = None):
+    """A mapInArrow function over (id, text, grp, at_limit), and with ``judge`` also prompt.
+
+    It gives a row of kind 'r' for each text, one of kind 'c' for a text cut on purpose, and sums over
+    the batches: 'w' words, 'l' ends of lines, 's' ends of sentences (n inside a text, m at its end).
+    judge: makes a function from text and prompt to a verdict and a share, which the rows then have;
+    null texts and placeholders get a row of kind 'e' with the verdict 'empty'.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = judge() if judge else None
+        words: Counter = Counter()
+        line_ends: Counter = Counter()
+        goes_on: Counter = Counter()
+        stops: Counter = Counter()
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            both = list(goes_on.keys() | stops.keys())
+            for kind, keys, n, m in (
+                ("w", list(words), list(words.values()), None),
+                ("l", list(line_ends), list(line_ends.values()), None),
+                ("s", both, [goes_on[k] for k in both], [stops[k] for k in both]),
+            ):
+                yield _batch({"kind": [kind] * len(keys), "k": keys, "n": n, "m": m or [0] * len(keys)}, len(keys))
+            for c in (words, line_ends, goes_on, stops):
+                c.clear()
+
+        for b in batches:
+            records, empty = [], []
+            prompts = b.column("prompt").to_pylist() if of else [None] * b.num_rows
+            for key, text, group, limit, prompt in zip(*(b.column(c).to_pylist() for c in ("id", "text", "grp", "at_limit")), prompts, strict=True):
+                if is_placeholder(text):
+                    empty.append(key)
+                    continue
+                d = describe(text)
+                verdict, share = of(text, prompt) if of else (None, None)
+                records.append(d | {"kind": "r", "id": key, "grp": group, "at_limit": bool(limit), "verdict": verdict, "copy_share": share})
+                short = shortened(key, text, rate)
+                if short:
+                    records.append(describe(short) | {"kind": "c", "id": key, "grp": group, "at_limit": False, "verdict": None, "copy_share": None})
+                low = _DIGITS.sub("0", text.lower())
+                found = _WORD.findall(low)
+                # what may be the stump of a word is no evidence for a word
+                words.update(found[: -2 if d["marker"] else -1] if d["marker"] or d["tail"] == 2 else found)
+                lines = [x for x in map(str.strip, low.split("\n")) if x]
+                line_ends.update([" ".join(x.rsplit(None, 2)[-2:]) for x in lines[:-1]])
+                if d["sentence"]:
+                    stops[d["sentence"]] += 1
+                parts = [s for x in lines[:-1] for s in _SENTENCE_END.split(x) if s] + [s for s in _SENTENCE_END.split(lines[-1]) if s][:-1]
+                goes_on.update([" ".join(s.rsplit(None, 2)[-2:]) for s in parts])
+            if records:
+                yield _batch({c: [d[c] for d in records] for c in records[0]}, len(records))
+            if of and empty:
+                yield _batch({"kind": ["e"] * len(empty), "id": empty, "verdict": ["empty"] * len(empty), "copy_share": [1.0] * len(empty)}, len(empty))
+            if len(words) > 500_000 or len(line_ends) > 500_000:
+                yield from sums()
+        yield from sums()
+
+    return scan
 
 
 def trie(words: DataFrame) -> DataFrame:
     """Nodes of the trie of ``words`` (k, n): the prefix, how often it is a word, and how often it begins a longer word.
 
-    A run of more than MOST_LETTERS letters is no word and has no nodes; its number of prefixes
-    would grow as the square of its length.
+    Words of any length are nodes; only a run of more than 60 letters, whose number of prefixes would
+    grow as its square, is looked up as a whole word and not as something that others begin.
     """
     length = F.length("k")
-    nodes = words.where(length <= MOST_LETTERS).select(F.explode(F.sequence(F.lit(1), length)).alias("i"), "k", "n")
+    start = F.when(length <= 60, F.lit(1)).otherwise(length)
+    nodes = words.where(length > 0).select(F.explode(F.sequence(start, length)).alias("i"), "k", "n")
     return nodes.select(F.expr("left(k, i)").alias("prefix"), F.when(F.col("i") == F.length("k"), F.col("n")).otherwise(0).alias("w"), F.when(F.col("i") < F.length("k"), F.col("n")).otherwise(0).alias("b")).groupBy("prefix").agg(
         F.sum("w").alias("as_word"), F.max("b").alias("begins")
     )
 
 
-#: A word is known from this many occurrences on, and may complete a prefix from this many.
-KNOWN, COMPLETES = 2, 3
-#: ... and counts as unknown beside a longer word that is so many times as frequent.
-RARER = 10_000
-#: A last line that so many texts share closes a text.
-CLOSING = 5
-#: Texts of one length, against the mean of the ten lengths on either side, that make a limit.
-PILE, PILE_TIMES = 8, 6
-#: A sentence that at most this share of its occurrences ends a text, of at least so many, does not end one.
-GOES_ON, GOES_ON_OF = 0.003, 30
+def _bins(c: Column, edges: list[float]) -> Column:
+    """0 for null or up to the first edge, 1 up to the second, ..."""
+    out = F.when(c.isNull() | (c <= edges[0]), 0)
+    for i, e in enumerate(edges[1:], 1):
+        out = out.when(c <= e, i)
+    return out.otherwise(len(edges))
 
 
-def cut_texts(records: DataFrame, *, key: str, text: str, group: str, limit: Column | None = None) -> DataFrame:
-    """The records of ``text`` with the evidence for a cut and ``is_cut``.
+#: Evidence by name, with its number of values; the last three are not to be had from cuts made on purpose.
+EVIDENCE = {"final": 10, "context": 3, "closing": 5, "listed": 8, "whole": 2, "sentence": 5, "repeated": 2, "open": 2, "marker": 2, "piled": 3, "at_limit": 2}
+_LATER = ("marker", "piled", "at_limit")
 
-    group: a column whose values share what a full answer is (its number of list items). limit: true
-    where the writer met its token limit. Result: key and the columns named after the kinds of
-    evidence, all booleans. Null and blank texts and mere wrappers have no row. Records
-    repeated with the same key have one row. Other columns play no part.
-    """
-    rows = records.select(
-        F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.col(group).cast("string").alias("grp"), F.coalesce(limit if limit is not None else F.lit(False), F.lit(False)).alias("at_limit")
-    )
-    rows = rows.where(F.col("text").rlike(r"(?U)\S"))
-    scanned = cut_lineage(rows.mapInArrow(_scan, _SCHEMA))
-    r = scanned.where("kind = 'r'").select(*_RECORD).dropDuplicates(["id"])  # repeated rows go here, without their texts
+
+def _evidence(r: DataFrame, scanned: DataFrame) -> DataFrame:
+    """kind, id and the values of EVIDENCE of each text."""
 
     def sums(kind: str) -> DataFrame:
         return scanned.where(F.col("kind") == kind).groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
-    nodes = trie(sums("w").where(F.col("n") >= KNOWN)).withColumnRenamed("prefix", "final_word")
+    real = r.where("kind = 'r'")
+    copies = real.groupBy("digest").agg(F.count("*").alias("copies"))
+    total = copies.agg(F.sum("copies").alias("records"), F.count("*").alias("texts"))
+    nodes = trie(sums("w")).withColumnRenamed("prefix", "final_word")
     ends = sums("l").select(F.col("k").alias("context"), F.col("n").alias("line_ends"))
     sentences = sums("s").select(F.col("k").alias("sentence"), F.col("n").alias("goes_on"), F.col("m").alias("stops"))
 
-    # closing lines: last lines without figures that many texts share and that no commoner one continues
-    lines = r.where(~F.col("signature").rlike("[0#]") & (F.col("item") == 0)).groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= CLOSING)
-    part = F.expr("transform(sequence(1, size(split(signature, ' ')) - 1), i -> array_join(slice(split(signature, ' '), 1, i), ' '))")
-    longer = lines.where("signature LIKE '% %'").select(F.explode(part).alias("signature"), F.col("n").alias("c")).groupBy("signature").agg(F.max("c").alias("c"))
-    first = sums("b").select(F.col("k").alias("signature"), F.col("n").alias("f"))  # a lone word that begins other lines
-    closing = lines.join(longer, "signature", "left").join(first, "signature", "left").where("(c IS NULL OR c < n) AND (f IS NULL OR f < n)").select("signature", F.lit(True).alias("closing"))
+    # equal texts count once, and a text is no evidence for itself
+    lines = real.groupBy("signature").agg((F.count_distinct("digest") - 1).alias("lasts"))
+    common = lines.crossJoin(F.broadcast(total)).where(F.col("lasts") >= COMMON * F.col("texts")).where(F.length("signature") <= _LONG)  # at most 1 / COMMON rows
+    part = F.expr("transform(sequence(1, length(signature) - 1), i -> rtrim(left(signature, i)))")
+    begun = common.where("length(signature) > 1").select(F.explode(F.array_distinct(part)).alias("signature"), F.col("lasts").alias("longer")).groupBy("signature").agg(F.max("longer").alias("longer"))
 
-    # the number of items after which answers of a group have a closing line, most often
-    full = r.where((F.col("items") > 0) & F.col("closed")).groupBy("grp", "items").agg(F.count("*").alias("n"))
-    full = full.groupBy("grp").agg(F.max_by("items", F.struct("n", "items")).alias("full"))
+    # how many items, and how many references, texts of a group mostly have
+    most = lambda c: real.where(F.col(c) > 0).groupBy("grp", c).agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by(c, F.struct("n", c)).alias(f"full_{c}"))
+    full = most("items").join(most("references"), "grp", "full")
 
-    # lengths at which texts pile up
-    lengths = r.groupBy("n_chars").agg(F.count("*").alias("n"))
+    # lengths at which texts pile up: their number against that of the ten lengths on either side
+    lengths = real.groupBy("n_chars").agg((F.count_distinct("digest") - 1).alias("n"))
     around = lengths.select(F.explode(F.sequence(F.col("n_chars") - 10, F.col("n_chars") + 10)).alias("n_chars"), F.col("n").alias("o")).groupBy("n_chars").agg(F.sum("o").alias("o"))
-    piled = lengths.join(around, "n_chars").where((F.col("n") >= PILE) & (F.col("n") * 20 >= PILE_TIMES * (F.col("o") - F.col("n")))).select("n_chars", F.lit(True).alias("piled"))
-
-    no = lambda c: F.coalesce(c, F.lit(False))
-    # records without a key get one of their own, so that they do not gather in one task
-    alone = F.concat(F.lit("\0"), "id")
-    e = (
-        r.withColumn("final_word", F.coalesce("final_word", alone)).withColumn("sentence", F.coalesce("sentence", alone)).join(nodes, "final_word", "left").join(ends, "context", "left").join(sentences, "sentence", "left")
-        .join(closing, "signature", "left").join(full, "grp", "left").join(piled, "n_chars", "left")
-    )
-    unknown = no(~F.col("ended") & (F.coalesce("as_word", F.lit(0)) * RARER <= F.col("begins")) & (F.col("begins") >= COMPLETES))
-    done = F.col("closed") | no(F.col("closing")) & ~unknown
-    listed = F.greatest("items", "references") >= F.col("full")
-    e = e.withColumns(
-        {
-            "prefix": unknown,
-            "break": ~F.col("ended") & (F.coalesce("line_ends", F.lit(0)) < 2),
-            "short": no(~F.col("fields") & F.when(F.col("item") > 0, F.col("item") < F.col("full")).otherwise((F.col("references") > 0) & ~listed)),
-            "midway": no((F.col("goes_on") + F.col("stops") >= GOES_ON_OF) & (F.col("stops") <= GOES_ON * (F.col("goes_on") + F.col("stops")))) & ~no(listed),
-            "stop": (no(F.col("piled")) | F.col("at_limit")) & ~no(listed) & ~F.col("ended") & ~F.col("fields"),
-        }
-    )
-    cut = F.col("marker") | F.col("open") | ~done & (F.col("prefix") | F.col("break") | F.col("short") | F.col("midway") | F.col("stop"))
+    piles = lengths.join(around, "n_chars").crossJoin(F.broadcast(total))
+    piles = piles.select("n_chars", (F.col("n") / ((F.col("o") - F.col("n")) / 20 + COMMON / 2 * F.col("texts"))).alias("times"))
+
+    # texts without a key to look up get one of their own, so that they do not gather in one task
+    alone = F.concat(F.lit("\0"), "kind", "id")
+    # frequent keys, such as closing lines, are spread: both sides of a lookup carry a salt
+    e = r.withColumn("final_word", F.coalesce("final_word", alone)).withColumn("sentence", F.coalesce("sentence", alone)).crossJoin(F.broadcast(total))
+    e = e.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+    def look_up(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+        wanted = df.select(key).distinct()
+        return df.join(other.join(wanted, key, "left_semi").select("*", salts), [key, "salt"], "left")
+
+    for other, k in ((nodes, "final_word"), (ends, "context"), (sentences, "sentence"), (lines, "signature"), (copies, "digest")):
+        e = look_up(e, other, k)
+    e = e.join(F.broadcast(begun), "signature", "left").join(full, "grp", "left").join(piles, "n_chars", "left")
+    w, b = F.coalesce("as_word", F.lit(0)), F.coalesce("begins", F.lit(0))
+    final = F.when(F.col("tail") != 2, F.when(F.col("tail") == 3, 3).otherwise(F.col("tail"))).when(F.col("final_word").startswith("\0"), 2)
+    final = final.when((w == 0) & (b == 0), 4).when(w * RARER <= b, 5).when(w <= b, 6)
+    context = _bins(F.col("line_ends") / F.col("records"), [0.0, COMMON])
+    final = final.otherwise(F.lit(7) + context)  # a whole word says something only together with its neighbour
+    share = F.col("lasts") / F.col("texts")
+    closing = F.when(F.col("longer") >= 10 * F.coalesce("lasts", F.lit(0)), 4).otherwise(_bins(share, [2e-4, COMMON, 1e-2]))
+    fi, fr = F.coalesce("full_items", F.lit(0)), F.coalesce("full_references", F.lit(0))
+    listed = F.when(F.col("items") > 0, F.when(F.col("item") > 0, 1).otherwise(3) + F.when(F.col("items") >= fi, 1).otherwise(0))
+    listed = listed.when(F.col("references") > 0, F.when(F.col("references") >= fr, 6).otherwise(5)).otherwise(0)
+    # a text that has all its references, whatever its list looks like
+    listed = F.when((F.col("items") > 0) & (F.col("items") < fi) & (F.col("references") >= fr) & (fr > 0), 7).otherwise(listed)
+    seen = F.col("stops") + F.col("goes_on")
+    whole = (context > 0) & listed.isin(2, 4, 6, 7)  # all that a text of the group has, and an end where lines end
     return e.select(
-        F.col("id").cast(records.schema[key].dataType).alias(key), "prefix", F.col("break").alias("context"), "marker", "open", "short", F.col("midway").alias("sentence"), F.col("stop").alias("limit"), cut.alias("is_cut")
-    )
+        "kind", "id", final.alias("final"), context.alias("context"), closing.alias("closing"), listed.alias("listed"), whole.cast("int").alias("whole"),
+        F.when(seen.isNull() | (seen == 0), 0).otherwise(1 + _bins(F.col("stops") / seen, [0.003, 0.05, 0.5])).alias("sentence"),
+        _bins(F.col("copies") / (F.col("records") / F.col("texts")), [2.5]).alias("repeated"), F.col("open").cast("int").alias("open"), F.col("marker").cast("int").alias("marker"), _bins(F.col("times"), [2.0, 5.0]).alias("piled"), F.col("at_limit").cast("int").alias("at_limit"),
+    )
+
+
+SALTS = 16
+
+
+def _design(values: np.ndarray, leave_out: tuple[str, ...] = ()) -> np.ndarray:
+    """A constant and an indicator for each value of each piece of evidence."""
+    columns = [np.ones(len(values))]
+    for i, (name, n) in enumerate(EVIDENCE.items()):
+        for v in range(1, n):
+            columns.append(np.zeros(len(values)) if name in leave_out else (values[:, i] == v).astype(float))
+    return np.stack(columns, axis=1)
+
+
+def _logistic(a: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
+    b = np.zeros(a.shape[1])
+    penalty = np.full(len(b), ridge)
+    penalty[0] = 1e-9
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        h = (a * (w * p * (1 - p))[:, None]).T @ a + np.diag(penalty)
+        step = np.linalg.solve(h, a.T @ (w * (y - p)) - penalty * b)
+        b = b + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return b
+
+
+def fit(values: np.ndarray, real: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """Weights from combinations of evidence (rows of ``values``) with their counts among records and among cuts made on purpose.
+
+    All counts are taken as shares, so a corpus repeated as a whole gives the same weights.
+    """
+    if not real.sum() or not made.sum():
+        return np.zeros(1 + sum(n - 1 for n in EVIDENCE.values()))
+    real, made = real / real.sum(), made / made.sum()
+    first = _design(values, _LATER)
+    stacked, y = np.concatenate([first, first]), np.concatenate([np.zeros(len(values)), np.ones(len(values))])
+    odds = first @ _logistic(stacked, y, np.concatenate([real, made]), 1e-4)
+    # a record that looks like a made cut rather than like records in general is one
+    cut = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    cut = (cut > 0.5).astype(float)
+    full = _design(values)
+    for _ in range(ROUNDS):
+        # the made cuts stay in the fit beside those told so far, with the evidence they have
+        a, y = np.concatenate([full, full, first]), np.concatenate([np.ones(len(values)), np.zeros(len(values)), np.ones(len(values))])
+        b = _logistic(a, y, np.concatenate([real * cut, real * (1 - cut), made * MADE * (real @ cut)]), 1e-4)
+        cut = 1 / (1 + np.exp(-np.clip(full @ b, -30, 30)))
+    return b
+
+
+def cut_texts(records: DataFrame, *, key: str, text: str, group: str, limit: Column | None = None) -> DataFrame:
+    """The records of ``text`` with the evidence for a cut, its log odds ``score`` and ``is_cut`` (log odds over 0).
+
+    group: a column whose values share what a full text is (its number of list items). limit: true
+    where the writer met its token limit. Result: key and the columns of EVIDENCE, small whole numbers.
+    Null and blank texts and mere wrappers have no row. Records repeated with the same key have one
+    row. Other columns play no part. An empty table gives no rows.
+    """
+    scanned = scan(scan_rows(records, key=key, text=text, group=group, limit=limit).where(F.col("text").rlike(r"(?U)\S")), records.count())
+    return judged(scanned).withColumn(key, F.col("id").cast(records.schema[key].dataType)).select(key, *EVIDENCE, "score", "is_cut")
+
+
+def scan_rows(records: DataFrame, *, key: str, text: str, group: str, limit: Column | None, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """The columns that ``scan`` reads."""
+    met = F.coalesce(limit if limit is not None else F.lit(False), F.lit(False))
+    return records.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.col(group).cast("string").alias("grp"), met.alias("at_limit"), *keep)
+
+
+def scan(rows: DataFrame, n: int, judge: Callable[[], Judge] | None = None) -> DataFrame:
+    """What a ``scanner`` gives for ``rows``, of which there are about ``n``; written once."""
+    return cut_lineage(rows.mapInArrow(scanner(min(1.0, FIT_TEXTS / max(1, n)), judge), _SCHEMA))
+
+
+def judged(scanned: DataFrame) -> DataFrame:
+    """id, EVIDENCE, score and is_cut from what a ``scanner`` gave."""
+    r = scanned.where("kind IN ('r', 'c')").select("kind", *_RECORD).dropDuplicates(["kind", "id"])  # repeated rows go here, without their texts
+    e = cut_lineage(_evidence(r, scanned))
+    counts = e.groupBy(*EVIDENCE).agg(F.count_if(F.col("kind") == "r").alias("real"), F.count_if(F.col("kind") == "c").alias("made")).orderBy(*EVIDENCE).toPandas()  # combinations of small numbers
+    b = fit(counts[list(EVIDENCE)].to_numpy(), counts["real"].to_numpy(dtype=float), counts["made"].to_numpy(dtype=float))
+    score, at = F.lit(float(b[0])), 1
+    for name, n in EVIDENCE.items():
+        weights = F.array(F.lit(0.0), *[F.lit(float(x)) for x in b[at : at + n - 1]])
+        score, at = score + F.get(weights, F.col(name)), at + n - 1
+    e = e.where("kind = 'r'").withColumn("score", F.round(score, 6))
+    return e.select("id", *EVIDENCE, "score", (F.col("score") > 0).alias("is_cut"))
