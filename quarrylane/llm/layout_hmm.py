@@ -1,7 +1,7 @@
 """Keyword-stuffed pages and link lists (problem 8).
 
 A page is cut in segments (lines, and within a line sentences of at most SEGMENT_WORDS words).
-Each segment is described by six small discrete features, and a hidden Markov model with the
+Each segment is described by seven small discrete features, and a hidden Markov model with the
 states prose, link list, tag list, menu and stuffed sentences (search words set into sentences, counted
 as tag list) labels the sequence. A page is flagged when more than
 half of its words lie in segments that are not prose.
@@ -29,20 +29,21 @@ SEGMENT_WORDS = 40
 #: Segments before the present one in which its word pairs are looked up.
 REPEAT_WINDOW = 8
 
-#: Frequent function words of the languages of the corpus.
-FUNCTION_WORDS = frozenset(
-    """
-the of and to in a is was for on that with we our by as at from it its be are were or an this which these not has
-have had will their they but than after before since all no into under over during although because while where who
-he she his her you your i can could would may might should been being there here more most some any each other such
-der die das und in im den dem des ein eine einen einem einer zu zum zur mit von für auf ist sind nicht sich bei nach
-vor aus an um als auch über durch seit wegen ohne soll sollen wird werden wurde haben hat trotz binnen alle mehrere rund
-le la les un une des du de et en au aux pour par sur est dans que qui avec ce cette ses son sa ne pas plus se a été sont
-sans après avant depuis leur leurs elle il ils nous vous mais ou où tout tous comme aussi entre
-el los las un una unos unas del y al por para con que es su sus no más lo como fue sin tras desde hasta entre sobre ya
-o um uma os as do da dos das e com não mais foi são pelo pela
-""".split()
-)
+#: Frequent function words by language; a page's share of them is that of the language it has most of.
+FUNCTION_WORDS = {
+    "en": """the of and to in a is was for on that with we our by as at from it its be are were or an this which these not has
+    have had will their they but than after before since all no into under over during although because while where who
+    he she his her you your i can could would may might should been being there here more most some any each other such""",
+    "de": """der die das und in im den dem des ein eine einen einem einer zu zum zur mit von für auf ist sind nicht sich bei nach
+    vor aus an um als auch über durch seit wegen ohne soll sollen wird werden wurde haben hat trotz alle mehrere rund""",
+    "fr": """le la les un une des du de et en au aux pour par sur est dans que qui avec ce cette ses son sa ne pas plus se a été sont
+    sans après avant depuis leur leurs elle il ils nous vous mais ou où tout tous comme aussi entre""",
+    "es": "el la los las un una unos unas de del y al por para con que es su sus no más lo como fue sin tras desde hasta entre sobre ya en se a o",
+    "pt": "o a os as um uma do da dos das de e com não mais foi são pelo pela em que para por se no na ao sua seu como",
+    "it": "il lo la gli le i un una di del della dei e che con per non è sono al alla nel ma come più anche senza dal si in",
+    "nl": "de het een van en in is dat op te zijn met voor niet aan er om ook als dan maar bij door uit naar wordt",
+}
+_KNOWN = [frozenset(v.split()) for v in FUNCTION_WORDS.values()]
 
 #: Starting point and pseudo-counts of the model: for each feature, the states' chances of its values.
 START = np.array([0.82, 0.05, 0.06, 0.05, 0.02])
@@ -65,8 +66,8 @@ EMISSIONS = {
 }
 SIZES = [len(v[0]) for v in EMISSIONS.values()]
 OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
-#: What the tables above weigh in the fit, in segments.
-PRIOR_WEIGHT = 2000.0
+#: What the tables above weigh in the fit, against all segments of the corpus; the rare fifth state has at least a twentieth of it.
+PRIOR_SHARE = 0.02
 
 _WORD = re.compile(r"\w+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ0-9])(?=[A-ZÀ-Þ])")
@@ -98,15 +99,17 @@ def _bin(value: float, edges: tuple[float, ...]) -> int:
 def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature values of each segment (segments x features, uint8) and its number of words."""
     codes, sizes = bytearray(), []
-    known = FUNCTION_WORDS.__contains__
-    last: dict[tuple[str, str], tuple[int, int]] = {}  # word pair -> its last two segments
-    for at, s in enumerate(segments(text or "")):
+    cut = []
+    for s in segments(text or ""):
         prose, links, link_words = s, 0, 0
         if "." in s[:-1]:
             prose, links = _LINK.subn(" ", s)
             if links:
                 link_words = len(_WORD.findall(s)) - len(_WORD.findall(prose))
-        words = _WORD.findall((_CAMEL.sub(" ", prose) if "#" in prose else prose).lower())
+        cut.append((s, prose, links, link_words, _WORD.findall((_CAMEL.sub(" ", prose) if "#" in prose else prose).lower())))
+    known = max(_KNOWN, key=lambda k: sum(sum(map(k.__contains__, c[4])) for c in cut)).__contains__
+    last: dict[tuple[str, str], tuple[int, int]] = {}  # word pair -> its last two segments
+    for at, (s, prose, links, link_words, words) in enumerate(cut):
         n = len(words)
         repeats, inner = 0.0, 0
         if n > 1:
@@ -122,7 +125,7 @@ def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             repeats = repeats / (n - 1) if n > 3 else 0.4 * repeats / (n - 1)
         share = sum(map(known, words)) / n if n else 0
         bare = s.rstrip("\"”)'")
-        ends = 1 if n >= 4 and bare and bare[-1] in ".!?" else 0
+        ends = 1 if n >= 4 and bare and bare[-1] in ".!?:" else 0
         if ends and share > 0.25:  # a plain sentence: its pieces and capitals tell nothing more
             pieces, case = 0, 0 if s[0].islower() else 1
         else:
@@ -166,10 +169,12 @@ class Model:
     def refit(self, counts: np.ndarray) -> Model:
         """Add the corpus counts (starts, moves, emissions) to the prior's weight."""
         first = Model.prior()
-        start = np.exp(first.start) * PRIOR_WEIGHT + counts[:K]
-        move = np.exp(first.move) * PRIOR_WEIGHT + counts[K : K + K * K].reshape(K, K)
-        emit = np.exp(first.emit) * PRIOR_WEIGHT + counts[K + K * K :].reshape(K, -1)
-        emit[4] = np.exp(first.emit[4])  # too rare to fit: it would drift to any text that repeats
+        weight = PRIOR_SHARE * counts[K + K * K : K + K * K + OFFSETS[-1] * K].sum() / len(SIZES)
+        if not weight:
+            return first
+        start = np.exp(first.start) * weight + counts[:K]
+        move = np.exp(first.move) * weight + counts[K : K + K * K].reshape(K, K)
+        emit = np.exp(first.emit) * weight + counts[K + K * K :].reshape(K, -1)
         parts = [emit[:, a:b] / emit[:, a:b].sum(axis=1, keepdims=True) for a, b in zip(OFFSETS, OFFSETS[1:], strict=False)]
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), np.concatenate(parts, axis=1))
 
@@ -245,7 +250,7 @@ def _counted(pages: DataFrame, model: Model) -> np.ndarray:
 def layout_shares(documents: DataFrame, *, key: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
     """Words of each document and how many of them lie in link lists, tag lists and menus.
 
-    Result: the key, n_words, link_words, tag_words, menu_words and non_prose_share (0 for a text
+    Result: the key, n_words, link_words, tag_words, menu_words, and non_prose_share (0 for a text
     without words: null, empty or white space). Repeated rows stay repeated; other columns of
     ``documents`` play no part. An empty table gives an empty result.
     """

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarrylane.llm import layout_hmm as L
+from quarrylane.llm.pages import is_spam
 
 SUBJECTS = ["The board", "A regional court", "One large customer", "The finance team", "Our plant in Lindmoor", "The union at Zelford", "Several landlords"]
 VERBS = ["approved", "delayed", "tested", "insured", "trimmed", "relocated", "questioned"]
@@ -52,6 +53,22 @@ def test_pages(spark):
     assert L.layout_shares(df.limit(0)).count() == 0
 
 
+def test_ordinary_pages_with_lists_and_stubs(spark):
+    """Held-out layouts: a glossary, a table, a list, contact lines within sentences, and stubs of a few words."""
+    rnd = random.Random(9)
+    good, bad = documents()
+    around = prose(rnd, 4)
+    kept = {
+        900: around + "\n\nGlossary\nEBITDA: earnings before interest and taxes\nLTV: loan to value\nSPAC: a company without a business\n\n" + prose(rnd, 3),
+        901: around + "\n\n| Segment | Sales | Margin |\n|---|---|---|\n| Pumps | 120 | 12% |\n| Valves | 80 | 9% |\n\n" + prose(rnd, 2),
+        902: "The plant makes three products for the region:\n- pumps\n- valves\n- bearings\n\n" + around, 903: around + "\nContact: www.acme.example", 904: "None.", 905: "Page not found.", 906: "Text to follow.", 907: "n/a",
+    }
+    spam_too = {910: "#" + " #".join(w.title().replace(" ", "") for w in KEYS * 4), 911: spam(rnd, 2) + "\n\n" + prose(rnd, 1)}
+    df = spark.createDataFrame([*{**good, **bad, **kept, **spam_too}.items()], "doc_id long, text string")
+    flagged = {r.doc_id for r in L.layout_shares(df).where(is_spam()).collect()}
+    assert flagged == set(bad) | set(spam_too)
+
+
 def test_viterbi_against_enumeration():
     from itertools import product
 
