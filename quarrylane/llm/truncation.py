@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import write_once
 from .answers import is_placeholder
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -53,7 +53,7 @@ COMMON = 1e-3
 RARER = 10_000
 ROUNDS = 8
 #: Weight of the made cuts in the fit against that of the cuts told among the records.
-MADE = 0.3
+MADE = 0.2
 
 
 def _context(words: list[str]) -> str:
@@ -88,11 +88,11 @@ def describe(text: str) -> dict:
     tokens = last.split()
     final = tokens[-1] if tokens else ""
     end = last.rstrip("\"”'’*_`")[-1:]
-    tail = 0 if end in ".!?。！？" else 1 if end in ")]}|>" else 2 if end.isalnum() else 3
+    tail = 0 if end in ".!?。！？" else 1 if end in ")]}|>" else 2 if end.isalnum() or end in "%°" else 3
     sentences = [x.strip() for x in _SENTENCE_END.split(last) if x.strip()]
     return {
         "n_chars": len(text),
-        "digest": int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "little", signed=True),
+        "digest": hashlib.md5(text.encode("utf-8", "replace")).hexdigest()[:20],
         "tail": tail,
         "final_word": w[1].lower() if (w := _LAST_LETTERS.search(final)) else None,
         "context": _context(tokens),
@@ -107,7 +107,7 @@ def describe(text: str) -> dict:
 
 
 _SCHEMA = (
-    "kind string, k string, n long, m long, id string, grp string, n_chars int, digest long, tail int, final_word string, context string, signature string, "
+    "kind string, k string, n long, m long, id string, grp string, n_chars int, digest string, tail int, final_word string, context string, signature string, "
     "sentence string, marker boolean, `open` boolean, item int, items int, `references` int, at_limit boolean, verdict string, copy_share double"
 )
 _RECORD = [x.strip().split()[0].strip("`") for x in _SCHEMA.split(",")][4:]
@@ -216,8 +216,10 @@ def _bins(c: Column, edges: list[float]) -> Column:
 
 
 #: Evidence by name, with its number of values; the last three are not to be had from cuts made on purpose.
-EVIDENCE = {"final": 10, "context": 3, "closing": 5, "listed": 8, "whole": 2, "sentence": 5, "repeated": 2, "open": 2, "marker": 2, "piled": 3, "at_limit": 2}
+EVIDENCE = {"final": 11, "context": 3, "closing": 5, "listed": 8, "whole": 2, "sentence": 5, "repeated": 2, "open": 2, "marker": 2, "piled": 3, "at_limit": 2}
 _LATER = ("marker", "piled", "at_limit")
+#: The value of ``final`` for an unknown token that is a proper prefix of known words.
+STUMP = 5
 
 
 def _evidence(r: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -249,23 +251,18 @@ def _evidence(r: DataFrame, scanned: DataFrame) -> DataFrame:
     piles = lengths.join(around, "n_chars").crossJoin(F.broadcast(total))
     piles = piles.select("n_chars", (F.col("n") / ((F.col("o") - F.col("n")) / 20 + COMMON / 2 * F.col("texts"))).alias("times"))
 
-    # texts without a key to look up get one of their own, so that they do not gather in one task
-    alone = F.concat(F.lit("\0"), "kind", "id")
-    # frequent keys, such as closing lines, are spread: both sides of a lookup carry a salt
-    e = r.withColumn("final_word", F.coalesce("final_word", alone)).withColumn("sentence", F.coalesce("sentence", alone)).crossJoin(F.broadcast(total))
-    e = e.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-
-    def look_up(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-        wanted = df.select(key).distinct()
-        return df.join(other.join(wanted, key, "left_semi").select("*", salts), [key, "salt"], "left")
-
-    for other, k in ((nodes, "final_word"), (ends, "context"), (sentences, "sentence"), (lines, "signature"), (copies, "digest")):
-        e = look_up(e, other, k)
-    e = e.join(F.broadcast(begun), "signature", "left").join(full, "grp", "left").join(piles, "n_chars", "left")
+    e = r.crossJoin(F.broadcast(total))
+    others = {"final_word": nodes, "context": ends, "sentence": sentences, "signature": lines, "digest": copies, "n_chars": piles}
+    # keys that more than COMMON of the texts share, such as closing lines, are looked up in a small table of their own
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).cast("string").alias("key")) for k in others]))
+    frequent = r.select(every.alias("x")).select("x.*").where("key IS NOT NULL").groupBy("of", "key").agg(F.count("*").alias("c"))
+    frequent = write_once(frequent.crossJoin(F.broadcast(total)).where(F.col("c") >= F.greatest(F.lit(100), COMMON * F.col("records"))).select("of", "key").coalesce(1))  # at most 2 / COMMON a lookup
+    for k, other in others.items():
+        e = _look_up(e, other, k, frequent.where(F.col("of") == k).select(F.col("key").cast(r.schema[k].dataType).alias(k)))
+    e = e.join(F.broadcast(begun), "signature", "left").join(full, "grp", "left")
     w, b = F.coalesce("as_word", F.lit(0)), F.coalesce("begins", F.lit(0))
-    final = F.when(F.col("tail") != 2, F.when(F.col("tail") == 3, 3).otherwise(F.col("tail"))).when(F.col("final_word").startswith("\0"), 2)
-    final = final.when((w == 0) & (b == 0), 4).when(w * RARER <= b, 5).when(w <= b, 6)
+    final = F.when(F.col("tail") != 2, F.when(F.col("tail") == 3, 3).otherwise(F.col("tail"))).when(F.col("final_word").isNull(), F.when(F.col("line_ends") > 0, 10).otherwise(2))
+    final = final.when((w == 0) & (b == 0), 4).when(w * RARER <= b, STUMP).when(w <= b, 6)
     context = _bins(F.col("line_ends") / F.col("records"), [0.0, COMMON])
     final = final.otherwise(F.lit(7) + context)  # a whole word says something only together with its neighbour
     share = F.col("lasts") / F.col("texts")
@@ -284,7 +281,17 @@ def _evidence(r: DataFrame, scanned: DataFrame) -> DataFrame:
     )
 
 
-SALTS = 16
+def _look_up(df: DataFrame, other: DataFrame, key: str, frequent: DataFrame) -> DataFrame:
+    """Left join on ``key``, whose ``frequent`` values (few) are broadcast with what ``other`` has for them; nulls and these stay spread."""
+    values = [c for c in other.columns if c != key]
+    few = other.join(F.broadcast(frequent), key).select(key, F.struct(*values).alias("__few"))
+    rest = other.select(F.col(key).alias("__k"), *values)
+    out = df.join(F.broadcast(few), key, "left")
+    # rows that need nothing more get a key that no other row has, so that they do not gather in one task
+    alone = -F.abs(F.hash("kind", "id")) - 1 if dict(df.dtypes)[key] == "int" else F.concat(F.lit("\0"), "kind", "id")
+    out = out.withColumn("__w", F.when(F.col("__few").isNotNull() | F.col(key).isNull(), alone).otherwise(F.col(key)))
+    out = out.join(rest, F.col("__w") == F.col("__k"), "left")
+    return out.select(*df.columns, *[F.coalesce(f"__few.{v}", v).alias(v) for v in values])
 
 
 def _design(values: np.ndarray, leave_out: tuple[str, ...] = ()) -> np.ndarray:
@@ -334,7 +341,8 @@ def fit(values: np.ndarray, real: np.ndarray, made: np.ndarray) -> np.ndarray:
 
 
 def cut_texts(records: DataFrame, *, key: str, text: str, group: str, limit: Column | None = None) -> DataFrame:
-    """The records of ``text`` with the evidence for a cut, its log odds ``score`` and ``is_cut`` (log odds over 0).
+    """The records of ``text`` with the evidence for a cut, its log odds ``score`` and ``is_cut`` (log odds over 0, or a
+    final token that is an unknown proper prefix of known words).
 
     group: a column whose values share what a full text is (its number of list items). limit: true
     where the writer met its token limit. Result: key and the columns of EVIDENCE, small whole numbers.
@@ -353,13 +361,13 @@ def scan_rows(records: DataFrame, *, key: str, text: str, group: str, limit: Col
 
 def scan(rows: DataFrame, n: int, judge: Callable[[], Judge] | None = None) -> DataFrame:
     """What a ``scanner`` gives for ``rows``, of which there are about ``n``; written once."""
-    return cut_lineage(rows.mapInArrow(scanner(min(1.0, FIT_TEXTS / max(1, n)), judge), _SCHEMA))
+    return write_once(rows.mapInArrow(scanner(min(1.0, FIT_TEXTS / max(1, n)), judge), _SCHEMA), by="kind")
 
 
 def judged(scanned: DataFrame) -> DataFrame:
     """id, EVIDENCE, score and is_cut from what a ``scanner`` gave."""
     r = scanned.where("kind IN ('r', 'c')").select("kind", *_RECORD).dropDuplicates(["kind", "id"])  # repeated rows go here, without their texts
-    e = cut_lineage(_evidence(r, scanned))
+    e = write_once(_evidence(r, scanned))
     counts = e.groupBy(*EVIDENCE).agg(F.count_if(F.col("kind") == "r").alias("real"), F.count_if(F.col("kind") == "c").alias("made")).orderBy(*EVIDENCE).toPandas()  # combinations of small numbers
     b = fit(counts[list(EVIDENCE)].to_numpy(), counts["real"].to_numpy(dtype=float), counts["made"].to_numpy(dtype=float))
     score, at = F.lit(float(b[0])), 1
@@ -367,4 +375,5 @@ def judged(scanned: DataFrame) -> DataFrame:
         weights = F.array(F.lit(0.0), *[F.lit(float(x)) for x in b[at : at + n - 1]])
         score, at = score + F.get(weights, F.col(name)), at + n - 1
     e = e.where("kind = 'r'").withColumn("score", F.round(score, 6))
-    return e.select("id", *EVIDENCE, "score", (F.col("score") > 0).alias("is_cut"))
+    # an end that is no word but the beginning of known ones decides by itself, also in a corpus too small for a good fit
+    return e.select("id", *EVIDENCE, "score", ((F.col("score") > 0) | (F.col("final") == STUMP)).alias("is_cut"))
