@@ -46,7 +46,7 @@ _RUN = re.compile(r"(0|\"q\")(?:, ?\1)+")
 _LONG = 200
 
 #: Texts of the sample that is cut on purpose, at most.
-FIT_TEXTS = 50_000
+FIT_TEXTS = 20_000
 #: Share of the texts from which on a last line counts as a common one; so there are at most 1 / COMMON.
 COMMON = 1e-3
 #: A word counts as unknown beside a longer word that is so many times as frequent.
@@ -222,78 +222,89 @@ _LATER = ("marker", "piled", "at_limit")
 STUMP = 5
 
 
-def _evidence(r: DataFrame, scanned: DataFrame) -> DataFrame:
-    """kind, id and the values of EVIDENCE of each text."""
+#: What is looked up for each text, and the place in its facts.
+_LOOKED_UP = ("final_word", "context", "sentence", "signature", "digest", "n_chars", "grp")
 
-    def sums(kind: str) -> DataFrame:
-        return scanned.where(F.col("kind") == kind).groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
-    real = r.where("kind = 'r'")
-    copies = real.groupBy("digest").agg(F.count("*").alias("copies"))
-    total = copies.agg(F.sum("copies").alias("records"), F.count("*").alias("texts"))
-    nodes = trie(sums("w")).withColumnRenamed("prefix", "final_word")
-    ends = sums("l").select(F.col("k").alias("context"), F.col("n").alias("line_ends"))
-    sentences = sums("s").select(F.col("k").alias("sentence"), F.col("n").alias("goes_on"), F.col("m").alias("stops"))
-
-    # equal texts count once, and a text is no evidence for itself
-    lines = real.groupBy("signature").agg((F.count_distinct("digest") - 1).alias("lasts"))
-    common = lines.crossJoin(F.broadcast(total)).where(F.col("lasts") >= COMMON * F.col("texts")).where(F.length("signature") <= _LONG)  # at most 1 / COMMON rows
-    part = F.expr("transform(sequence(1, length(signature) - 1), i -> rtrim(left(signature, i)))")
-    begun = common.where("length(signature) > 1").select(F.explode(F.array_distinct(part)).alias("signature"), F.col("lasts").alias("longer")).groupBy("signature").agg(F.max("longer").alias("longer"))
-
-    # how many items, and how many references, texts of a group mostly have
-    most = lambda c: real.where(F.col(c) > 0).groupBy("grp", c).agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by(c, F.struct("n", c)).alias(f"full_{c}"))
-    full = most("items").join(most("references"), "grp", "full")
+def _facts(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
+    """of, key, x, y for every key of a text in ``wanted``: counts of the corpus for words, contexts, sentences, last lines, whole texts and lengths.
 
+    x, y are: occurrences as a word and as the beginning of one; ends of lines; sentences that go on and
+    that end a text; other texts with the last line; texts alike; how the length piles up; items and
+    references that texts of a group mostly have.
+    """
+    named = lambda df, of, x, y=F.lit(0.0): df.select(F.lit(of).alias("of"), F.col("key"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    sums = scanned.where("kind IN ('l', 's')").select(F.when(F.col("kind") == "l", "context").otherwise("sentence").alias("of"), F.col("k").alias("key"), F.col("n").cast("double").alias("x"), F.col("m").cast("double").alias("y"))
+    words = scanned.where("kind = 'w'").groupBy("k").agg(F.sum("n").alias("n"))
+    nodes = named(trie(words).withColumnRenamed("prefix", "key"), "final_word", F.col("as_word"), F.col("begins"))
+    counted = sums.unionByName(nodes).groupBy("of", "key").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+    real = wanted.where("kind = 'r'")
+    lines = named(real.where("of = 'signature'").groupBy("key").agg((F.count_distinct("digest") - 1).alias("n")), "signature", F.col("n"))
+    copies = named(real.where("of = 'digest'").groupBy("key").agg(F.count("*").alias("n")), "digest", F.col("n"))
     # lengths at which texts pile up: their number against that of the ten lengths on either side
-    lengths = real.groupBy("n_chars").agg((F.count_distinct("digest") - 1).alias("n"))
-    around = lengths.select(F.explode(F.sequence(F.col("n_chars") - 10, F.col("n_chars") + 10)).alias("n_chars"), F.col("n").alias("o")).groupBy("n_chars").agg(F.sum("o").alias("o"))
-    piles = lengths.join(around, "n_chars").crossJoin(F.broadcast(total))
-    piles = piles.select("n_chars", (F.col("n") / ((F.col("o") - F.col("n")) / 20 + COMMON / 2 * F.col("texts"))).alias("times"))
-
-    e = r.crossJoin(F.broadcast(total))
-    others = {"final_word": nodes, "context": ends, "sentence": sentences, "signature": lines, "digest": copies, "n_chars": piles}
-    # keys that more than COMMON of the texts share, such as closing lines, are looked up in a small table of their own
-    every = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).cast("string").alias("key")) for k in others]))
-    frequent = r.select(every.alias("x")).select("x.*").where("key IS NOT NULL").groupBy("of", "key").agg(F.count("*").alias("c"))
-    frequent = write_once(frequent.crossJoin(F.broadcast(total)).where(F.col("c") >= F.greatest(F.lit(100), COMMON * F.col("records"))).select("of", "key").coalesce(1))  # at most 2 / COMMON a lookup
-    for k, other in others.items():
-        e = _look_up(e, other, k, frequent.where(F.col("of") == k).select(F.col("key").cast(r.schema[k].dataType).alias(k)))
-    e = e.join(F.broadcast(begun), "signature", "left").join(full, "grp", "left")
-    w, b = F.coalesce("as_word", F.lit(0)), F.coalesce("begins", F.lit(0))
-    final = F.when(F.col("tail") != 2, F.when(F.col("tail") == 3, 3).otherwise(F.col("tail"))).when(F.col("final_word").isNull(), F.when(F.col("line_ends") > 0, 10).otherwise(2))
+    lengths = real.where("of = 'n_chars'").groupBy(F.col("key").cast("int").alias("c")).agg((F.count_distinct("digest") - 1).alias("n"))
+    around = lengths.select(F.explode(F.sequence(F.col("c") - 10, F.col("c") + 10)).alias("c"), "n")
+    lengths = lengths.select("c", F.col("n").alias("own"), F.lit(0).alias("n")).unionByName(around.select("c", F.lit(None).cast("long").alias("own"), "n")).groupBy("c").agg(F.max("own").alias("own"), F.sum("n").alias("n"))
+    lengths = named(lengths.where("own IS NOT NULL").withColumn("key", F.col("c").cast("string")), "n_chars", F.col("own"), F.col("n") - F.col("own"))
+    most = real.where("of = 'grp'").select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(("items", "references"))])).alias("q")).where("q.v > 0")
+    most = most.groupBy("key", "q").agg(F.count("*").alias("n")).groupBy("key").agg(*[F.max(F.when(F.col("q.i") == i, F.struct("n", "q.v"))).alias(f"m{i}") for i in (0, 1)])
+    groups = named(most, "grp", F.coalesce("m0.v", F.lit(0)), F.coalesce("m1.v", F.lit(0)))
+    return counted.unionByName(lines).unionByName(copies).unionByName(lengths).unionByName(groups)
+
+
+def _evidence(scanned: DataFrame) -> DataFrame:
+    """kind, id, digest and the values of EVIDENCE of each text.
+
+    All that is to be looked up is brought into one long form (of, key), met by the facts in one join
+    and gathered again by text. Keys that many texts share, such as closing lines, meet their facts
+    in a broadcast table of at most 1 / COMMON rows for each kind of lookup, the others by a shuffle.
+    """
+    r = scanned.where("kind IN ('r', 'c')").select("kind", *_RECORD)
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).cast("string").alias("key")) for k in _LOOKED_UP])).alias("q")
+    wanted = r.select("kind", "id", "digest", "items", "references", keys).select("kind", "id", "digest", "items", "references", "q.*").where("key IS NOT NULL")
+    facts = _facts(scanned, wanted)
+    frequency = wanted.groupBy("of", "key").agg(F.count_if(F.col("kind") == "r").alias("c"))
+    known = write_once(frequency.join(facts, ["of", "key"]))
+    records, texts = known.where("of = 'digest'").agg(F.sum("c"), F.count_if(F.col("c") > 0)).first() or (0, 0)
+    records, texts = float(records or 1), float(texts or 1)
+
+    frequent = F.col("c") >= max(100.0, COMMON * records)
+    hot = F.broadcast(known.where(frequent).select("of", "key", F.struct("x", "y").alias("f")))
+    narrow = wanted.select("kind", "id", "digest", "of", "key").join(hot, ["of", "key"], "left")
+    cold = narrow.where("f IS NULL").drop("f").join(known.where(~frequent).select("of", "key", F.struct("x", "y").alias("f")), ["of", "key"])
+    found = narrow.where("f IS NOT NULL").unionByName(cold)
+    facts_of = found.groupBy("kind", "id", "digest").agg(*[F.max(F.when(F.col("of") == k, F.col("f"))).alias(f"f_{k}") for k in _LOOKED_UP])
+    rows = r.select("kind", "id", "digest", "tail", (F.col("final_word").isNotNull()).alias("lettered"), "signature", "marker", "open", "item", "items", "references", "at_limit")
+    e = facts_of.join(rows, ["kind", "id", "digest"])
+    common = known.where((F.col("of") == "signature") & (F.col("x") >= COMMON * texts) & (F.length("key") <= _LONG) & (F.length("key") > 1))  # at most 1 / COMMON rows
+    part = F.expr("transform(sequence(1, length(key) - 1), i -> rtrim(left(key, i)))")
+    begun = common.select(F.explode(F.array_distinct(part)).alias("signature"), F.col("x").alias("longer")).groupBy("signature").agg(F.max("longer").alias("longer"))
+    e = e.join(F.broadcast(begun), "signature", "left")
+
+    x = lambda k: F.coalesce(F.col(f"f_{k}.x"), F.lit(0.0))
+    y = lambda k: F.coalesce(F.col(f"f_{k}.y"), F.lit(0.0))
+    w, b = x("final_word"), y("final_word")
+    context = _bins(x("context") / records, [0.0, COMMON])
+    final = F.when(F.col("tail") != 2, F.col("tail")).when(~F.col("lettered"), F.when(context > 0, 10).otherwise(2))
     final = final.when((w == 0) & (b == 0), 4).when(w * RARER <= b, STUMP).when(w <= b, 6)
-    context = _bins(F.col("line_ends") / F.col("records"), [0.0, COMMON])
     final = final.otherwise(F.lit(7) + context)  # a whole word says something only together with its neighbour
-    share = F.col("lasts") / F.col("texts")
-    closing = F.when(F.col("longer") >= 10 * F.coalesce("lasts", F.lit(0)), 4).otherwise(_bins(share, [2e-4, COMMON, 1e-2]))
-    fi, fr = F.coalesce("full_items", F.lit(0)), F.coalesce("full_references", F.lit(0))
+    closing = F.when(F.col("longer") >= 10 * x("signature"), 4).otherwise(_bins(x("signature") / texts, [2e-4, COMMON, 1e-2]))
+    fi, fr = x("grp"), y("grp")
     listed = F.when(F.col("items") > 0, F.when(F.col("item") > 0, 1).otherwise(3) + F.when(F.col("items") >= fi, 1).otherwise(0))
     listed = listed.when(F.col("references") > 0, F.when(F.col("references") >= fr, 6).otherwise(5)).otherwise(0)
     # a text that has all its references, whatever its list looks like
     listed = F.when((F.col("items") > 0) & (F.col("items") < fi) & (F.col("references") >= fr) & (fr > 0), 7).otherwise(listed)
-    seen = F.col("stops") + F.col("goes_on")
+    seen = x("sentence") + y("sentence")
     whole = (context > 0) & listed.isin(2, 4, 6, 7)  # all that a text of the group has, and an end where lines end
     return e.select(
-        "kind", "id", final.alias("final"), context.alias("context"), closing.alias("closing"), listed.alias("listed"), whole.cast("int").alias("whole"),
-        F.when(seen.isNull() | (seen == 0), 0).otherwise(1 + _bins(F.col("stops") / seen, [0.003, 0.05, 0.5])).alias("sentence"),
-        _bins(F.col("copies") / (F.col("records") / F.col("texts")), [2.5]).alias("repeated"), F.col("open").cast("int").alias("open"), F.col("marker").cast("int").alias("marker"), _bins(F.col("times"), [2.0, 5.0]).alias("piled"), F.col("at_limit").cast("int").alias("at_limit"),
+        "kind", "id", "digest", final.cast("int").alias("final"), context.alias("context"), closing.alias("closing"), listed.alias("listed"), whole.cast("int").alias("whole"),
+        F.when(seen == 0, 0).otherwise(1 + _bins(y("sentence") / seen, [0.003, 0.05, 0.5])).alias("sentence"),
+        _bins(x("digest") / (records / texts), [2.5]).alias("repeated"), F.col("open").cast("int").alias("open"), F.col("marker").cast("int").alias("marker"),
+        _bins(x("n_chars") / (y("n_chars") / 20 + COMMON / 2 * texts), [2.0, 5.0]).alias("piled"), F.col("at_limit").cast("int").alias("at_limit"),
     )
 
 
-def _look_up(df: DataFrame, other: DataFrame, key: str, frequent: DataFrame) -> DataFrame:
-    """Left join on ``key``, whose ``frequent`` values (few) are broadcast with what ``other`` has for them; nulls and these stay spread."""
-    values = [c for c in other.columns if c != key]
-    few = other.join(F.broadcast(frequent), key).select(key, F.struct(*values).alias("__few"))
-    rest = other.select(F.col(key).alias("__k"), *values)
-    out = df.join(F.broadcast(few), key, "left")
-    # rows that need nothing more get a key that no other row has, so that they do not gather in one task
-    alone = -F.abs(F.hash("kind", "id")) - 1 if dict(df.dtypes)[key] == "int" else F.concat(F.lit("\0"), "kind", "id")
-    out = out.withColumn("__w", F.when(F.col("__few").isNotNull() | F.col(key).isNull(), alone).otherwise(F.col(key)))
-    out = out.join(rest, F.col("__w") == F.col("__k"), "left")
-    return out.select(*df.columns, *[F.coalesce(f"__few.{v}", v).alias(v) for v in values])
-
-
 def _design(values: np.ndarray, leave_out: tuple[str, ...] = ()) -> np.ndarray:
     """A constant and an indicator for each value of each piece of evidence."""
     columns = [np.ones(len(values))]
@@ -347,7 +358,7 @@ def cut_texts(records: DataFrame, *, key: str, text: str, group: str, limit: Col
     group: a column whose values share what a full text is (its number of list items). limit: true
     where the writer met its token limit. Result: key and the columns of EVIDENCE, small whole numbers.
     Null and blank texts and mere wrappers have no row. Records repeated with the same key have one
-    row. Other columns play no part. An empty table gives no rows.
+    row; of different texts under one key the likeliest cut counts. Other columns play no part. An empty table gives no rows.
     """
     scanned = scan(scan_rows(records, key=key, text=text, group=group, limit=limit).where(F.col("text").rlike(r"(?U)\S")), records.count())
     return judged(scanned).withColumn(key, F.col("id").cast(records.schema[key].dataType)).select(key, *EVIDENCE, "score", "is_cut")
@@ -366,8 +377,7 @@ def scan(rows: DataFrame, n: int, judge: Callable[[], Judge] | None = None) -> D
 
 def judged(scanned: DataFrame) -> DataFrame:
     """id, EVIDENCE, score and is_cut from what a ``scanner`` gave."""
-    r = scanned.where("kind IN ('r', 'c')").select("kind", *_RECORD).dropDuplicates(["kind", "id"])  # repeated rows go here, without their texts
-    e = write_once(_evidence(r, scanned))
+    e = write_once(_evidence(scanned))
     counts = e.groupBy(*EVIDENCE).agg(F.count_if(F.col("kind") == "r").alias("real"), F.count_if(F.col("kind") == "c").alias("made")).orderBy(*EVIDENCE).toPandas()  # combinations of small numbers
     b = fit(counts[list(EVIDENCE)].to_numpy(), counts["real"].to_numpy(dtype=float), counts["made"].to_numpy(dtype=float))
     score, at = F.lit(float(b[0])), 1
@@ -376,4 +386,5 @@ def judged(scanned: DataFrame) -> DataFrame:
         score, at = score + F.get(weights, F.col(name)), at + n - 1
     e = e.where("kind = 'r'").withColumn("score", F.round(score, 6))
     # an end that is no word but the beginning of known ones decides by itself, also in a corpus too small for a good fit
-    return e.select("id", *EVIDENCE, "score", ((F.col("score") > 0) | (F.col("final") == STUMP)).alias("is_cut"))
+    e = e.select("id", F.struct("score", ((F.col("score") > 0) | (F.col("final") == STUMP)).alias("is_cut"), *EVIDENCE).alias("b"))
+    return e.groupBy("id").agg(F.max("b").alias("b")).select("id", "b.*")
