@@ -55,10 +55,12 @@ SCRIPTS = {
 _SCRIPTS = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
 _NOT_LATIN = re.compile("[" + "".join(SCRIPTS.values()) + "Ѐ-ӿ]")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: Words that do not begin with a Latin capital.
+_SMALL = re.compile(r"(?<![^\W_])[^\W\d_A-Z][^\W\d_]*(?:['’][^\W\d_]+)?")
 #: A language is told from this many words on, at this mean advantage over the one expected, in nats a word.
 LEAST_WORDS, MARGIN = 4, 0.5
 #: Share of words that only the expected language's sample has, from which nothing else is looked at.
-SURE = 0.1
+SURE = 0.08
 _SMOOTH = 0.3
 
 
@@ -105,22 +107,24 @@ def profiles() -> Profiles:
 
 def plain_words(text: str) -> list[str]:
     """Words in small letters; where these are few, all words."""
-    words = _WORDS.findall(text)
-    small = [w for w in words if w[0].islower()]
-    return small if len(small) >= LEAST_WORDS else [w.lower() for w in words]
+    small = _SMALL.findall(text)
+    return small if len(small) >= LEAST_WORDS else [w.lower() for w in _WORDS.findall(text)]
 
 
-def language(text: str, expected: str | None = None) -> str | None:
+def language(text: str, expected: str | None = None, known_words: list[str] | None = None) -> str | None:
     """The language that most of the text is in; None if too little tells.
 
     expected: the language that the text should have; another one is only told where it is clearly
-    the better, else the expected one is the answer.
+    the better, else the expected one is the answer. known_words: the text's words in small letters, if at hand.
     """
     p = profiles()
+    # a text with the words that only the expected language has needs no further look
+    if known_words and expected in p.common and len(known_words) >= LEAST_WORDS and sum(map(p.common[expected].__contains__, known_words)) >= SURE * len(known_words):
+        return expected
     if not text.isascii() and len(_NOT_LATIN.findall(text)) >= LEAST_WORDS:
         weights = {k: len(r.findall(text)) * (3 if k in ("zh", "ja", "ko") else 1) for k, r in _SCRIPTS.items()}
         # names and headings may stay Latin
-        if sum(weights.values()) > sum(len(w) for w in _WORDS.findall(text) if w[0].islower() and not _NOT_LATIN.match(w)):
+        if sum(weights.values()) > sum(len(w) for w in _SMALL.findall(text) if not _NOT_LATIN.match(w)):
             return "ja" if weights["ja"] * 10 > weights["zh"] + weights["ja"] and weights["ja"] else max(weights, key=weights.__getitem__)
     words = plain_words(text)
     if len(words) < LEAST_WORDS:

@@ -60,12 +60,16 @@ class CopyMeter:
         return share <= COPY_GAIN * alone
 
 
+#: What a pair of texts shows by itself; of several the last counts.
+VERDICTS = ("other_language", "refusal", "copied", "empty")
+
+
 def verdicts():
-    """A function from response and prompt to 'copied', 'refusal', 'other_language' or None, and the copy's share of bytes."""
+    """A function from response, prompt and the response's words to 'copied', 'refusal', 'other_language' or None, and the copy's share of bytes."""
     meter = CopyMeter()
     spoken: OrderedDict[str, str] = OrderedDict()
 
-    def judge(text: str, prompt: str | None) -> tuple[str | None, float]:
+    def judge(text: str, prompt: str | None, words: list[str]) -> tuple[str | None, float]:
         share = meter.share(prompt, text) if prompt else 1.0
         if prompt and meter.is_copy(text, share):
             return "copied", share
@@ -73,10 +77,10 @@ def verdicts():
             return "refusal", share
         asked = spoken.get(prompt) if prompt else "en"
         if asked is None:
-            asked = spoken[prompt] = language(prompt) or "en"
+            asked = spoken[prompt] = language(prompt, "en") or "en"
             if len(spoken) > 256:
                 spoken.popitem(last=False)
-        own = language(text, asked)
+        own = language(text, asked, words)
         return ("other_language" if own not in (None, asked) else None), share
 
     return judge
@@ -106,9 +110,11 @@ def judge(responses: DataFrame, prompts: DataFrame, *, key: str, link: str, prom
     rows = with_prompt(scan_rows(responses, key=key, text=text, group=group, limit=limit, keep=[link]), prompts, link, prompt)
     scanned = scan(rows.select("id", "text", "grp", "at_limit", "prompt"), responses.count(), verdicts)
     cut = judged(scanned).select("id", "is_cut", "score")
-    told = scanned.where("kind IN ('r', 'e')").groupBy("id").agg(F.max("verdict").alias("verdict"), F.max("copy_share").alias("copy_share"))  # repeated rows go here, without their texts
+    # numbers instead of words, so that the aggregate needs no sort; repeated rows go here, without their texts
+    place = F.coalesce(*[F.when(F.col("verdict") == v, i) for i, v in enumerate(VERDICTS)])
+    told = scanned.where("kind IN ('r', 'e')").groupBy("id").agg(F.max(place).alias("place"), F.max("copy_share").alias("copy_share"))
     both = told.join(cut, "id", "left")
-    verdict = F.col("verdict")
+    verdict = F.get(F.array(*map(F.lit, VERDICTS)), F.col("place"))
     truncated = F.when(F.col("is_cut"), "truncated")
     kind = F.when(verdict.isin("empty", "copied"), verdict).when(F.col("score") > CLEARLY_CUT, "truncated").otherwise(F.coalesce(F.when(verdict == "refusal", verdict), truncated, verdict))
     return both.select(F.col("id").cast(responses.schema[key].dataType).alias(key), kind.alias("defect_type"), "copy_share", F.coalesce("is_cut", F.lit(False)).alias("is_cut"))

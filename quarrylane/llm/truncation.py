@@ -129,7 +129,7 @@ def shortened(key: str, text: str, rate: float) -> str | None:
     return None if is_placeholder(short) else short
 
 
-Judge = Callable[[str, str | None], tuple[str | None, float]]
+Judge = Callable[[str, str | None, list[str]], tuple[str | None, float]]
 
 
 def scanner(rate: float, judge: Callable[[], Judge] | None = None):
@@ -137,7 +137,7 @@ def scanner(rate: float, judge: Callable[[], Judge] | None = None):
 
     It gives a row of kind 'r' for each text, one of kind 'c' for a text cut on purpose, and sums over
     the batches: 'w' words, 'l' ends of lines, 's' ends of sentences (n inside a text, m at its end).
-    judge: makes a function from text and prompt to a verdict and a share, which the rows then have;
+    judge: makes a function from text, prompt and the text's words in small letters to a verdict and a share, which the rows then have;
     null texts and placeholders get a row of kind 'e' with the verdict 'empty'.
     """
 
@@ -167,13 +167,13 @@ def scanner(rate: float, judge: Callable[[], Judge] | None = None):
                     empty.append(key)
                     continue
                 d = describe(text)
-                verdict, share = of(text, prompt) if of else (None, None)
+                low = _DIGITS.sub("0", text.lower())
+                found = _WORD.findall(low)
+                verdict, share = of(text, prompt, found) if of else (None, None)
                 records.append(d | {"kind": "r", "id": key, "grp": group, "at_limit": bool(limit), "verdict": verdict, "copy_share": share})
                 short = shortened(key, text, rate)
                 if short:
                     records.append(describe(short) | {"kind": "c", "id": key, "grp": group, "at_limit": False, "verdict": None, "copy_share": None})
-                low = _DIGITS.sub("0", text.lower())
-                found = _WORD.findall(low)
                 # what may be the stump of a word is no evidence for a word
                 words.update(found[: -2 if d["marker"] else -1] if d["marker"] or d["tail"] == 2 else found)
                 lines = [x for x in map(str.strip, low.split("\n")) if x]
@@ -226,8 +226,8 @@ STUMP = 5
 _LOOKED_UP = ("final_word", "context", "sentence", "signature", "digest", "n_chars", "grp")
 
 
-def _facts(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
-    """of, key, x, y for every key of a text in ``wanted``: counts of the corpus for words, contexts, sentences, last lines, whole texts and lengths.
+def _facts(scanned: DataFrame, r: DataFrame) -> DataFrame:
+    """of, key, x, y counts of the corpus for words, contexts, sentences, last lines, whole texts and lengths.
 
     x, y are: occurrences as a word and as the beginning of one; ends of lines; sentences that go on and
     that end a text; other texts with the last line; texts alike; how the length piles up; items and
@@ -239,17 +239,18 @@ def _facts(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
     nodes = named(trie(words).withColumnRenamed("prefix", "key"), "final_word", F.col("as_word"), F.col("begins"))
     counted = sums.unionByName(nodes).groupBy("of", "key").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
 
-    real = wanted.where("kind = 'r'")
-    lines = named(real.where("of = 'signature'").groupBy("key").agg((F.count_distinct("digest") - 1).alias("n")), "signature", F.col("n"))
-    copies = named(real.where("of = 'digest'").groupBy("key").agg(F.count("*").alias("n")), "digest", F.col("n"))
+    real = r.where("kind = 'r'")
+    lines = named(real.groupBy(F.col("signature").alias("key")).agg((F.count_distinct("digest") - 1).alias("n")), "signature", F.col("n"))
+    copies = named(real.groupBy(F.col("digest").alias("key")).agg(F.count("*").alias("n")), "digest", F.col("n"))
     # lengths at which texts pile up: their number against that of the ten lengths on either side
-    lengths = real.where("of = 'n_chars'").groupBy(F.col("key").cast("int").alias("c")).agg((F.count_distinct("digest") - 1).alias("n"))
+    lengths = real.groupBy(F.col("n_chars").alias("c")).agg((F.count_distinct("digest") - 1).alias("n"))
     around = lengths.select(F.explode(F.sequence(F.col("c") - 10, F.col("c") + 10)).alias("c"), "n")
     lengths = lengths.select("c", F.col("n").alias("own"), F.lit(0).alias("n")).unionByName(around.select("c", F.lit(None).cast("long").alias("own"), "n")).groupBy("c").agg(F.max("own").alias("own"), F.sum("n").alias("n"))
     lengths = named(lengths.where("own IS NOT NULL").withColumn("key", F.col("c").cast("string")), "n_chars", F.col("own"), F.col("n") - F.col("own"))
-    most = real.where("of = 'grp'").select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(("items", "references"))])).alias("q")).where("q.v > 0")
-    most = most.groupBy("key", "q").agg(F.count("*").alias("n")).groupBy("key").agg(*[F.max(F.when(F.col("q.i") == i, F.struct("n", "q.v"))).alias(f"m{i}") for i in (0, 1)])
-    groups = named(most, "grp", F.coalesce("m0.v", F.lit(0)), F.coalesce("m1.v", F.lit(0)))
+    counts = real.groupBy("grp", "items", "references").agg(F.count("*").alias("n"))
+    most = lambda c: counts.where(F.col(c) > 0).groupBy("grp", c).agg(F.sum("n").alias("n")).groupBy("grp").agg(F.max_by(c, F.struct("n", c)).alias(f"most_{c}"))
+    groups = most("items").join(most("references"), "grp", "full").withColumnRenamed("grp", "key")
+    groups = named(groups, "grp", F.coalesce("most_items", F.lit(0)), F.coalesce("most_references", F.lit(0)))
     return counted.unionByName(lines).unionByName(copies).unionByName(lengths).unionByName(groups)
 
 
@@ -262,19 +263,19 @@ def _evidence(scanned: DataFrame) -> DataFrame:
     """
     r = scanned.where("kind IN ('r', 'c')").select("kind", *_RECORD)
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).cast("string").alias("key")) for k in _LOOKED_UP])).alias("q")
-    wanted = r.select("kind", "id", "digest", "items", "references", keys).select("kind", "id", "digest", "items", "references", "q.*").where("key IS NOT NULL")
-    facts = _facts(scanned, wanted)
+    wanted = r.select("kind", "id", "digest", keys).select("kind", "id", "digest", "q.*").where("key IS NOT NULL")
+    facts = _facts(scanned, r)
     frequency = wanted.groupBy("of", "key").agg(F.count_if(F.col("kind") == "r").alias("c"))
     known = write_once(frequency.join(facts, ["of", "key"]))
     records, texts = known.where("of = 'digest'").agg(F.sum("c"), F.count_if(F.col("c") > 0)).first() or (0, 0)
     records, texts = float(records or 1), float(texts or 1)
 
     frequent = F.col("c") >= max(100.0, COMMON * records)
-    hot = F.broadcast(known.where(frequent).select("of", "key", F.struct("x", "y").alias("f")))
+    hot = F.broadcast(known.where(frequent).select("of", "key", "x", "y"))
     narrow = wanted.select("kind", "id", "digest", "of", "key").join(hot, ["of", "key"], "left")
-    cold = narrow.where("f IS NULL").drop("f").join(known.where(~frequent).select("of", "key", F.struct("x", "y").alias("f")), ["of", "key"])
-    found = narrow.where("f IS NOT NULL").unionByName(cold)
-    facts_of = found.groupBy("kind", "id", "digest").agg(*[F.max(F.when(F.col("of") == k, F.col("f"))).alias(f"f_{k}") for k in _LOOKED_UP])
+    cold = narrow.where("x IS NULL").drop("x", "y").join(known.where(~frequent).select("of", "key", "x", "y"), ["of", "key"])
+    found = narrow.where("x IS NOT NULL").unionByName(cold)
+    facts_of = found.groupBy("kind", "id", "digest").agg(*[F.max(F.when(F.col("of") == k, F.col(v))).alias(f"{v}_{k}") for k in _LOOKED_UP for v in "xy"])
     rows = r.select("kind", "id", "digest", "tail", (F.col("final_word").isNotNull()).alias("lettered"), "signature", "marker", "open", "item", "items", "references", "at_limit")
     e = facts_of.join(rows, ["kind", "id", "digest"])
     common = known.where((F.col("of") == "signature") & (F.col("x") >= COMMON * texts) & (F.length("key") <= _LONG) & (F.length("key") > 1))  # at most 1 / COMMON rows
@@ -282,8 +283,8 @@ def _evidence(scanned: DataFrame) -> DataFrame:
     begun = common.select(F.explode(F.array_distinct(part)).alias("signature"), F.col("x").alias("longer")).groupBy("signature").agg(F.max("longer").alias("longer"))
     e = e.join(F.broadcast(begun), "signature", "left")
 
-    x = lambda k: F.coalesce(F.col(f"f_{k}.x"), F.lit(0.0))
-    y = lambda k: F.coalesce(F.col(f"f_{k}.y"), F.lit(0.0))
+    x = lambda k: F.coalesce(F.col(f"x_{k}"), F.lit(0.0))
+    y = lambda k: F.coalesce(F.col(f"y_{k}"), F.lit(0.0))
     w, b = x("final_word"), y("final_word")
     context = _bins(x("context") / records, [0.0, COMMON])
     final = F.when(F.col("tail") != 2, F.col("tail")).when(~F.col("lettered"), F.when(context > 0, 10).otherwise(2))
@@ -386,5 +387,6 @@ def judged(scanned: DataFrame) -> DataFrame:
         score, at = score + F.get(weights, F.col(name)), at + n - 1
     e = e.where("kind = 'r'").withColumn("score", F.round(score, 6))
     # an end that is no word but the beginning of known ones decides by itself, also in a corpus too small for a good fit
-    e = e.select("id", F.struct("score", ((F.col("score") > 0) | (F.col("final") == STUMP)).alias("is_cut"), *EVIDENCE).alias("b"))
-    return e.groupBy("id").agg(F.max("b").alias("b")).select("id", "b.*")
+    e = e.withColumn("cut", F.when((F.col("score") > 0) | (F.col("final") == STUMP), 1).otherwise(0))
+    one = e.groupBy("id").agg(F.max("score").alias("score"), F.max("cut").alias("cut"), *[F.max_by(c, "score").alias(c) for c in EVIDENCE])
+    return one.select("id", *EVIDENCE, "score", (F.col("cut") == 1).alias("is_cut"))
