@@ -70,7 +70,7 @@ def display_name(c: Column) -> Column:
 
 
 def has_ticker(text: Column, ticker: Column) -> Column:
-    """The ticker stands as a word of its own; one of two characters only in its exact spelling."""
-    exact = F.array_contains(F.split(text, r"(?U)[^\w]+"), ticker)
-    folded = F.array_contains(F.split(F.upper(text), r"(?U)[^\w]+"), F.upper(ticker))
-    return F.when(F.length(ticker) >= 3, folded).when(F.length(ticker) == 2, exact).otherwise(False)
+    """The ticker stands between word boundaries; one of two characters only in its exact spelling."""
+    literal = F.concat(F.lit(r"\Q"), ticker, F.lit(r"\E"))
+    word = lambda flags: F.rlike(text, F.concat(F.lit(flags + r"(?<![\w])"), literal, F.lit(r"(?![\w])")))
+    return F.when(F.length(ticker) >= 3, word("(?iuU)")).when(F.length(ticker) == 2, word("(?U)")).otherwise(False)

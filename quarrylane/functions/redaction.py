@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .names import OTHER_NAME, distinctive, normalize
 
@@ -13,6 +17,7 @@ LATER = (
     r"(?iu)was acquired by|has been acquired|to be acquired|reverse merger|business combination|special purpose acquisition|\bSPAC\b|"
     r"completed (?:its|the) (?:merger|acquisition)|following the (?:merger|acquisition)|as of \w+ \d{1,2},? \d{4}"
 )
+#: Addresses, listings, legal forms after a placeholder or at a name's end.
 URL = r"(?i)\b(?:https?://|www\.)\S+|\b[\w-]+\.(?:com|net|org|io|co)\b"
 LISTED = r"(?i)\((?:NYSE|NASDAQ|NASDAQGS|NYSEMKT|AMEX|OTC)[:\s]*[A-Z.]{1,6}\)"
 EXCHANGE = r"(?i)\b(?:NYSE|NASDAQ|NASDAQGS|NASDAQGM|NASDAQCM|NYSEMKT|NYSEArca|AMEX|OTCQB|OTCQX|OTC)\b"
@@ -66,27 +71,38 @@ def redact(text: Column, names: Column, ticker: Column, max_year: Column | None
 
 def residual(redacted: Column, name: Column) -> Column:
     """Whether a distinctive word of the name (four characters or more) still stands in the text as a word."""
-    words = F.transform(F.split(F.lower(redacted), r"(?U)[^\w]+"), lambda w: w)
+    words = F.split(F.lower(redacted), r"(?U)[^\w]+")
     return F.coalesce(F.arrays_overlap(words, distinctive(normalize(name, "entity"), 4)), F.lit(False))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return pd.Series([html.unescape(t) if isinstance(t, str) else None for t in texts], dtype=object)
+
+
+def unescape(text: Column) -> Column:
+    """HTML references, named and numbered, as characters; texts without an ampersand are not given to Python."""
+    return F.when(F.contains(text, F.lit("&")), _unescaped(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
+
+
 def mask_acquirer(text: Column, name: Column, ticker: Column) -> Column:
     """Replace the acquirer's name, its forms, its ticker and its significant words by ``ACQUIRER``.
 
     Words of five letters or more count when there are two of them, a single one from six letters on.
     """
-    plain = text
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (" ", " "), ("​", ""), ("﻿", "")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    plain = unescape(text)
+    for char, other in (("\u00a0", " "), ("\u200b", ""), ("\ufeff", "")):
+        plain = F.replace(plain, F.lit(char), F.lit(other))
     plain = F.translate(plain, "‘’“”", "''\"\"")
     raw = F.trim(F.coalesce(name, F.lit("")))
-    base = F.when(F.instr(raw, "(") > 1, F.trim(F.substring_index(raw, "(", 1))).otherwise(raw)
+    paren = F.instr(raw, "(") > 1
+    base = F.when(paren, F.trim(F.substring_index(raw, "(", 1))).otherwise(raw)
     bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(base, NAME_END, "")), r",+$", ""))
     listed = F.regexp_extract(raw, r"\(([A-Z]+:[A-Z.]+)\)", 1)
     mark = F.lit(r"\[ACQUIRER\]")
     tick = F.trim(F.coalesce(ticker, F.lit("")))
     venues = [F.when((F.length(tick) >= 2) & (F.instr(tick, ":") == 0), F.concat(F.lit(v + ":"), tick)).otherwise("") for v in ("NYSE", "NASDAQ", "NASDAQGS")]
-    forms = F.array_distinct(F.filter(F.array(raw, base, bare, F.concat(F.lit("("), listed, F.lit(")")), listed, tick, *venues), lambda v: F.length(v) >= 4))
+    forms = F.array_distinct(F.filter(F.array(raw, F.when(paren, base).otherwise(""), F.when(paren, bare).otherwise(""), F.concat(F.lit("("), listed, F.lit(")")), listed, tick, *venues), lambda v: F.length(v) >= 4))
     ordered = F.transform(F.array_sort(F.transform(forms, lambda a: F.struct((-F.length(a)).alias("n"), a.alias("a")))), lambda x: x["a"])
     t = F.aggregate(F.filter(ordered, lambda v: F.instr(v, " ") > 0), plain, lambda s, v: F.regexp_replace(s, _literal(v), mark))
     word = lambda s, v: F.regexp_replace(s, F.concat(F.lit(r"(?iU)\b\Q"), v, F.lit(r"\E\b")), mark)
@@ -97,6 +113,32 @@ def mask_acquirer(text: Column, name: Column, ticker: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?:\[ACQUIRER\]\s*)+", r"\[ACQUIRER\] "), " {2,}", " "))
 
 
+def profile(item1: Column, mda: Column, name: Column, ticker: Column, deal_year: Column, revenue: Column, margin: Column) -> Column:
+    """What a prompt says of an acquirer: masked and cut filing texts, revenue in millions and margin, without the name."""
+    part = lambda c, first, most: F.substring(mask_acquirer(F.substring(F.coalesce(c, F.lit("")), 1, first), name, ticker), 1, most)
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("N/A"))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("ACQUIRER PROFILE -- Company A, FY"), F.coalesce((deal_year - 1).cast("string"), F.lit("N/A"))), F.concat(F.lit("CORE BUSINESS: "), part(item1, 500, 400)),
+        F.concat(F.lit("STATED STRATEGY: "), part(mda, 400, 300)), F.concat(F.lit("KEY FINANCIALS: Revenue $"), number(revenue), F.lit("M | EBITDA margin "), number(margin), F.lit("%")),
+    )
+
+
+def identity_profile(name: Column, ticker: Column, deal_year: Column, revenue: Column, margin: Column) -> Column:
+    """The counterpart with the name and without texts."""
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("N/A"))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("COMPANY: "), F.trim(F.coalesce(name, F.lit(""))), F.lit(" ("), F.coalesce(ticker, F.lit("N/A")), F.lit(")")), F.concat(F.lit("FISCAL YEAR: FY"), F.coalesce((deal_year - 1).cast("string"), F.lit("N/A"))),
+        F.concat(F.lit("KEY FINANCIALS: Revenue $"), number(revenue), F.lit("M | EBITDA margin "), number(margin), F.lit("%")),
+    )
+
+
+def names_in(profile_text: Column, name: Column) -> Column:
+    """Whether a distinctive word (five characters or more) of the name before a bracket stands between blanks in the text."""
+    words = distinctive(normalize(F.trim(F.split_part(F.coalesce(name, F.lit("")), F.lit("("), F.lit(1))), "entity"), 5)
+    low = F.concat(F.lit(" "), F.lower(profile_text), F.lit(" "))
+    return F.coalesce(F.exists(words, lambda w: F.contains(low, F.concat(F.lit(" "), w, F.lit(" ")))), F.lit(False))
+
+
 def described(pit: Column, fallback: Column, names: Column, name: Column, ticker: Column, max_year: Column, most: int = 250) -> dict[str, Column]:
     """description, source and residual of a candidate: the text known at the time if it has more than 60
     characters, else the fallback; redacted and cut; a placeholder where fewer than 40 characters remain or an

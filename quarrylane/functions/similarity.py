@@ -84,4 +84,3 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Null where either text is null."""
     return pd.Series([token_set(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")  # noqa: B905
-

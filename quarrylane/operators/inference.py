@@ -1,12 +1,14 @@
 """Bootstrap intervals and rank correlation.
 
-Draw i of resample b is ``md5(seed|b|i)`` read as a number modulo the sample size, so a result
-depends on the values, their order keys and the seed alone, and any SQL engine can repeat it.
-
-Values are gathered in arrays of at most a cell's units (records, or clusters, whose sums are
-formed first with map-side combine), and only the resample numbers are exploded: no drawn value
-is ever shuffled. The array of one cell must fit a task; for cells beyond ``MOST_UNITS`` units
-``poisson_interval`` weighs rows with Poisson(1) counts instead and never gathers them.
+Draw i of resample b is the (i mod 4)th group of eight hex digits of ``md5(seed|b|i div 4)`` modulo the
+sample size, so a result depends on the values, their order keys and the seed alone, and any SQL
+engine can repeat it.
+
+The units of a cell (records, or clusters, whose sums are formed first with map-side combine) are
+written once. Cells of at most MOST_UNITS units are gathered in an array, which is sent to BLOCKS tasks
+that make their part of the resamples; no drawn value is shuffled. Larger cells are never gathered:
+each of their units has a Poisson(1) count in each resample (the bootstrap's limit for many units),
+and only sums by resample leave a task.
 """
 
 from collections.abc import Sequence
@@ -16,34 +18,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import write_once
+
 RESAMPLES, LEVEL, SEED = 1000, 0.95, "42"
 #: Units of a cell up to which they are drawn from an array.
-MOST_UNITS = 200_000
+MOST_UNITS = 20_000
+#: Tasks among which the resamples of a cell are divided.
+BLOCKS = 16
 
 
-def _pick(seed: str, b: Column, i: Column, n: Column) -> Column:
-    """Index from 0 to n - 1 of draw i of resample b: the first 60 bits of an MD5 digest modulo n."""
-    digest = F.md5(F.concat_ws("|", F.lit(seed), b.cast("string"), i.cast("string")))
-    return (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n).cast("int")
+def _gathered(units: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], resamples: int, seed: str) -> DataFrame:
+    unit = F.struct(F.col(order).alias("o"), F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
+    cells = units.groupBy(*keys).agg(F.array_sort(F.collect_list(unit)).alias("u")).select(*keys, F.transform("u", lambda x: x["v"]).alias("u"))
+    spread = cells.select(*keys, "u", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    spread = spread.repartition(*keys, "block")
+    mine = F.filter(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: b % BLOCKS == F.col("block"))
+    n = F.size("u")
+    digests = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda g: F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), g.cast("string"))))
+    spread = spread.select(*keys, "u", F.explode(mine).alias("b")).select(*keys, "u", "b", digests.alias("d"))
 
+    def add(s: Column, i: Column) -> Column:
+        number = F.conv(F.substr(F.get("d", F.floor(i / 4).cast("int")), i % 4 * 8 + 1, F.lit(8)), 16, 10).cast("long")
+        u = F.get("u", (number % n).cast("int"))
+        return F.array(*[s[j] + u[j] for j in range(len(values))])
 
-def _resampled(cells: DataFrame, keys: Sequence[str], units: str, sums: int, resamples: int, seed: str) -> DataFrame:
-    """keys, b and s0, s1, ...: sums over the drawn units, arrays of ``sums`` doubles."""
-    n = F.size(units)
-    spread = cells.select(*keys, units, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__b"))
-    zero = F.array(*[F.lit(0.0)] * sums)
+    z = F.aggregate(F.sequence(F.lit(0), n - 1), F.array(*[F.lit(0.0)] * len(values)), add)
+    return spread.select(*keys, "b", z.alias("z")).select(*keys, "b", *[F.col("z")[j].alias(f"s{j}") for j in range(len(values))])
 
-    def add(s: Column, i: Column) -> Column:
-        u = F.get(units, _pick(seed, F.col("__b"), i, n))
-        return F.array(*[s[j] + u[j] for j in range(sums)])
 
-    drawn = F.aggregate(F.sequence(F.lit(0), n - 1), zero, add)
-    return spread.where(n > 0).select(*keys, "__b", drawn.alias("__z")).select(*keys, "__b", *[F.col("__z")[j].alias(f"s{j}") for j in range(sums)])
+def _weighed(units: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], resamples: int, seed: str) -> DataFrame:
+    """Counts come from MD5 uniforms by inversion; a unit has at most 12 in a resample, which errs for one in 10^10."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col(order).cast("string"))), 1, 13), 16, 10).cast("double") / float(16**13)
+    weight, p, total = F.lit(0), 0.36787944117144233, 0.0
+    for k in range(12):
+        total += p
+        weight = weight + F.when(u >= total, 1).otherwise(0)
+        p /= k + 1
+    rows = units.select(*keys, order, *values, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("w", weight)
+    return rows.groupBy(*keys, "b").agg(*[F.sum(F.col(v).cast("double") * F.col("w")).alias(f"s{j}") for j, v in enumerate(values)])
 
 
-def _gather(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
-    unit = F.struct(F.col(order).alias("o"), F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(unit)).alias("__u")).select(*keys, F.transform("__u", lambda x: x["v"]).alias("__units"))
+def _drawn(units: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], resamples: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The units, written once, and keys, b, s0, s1, ...: sums of ``values`` over the units drawn in each resample."""
+    units = write_once(units.select(*keys, order, *values))
+    sizes = units.groupBy(*keys).agg(F.count("*").alias("__n"))
+    if not sizes.where(F.col("__n") > MOST_UNITS).limit(1).count():
+        return units, _gathered(units, keys, order, values, resamples, seed)
+    sized = units.join(sizes, list(keys))
+    small, large = sized.where(F.col("__n") <= MOST_UNITS), sized.where(F.col("__n") > MOST_UNITS)
+    return units, _gathered(small, keys, order, values, resamples, seed).unionByName(_weighed(large, keys, order, values, resamples, seed))
 
 
 def _tails(level: float) -> tuple[float, float]:
@@ -56,13 +79,11 @@ def mean_interval(df: DataFrame, keys: Sequence[str], value: str, order: str, *,
     order: a key that orders a cell's rows without ties. Null and NaN values and null keys are left
     out; a cell without values has no row.
     """
-    usable = df.na.drop(subset=[*keys, value])
-    cells = _gather(usable, keys, order, [value])
-    means = _resampled(cells, keys, "__units", 1, resamples, seed)
+    usable = df.na.drop(subset=[*keys, value]).withColumn("__one", F.lit(1.0))
+    units, means = _drawn(usable, keys, order, [value, "__one"], resamples, seed)
     low, high = _tails(level)
-    n = cells.select(*keys, F.size("__units").alias("n"))
-    ci = means.join(n, list(keys)).groupBy(*keys).agg(F.percentile(F.col("s0") / F.col("n"), F.array(F.lit(low), F.lit(high))).alias("p"))
-    flat = usable.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    ci = means.groupBy(*keys).agg(F.percentile(F.col("s0") / F.nullif(F.col("s1"), F.lit(0.0)), F.array(F.lit(low), F.lit(high))).alias("p"))
+    flat = units.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     return flat.join(ci, list(keys)).select(*keys, "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
@@ -77,7 +98,8 @@ def paired_interval(
     """
     usable = df.na.drop(subset=[*keys, difference, cluster])
     sums = usable.groupBy(*keys, cluster).agg(F.sum(difference).alias("__s"), F.count("*").alias("__c"))
-    drawn = _resampled(_gather(sums, keys, cluster, ["__s", "__c"]), keys, "__units", 2, resamples, seed).withColumn("__m", F.col("s0") / F.col("s1"))
+    sums, drawn = _drawn(sums, keys, cluster, ["__s", "__c"], resamples, seed)
+    drawn = drawn.withColumn("__m", F.col("s0") / F.nullif(F.col("s1"), F.lit(0.0)))
     flat = sums.groupBy(*keys).agg(F.sum("__c").alias("n"), F.count("*").alias("n_clusters"), (F.sum("__s") / F.sum("__c")).alias("mean"))
     low, high = _tails(level)
     d = F.col("mean")
@@ -91,47 +113,27 @@ def paired_interval(
 
 
 def subset_interval(
-    df: DataFrame, keys: Sequence[str], value: str, subset: str, cluster: str, *, resamples: int = RESAMPLES, level: float = LEVEL, seed: str = SEED
+    df: DataFrame, keys: Sequence[str], value: str, subset: str, cluster: str, *, resamples: int = RESAMPLES, level: float = LEVEL, seed: str = SEED, strict: bool = True
 ) -> DataFrame:
     """keys, means of the subset and of all, their difference and its interval; the same draws of clusters drive both means.
 
-    A resample without a subset row raises an error, since its difference is undefined.
+    A resample without a subset row has no difference: it raises an error, or unless ``strict`` is left
+    out of the interval and counted in n_empty. A cell without a subset row then has a null interval.
     """
     usable = df.na.drop(subset=[*keys, value, cluster])
     inside = F.coalesce(F.col(subset), F.lit(False))
     sums = usable.groupBy(*keys, cluster).agg(
         F.sum(F.when(inside, F.col(value)).otherwise(0.0)).alias("__ss"), F.count_if(inside).alias("__sc"), F.sum(value).alias("__s"), F.count("*").alias("__c")
     )
-    drawn = _resampled(_gather(sums, keys, cluster, ["__ss", "__sc", "__s", "__c"]), keys, "__units", 4, resamples, seed)
-    safe = F.when(F.col("s1") == 0, F.raise_error(F.lit("a resample holds no row of the subset"))).otherwise(F.col("s0") / F.col("s1"))
+    sums, drawn = _drawn(sums, keys, cluster, ["__ss", "__sc", "__s", "__c"], resamples, seed)
+    none = F.raise_error(F.lit("a resample holds no row of the subset")) if strict else F.lit(None).cast("double")
+    safe = F.when(F.col("s1") == 0, none).otherwise(F.col("s0") / F.col("s1"))
     low, high = _tails(level)
-    ci = drawn.select(*keys, (safe - F.col("s2") / F.col("s3")).alias("__d")).groupBy(*keys).agg(F.percentile("__d", F.array(F.lit(low), F.lit(high))).alias("__p"))
+    ci = drawn.select(*keys, (safe - F.col("s2") / F.nullif(F.col("s3"), F.lit(0.0))).alias("__d")).groupBy(*keys).agg(F.percentile("__d", F.array(F.lit(low), F.lit(high))).alias("__p"), F.count_if(F.col("__d").isNull()).alias("n_empty"))
     flat = sums.groupBy(*keys).agg(
         F.sum("__sc").alias("n_subset"), F.sum("__c").alias("n"), (F.sum("__ss") / F.nullif(F.sum("__sc"), F.lit(0))).alias("mean_subset"), (F.sum("__s") / F.sum("__c")).alias("mean")
     )
-    return flat.join(ci, list(keys)).select(*keys, "n_subset", "n", "mean_subset", "mean", (F.col("mean_subset") - F.col("mean")).alias("difference"), F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"))
-
-
-def poisson_interval(df: DataFrame, keys: Sequence[str], value: str, order: str, *, resamples: int = 200, level: float = LEVEL, seed: str = SEED) -> DataFrame:
-    """As ``mean_interval`` for cells of any size: each row is weighed with a Poisson(1) count in each resample.
-
-    The counts come from MD5 uniforms by inversion; sums are combined before the shuffle, which
-    therefore carries ``resamples`` rows for each cell and task.
-    """
-    usable = df.na.drop(subset=[*keys, value])
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col(order).cast("string"))), 1, 13), 16, 10).cast("double") / float(16**13)
-    edges, p, total = [], 0.36787944117144233, 0.0
-    for k in range(12):
-        total += p
-        edges.append(total)
-        p /= k + 1
-    weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
-    rows = usable.select(*keys, F.col(value).cast("double").alias("v"), order, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("w", weight)
-    means = rows.groupBy(*keys, "b").agg((F.sum(F.col("v") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    low, high = _tails(level)
-    ci = means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("p"))
-    flat = usable.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    return flat.join(ci, list(keys)).select(*keys, "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return flat.join(ci, list(keys)).select(*keys, "n_subset", "n", "mean_subset", "mean", (F.col("mean_subset") - F.col("mean")).alias("difference"), F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"), "n_empty")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import write_once
+
 
 def _desc(order: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in order]
@@ -112,3 +114,45 @@ def all_and_any(labels: DataFrame, item: str, by: str, label: str, value: str) -
     n = labels.select(F.count_distinct(by)).first()[0]
     hit = F.count_distinct(F.when(F.col(label) == value, F.col(by)))
     return labels.groupBy(item).agg((hit == n).alias("all_of"), (hit > 0).alias("any_of"))
+
+
+def next_in_order(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """key and, as ``name``, the value of the row with the next greater key; null for the last.
+
+    Keys are unique. They are ranged over partitions by sampling; a window sees one partition, and
+    the last key of each takes the first of the next, of which there is a row for each partition.
+    """
+    spread = write_once(rows.select(key, value.alias("__v")).repartitionByRange(key).withColumn("__p", F.spark_partition_id()))
+    own = W.partitionBy("__p").orderBy(key)
+    firsts = spread.groupBy("__p").agg(F.min_by("__v", key).alias("__f"))
+    following = firsts.select(F.lead("__f").over(W.orderBy("__p")).alias("__n"), "__p")
+    both = spread.withColumn("__w", F.lead("__v").over(own)).withColumn("__last", F.lead(key).over(own).isNull()).join(F.broadcast(following), "__p")
+    return both.select(key, F.when(F.col("__last"), F.col("__n")).otherwise(F.col("__w")).alias(name))
+
+
+def drop_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Without those of the columns that there are."""
+    return df.drop(*[c for c in columns if c in df.columns])
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows in an explicit order, nulls last; equal rows are told apart by all other columns."""
+    rest = [c for c in df.columns if c not in order]
+    return df.orderBy(*_asc(order), *_asc(rest)).limit(n)
+
+
+def mapped(df: DataFrame, column: str, names: dict[str, str], to: str) -> DataFrame:
+    """Add ``to``, what ``names`` has for ``column``; rows that it has nothing for are dropped."""
+    held = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return df.withColumn(to, F.try_element_at(held, F.col(column))).where(F.col(to).isNotNull())
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, built: dict[str, Column]) -> DataFrame:
+    """Left rows with the columns of ``right`` of the same key, or where there is none with those ``built`` from the left row.
+
+    right: unique keys. ``found`` tells which. A null key finds nothing.
+    """
+    named = right.select(F.col(key).alias("__k"), F.struct(*[F.col(c) for c in built]).alias("__v"))
+    out = left.join(named, F.col(key) == F.col("__k"), "left")
+    values = [F.when(F.col("__v").isNotNull(), F.col(f"__v.{c}")).otherwise(v).alias(c) for c, v in built.items()]
+    return out.select(*[left[c] for c in left.columns], *values, F.col("__v").isNotNull().alias("found"))

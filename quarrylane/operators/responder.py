@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -104,3 +104,74 @@ def run_cell(prompts: DataFrame, responder: Responder, log: str, done: DataFrame
     stamped = prompts.withColumn("experiment_fingerprint", fingerprint(F.lit(PROMPT_VERSION), F.lit(PARSER_VERSION), F.col("prompt_system"), F.col("prompt_user"), F.lit(model_id)))
     left = pending(stamped, done, [key, "experiment_fingerprint"]) if done is not None else stamped
     return append_new(respond(left, responder, workers=workers, retry=retry), log, [key, "experiment_fingerprint"])
+
+
+def provider_routing(order: Sequence[str] | None = None, allow_fallbacks: bool = True) -> dict:
+    """The part of a request's body that names providers in order; empty without an order."""
+    return {"provider": {"order": list(order), "allow_fallbacks": allow_fallbacks}} if order else {}
+
+
+def provenance(prompts: DataFrame, *, model_id: str, corpus_hash: str, route: Sequence[str] = (), seed: int = 0, system: str = "prompt_system", user: str = "prompt_user") -> DataFrame:
+    """Add the block that each record carries: versions, fingerprint, hashes of prompt and corpus, model, route and seed."""
+    return prompts.withColumns(
+        {
+            "prompt_schema_version": F.lit(PROMPT_VERSION), "parser_version": F.lit(PARSER_VERSION),
+            "experiment_fingerprint": fingerprint(F.lit(PROMPT_VERSION), F.lit(PARSER_VERSION), F.col(system), F.col(user), F.lit(model_id)),
+            "system_prompt_hash": fingerprint(F.col(system)), "user_prompt_hash": fingerprint(F.col(user)), "corpus_hash": F.lit(corpus_hash),
+            "requested_model_id": F.lit(model_id), "provider_route": F.array(*map(F.lit, route)).cast("array<string>"), "sampling_seed": F.lit(seed),
+        }
+    )
+
+
+def file_hash(path: str) -> str:
+    """Sixteen hex digits of SHA-256 over a file read in pieces, or "missing"."""
+    digest = hashlib.sha256()
+    try:
+        with open(path, "rb") as f:
+            while piece := f.read(1 << 20):
+                digest.update(piece)
+    except OSError:
+        return "missing"
+    return digest.hexdigest()[:16]
+
+
+#: Conditions and strategies of the experiment; under C without and with steps B's templates serve, with lines cut before their descriptions.
+CONDITIONS, STRATEGIES = ("A", "B", "C"), ("zeroshot", "cot", "fewshot")
+
+
+def template_of(condition: str, strategy: str) -> str:
+    """The name of a cell's template."""
+    return f"{'B' if condition == 'C' and strategy != 'fewshot' else condition}_{strategy}"
+
+
+def prompt_matrix(deals: DataFrame, templates: dict[str, tuple[str, str]], models: Sequence[str], conditions: Sequence[str] = CONDITIONS, strategies: Sequence[str] = STRATEGIES) -> DataFrame:
+    """A row for each deal and cell with prompt_system and prompt_user.
+
+    deals: deal_id, profile, candidate_list. templates: name -> (system text, user text with
+    {acquirer_profile} and {candidate_list}). A cell whose template is missing raises an error.
+    """
+    cells = [(c, s, m, *templates[template_of(c, s)]) for c in conditions for s in strategies for m in models]
+    grid = deals.sparkSession.createDataFrame(cells, "condition string, strategy string, model_key string, prompt_system string, template string")
+    lines = F.array_join(F.transform(F.split("candidate_list", "\n"), lambda x: F.rtrim(F.split_part(x, F.lit("| Description:"), F.lit(1)))), "\n")
+    shown = F.when(F.col("condition") == "C", lines).otherwise(F.col("candidate_list"))
+    user = F.replace(F.replace("template", F.lit("{acquirer_profile}"), F.coalesce("profile", F.lit(""))), F.lit("{candidate_list}"), F.coalesce(shown, F.lit("")))
+    # every cell meets every deal, as an experiment does; the grid has a few dozen rows
+    return deals.crossJoin(F.broadcast(grid)).select("deal_id", "condition", "strategy", "model_key", "prompt_system", user.alias("prompt_user"))
+
+
+#: Fixed texts of the memorisation probes; braces stand for columns.
+PROBES = {
+    "deanon": "Name the company that this profile describes, or answer UNKNOWN.\n\n{profile}",
+    "recall": "Which company did {acquirer_name} agree to acquire in {deal_year}? Answer with the name or UNKNOWN.",
+    "item": "Complete the record: {deal_id}::",
+    "next": "These are records of one table: {record}. Give the record that follows.",
+    "enumerate": "List the tickers of all targets in the table for {deal_year}, separated by commas.",
+}
+
+
+def probe_prompts(rows: DataFrame, probe: str) -> DataFrame:
+    """Add prompt_system and prompt_user of a memorisation probe; ``respond`` or ``run_cell`` answers them."""
+    text = F.lit(PROBES[probe])
+    for name in re.findall(r"{(\w+)}", PROBES[probe]):
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(F.col(name).cast("string"), F.lit("")))
+    return rows.withColumn("prompt_system", F.lit("")).withColumn("prompt_user", text)

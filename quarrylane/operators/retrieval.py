@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.redaction import unescape
+
 #: Published defaults of Okapi BM25, and the share of the mean idf that replaces a negative one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: English function words that the tf-idf ranker leaves out unless told otherwise.
@@ -28,10 +30,8 @@ DIGITS = 9
 
 
 def lexical_text(c: Column) -> Column:
-    """ASCII letters, digits and hyphens in lower case, single spaces; a few HTML entities decoded."""
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"[^a-zA-Z0-9\s-]", " "), r"\s+", " ")))
+    """ASCII letters, digits and hyphens in lower case, single spaces; HTML references decoded."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(unescape(c), r"[^a-zA-Z0-9\s-]", " "), r"\s+", " ")))
 
 
 def tokens(c: Column) -> Column:

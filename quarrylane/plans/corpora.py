@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import business as V
 from ..functions import ranking as R
 from ..functions.redaction import mask_acquirer
 from ..operators import corpus as C
 from ..operators.asof import as_known_at
-from ..operators.inference import RESAMPLES, paired_interval
+from ..operators.inference import mean_interval, paired_interval
 from ..operators.relational import pick_last
-from ..operators.retrieval import STOP_WORDS, bm25, lexical_text, nearest, terms, tfidf, tokens
+from ..operators.retrieval import STOP_WORDS, bm25, dense, lexical_text, nearest, terms, tfidf, tokens
+from ..operators.responder import offline_vector
+from ..runtime import write_once
 from ..sources.tables import table
-from .evaluation import BASE, DRAWS, _evaluated, _round_all, draws
+from .evaluation import BASE, _evaluated, _round_all, draws
 from .deals import sql_bucket, sql_sector
+from .texts import sql_mask, sql_masked
 
 MEANS = ["mrr", "recall_1", "recall_5", "recall_10", "ndcg_5", "ndcg_10"]
 
@@ -123,42 +128,62 @@ def tfidf_rank(spark: SparkSession, root: str) -> DataFrame:
     return _ranked(tfidf, terms, _lines(spark, root, q), q).select("deal_id", "no", F.round("score", 6).alias("score"), "rank")
 
 
-def baseline_panel(spark: SparkSession, root: str) -> DataFrame:
-    """Metrics of the lexical baselines with and without descriptions, beside chance."""
+@F.pandas_udf(ArrayType(DoubleType()))
+def vector_of(texts: pd.Series) -> pd.Series:
+    """The offline responder's vector of each text; another model's takes its place here. Zeros for a text without words."""
+    return pd.Series([offline_vector(t or "") for t in texts], dtype=object)
+
+
+def dense_deal_rank(spark: SparkSession, root: str) -> DataFrame:
+    """Candidates of every deal ranked by the cosine of their line's vector with that of the acquirer's masked filing texts."""
     q = _queries(spark, root, True)
+    return _dense(_lines(spark, root, q), q, "deal_id").select("deal_id", "no", F.round("score", 6).alias("score"), "rank")
+
+
+def _dense(lines: DataFrame, queries: DataFrame, group: str) -> DataFrame:
+    asked = queries.select(group, vector_of(lexical_text(F.col("q"))).alias("qv"))
+    items = lines.select(group, "no", vector_of(lexical_text(F.col("line"))).alias("v"))
+    return dense(items.join(asked, group), group=group, item="no", vector="v", query="qv")
+
+
+def _baselines(spark: SparkSession, root: str) -> DataFrame:
+    """(method, condition, deal_id, p): the target's place under each baseline with (B) and without (C) descriptions, 0 beyond the tenth."""
+    q = write_once(_queries(spark, root, True))
     lines = _lines(spark, root, q)
     key = lambda condition: F.concat(F.lit(condition), "deal_id").alias("g")
-    both = lines.select(key("B"), "no", "is_target", "line").unionByName(lines.select(key("C"), "no", "is_target", C.without_description(F.col("line")).alias("line")))
+    both = write_once(lines.select(key("B"), "no", "is_target", "line").unionByName(lines.select(key("C"), "no", "is_target", C.without_description(F.col("line")).alias("line"))))
     asked = q.select(key("B"), "q").unionByName(q.select(key("C"), "q"))
     gold = both.where("is_target").select("g", "no")
 
-    def places(method: str, rank, words) -> DataFrame:
-        place = _ranked(rank, words, both, asked, "g").join(gold, ["g", "no"]).groupBy("g").agg(F.min("rank").alias("place"))
-        return place.select(F.lit(method).alias("method"), F.left("g", F.lit(1)).alias("condition"), F.when(F.col("place") <= R.K, F.col("place")).otherwise(0).alias("p"))
+    def places(method: str, ranked: DataFrame) -> DataFrame:
+        place = ranked.join(gold, ["g", "no"]).groupBy("g").agg(F.min("rank").alias("place"))
+        return place.select(F.lit(method).alias("method"), F.left("g", F.lit(1)).alias("condition"), F.expr("substring(g, 2)").alias("deal_id"), F.when(F.col("place") <= R.K, F.col("place")).otherwise(0).alias("p"))
+
+    lexical = places("bm25", _ranked(bm25, tokens, both, asked, "g")).unionByName(places("tfidf", _ranked(tfidf, terms, both, asked, "g")))
+    return lexical.unionByName(places("dense", _dense(both, asked, "g")))
 
-    all_places = places("bm25", bm25, tokens).unionByName(places("tfidf", tfidf, terms))
+
+def baseline_panel(spark: SparkSession, root: str) -> DataFrame:
+    """Metrics of the lexical and dense baselines with and without descriptions, with intervals of the mean mrr, beside chance, which has none."""
+    placed = write_once(_baselines(spark, root).withColumn("mrr", R.reciprocal_rank(F.col("p"))))
     p = F.col("p")
-    m = {"mrr": R.reciprocal_rank(p), "recall_1": R.recall(p, 1), "recall_5": R.recall(p, 5), "recall_10": R.recall(p, 10), "ndcg_5": R.gain(p, 5), "ndcg_10": R.gain(p, 10)}
-    out = all_places.groupBy("method", "condition").agg(F.count("*").alias("n"), *[F.round(F.avg(v), 6).alias(k) for k, v in m.items()])
+    m = {"recall_1": R.recall(p, 1), "recall_5": R.recall(p, 5), "recall_10": R.recall(p, 10), "ndcg_5": R.gain(p, 5), "ndcg_10": R.gain(p, 10)}
+    means = placed.groupBy("method", "condition").agg(F.count("*").alias("n"), F.round(F.avg("mrr"), 6).alias("mrr"), *[F.round(F.avg(v), 6).alias(k) for k, v in m.items()])
+    ci = mean_interval(placed, ["method", "condition"], "mrr", "deal_id").select("method", "condition", F.round("low", 6).alias("mrr_low"), F.round("high", 6).alias("mrr_high"))
+    out = means.join(ci, ["method", "condition"])
     chance = {"mrr": R.chance_reciprocal_rank(), "recall_1": R.chance_recall(1), "recall_5": R.chance_recall(5), "recall_10": R.chance_recall(10), "ndcg_5": R.chance_gain(5), "ndcg_10": R.chance_gain(10)}
-    row = out.groupBy("condition").agg(F.max("n").alias("n")).select(F.lit("chance").alias("method"), "condition", "n", *[F.lit(round(v, 6)).alias(k) for k, v in chance.items()])
+    none = F.lit(None).cast("double")
+    row = out.groupBy("condition").agg(F.max("n").alias("n")).select(F.lit("chance").alias("method"), "condition", "n", *[F.lit(round(v, 6)).alias(k) for k, v in chance.items()], none.alias("mrr_low"), none.alias("mrr_high"))
     return out.unionByName(row)
 
 
-def baseline_delta(spark: SparkSession, root: str, resamples: int = DRAWS) -> DataFrame:
-    """mrr of the models' answers under condition B less that of BM25 on the same deals, with clustered intervals."""
-    q = _queries(spark, root, False)
-    lines = _lines(spark, root, q)
-    place = _ranked(bm25, tokens, lines, q).join(lines.where("is_target").select("deal_id", "no"), ["deal_id", "no"]).groupBy("deal_id").agg(F.min("rank").alias("place"))
-    base = place.select("deal_id", R.reciprocal_rank(F.when(F.col("place") <= R.K, F.col("place")).otherwise(0)).alias("base"))
-    e = pick_last(_evaluated(spark, root).where("condition = 'B'").select("response_id", "deal_id", "acquirer_ticker", "model_key", "strategy", "mrr").na.drop(subset=["deal_id", "model_key", "strategy"]), ["deal_id", "model_key", "strategy"], ["response_id"])
-    both = e.join(base, "deal_id").withColumn("d", F.col("mrr") - F.col("base")).withColumn("cluster", F.coalesce("acquirer_ticker", "deal_id"))
-    return _round_all(paired_interval(both, ["model_key", "strategy"], "d", "cluster", resamples=resamples), [])
-
-
-def baseline_delta_full(spark: SparkSession, root: str) -> DataFrame:
-    """baseline_delta with all 1,000 resamples."""
-    return baseline_delta(spark, root, RESAMPLES)
+def baseline_delta(spark: SparkSession, root: str) -> DataFrame:
+    """mrr of the models' answers less that of each baseline on the same deals, for every condition, baseline, model and strategy, with intervals that draw whole acquirers 1,000 times."""
+    base = _baselines(spark, root).select("method", "condition", "deal_id", R.reciprocal_rank(F.col("p")).alias("base"))
+    keys = ["condition", "deal_id", "model_key", "strategy"]
+    e = pick_last(_evaluated(spark, root).select("response_id", "acquirer_ticker", *keys, "mrr").na.drop(subset=keys), keys, ["response_id"])
+    both = e.join(base, ["condition", "deal_id"]).withColumn("d", F.col("mrr") - F.col("base")).withColumn("cluster", F.coalesce("acquirer_ticker", "deal_id"))
+    return _round_all(paired_interval(both, ["condition", "method", "model_key", "strategy"], "d", "cluster"), [])
 
 
 def dense_rank(spark: SparkSession, root: str) -> DataFrame:
@@ -179,7 +204,7 @@ def dense_metrics(spark: SparkSession, root: str) -> DataFrame:
     return first.join(label, "query").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(R.reciprocal_rank(p)), 6).alias("mrr"), F.round(F.avg(R.recall(p, 10)), 6).alias("recall_10"), F.round(F.avg(R.gain(p, 10)), 6).alias("ndcg_10"))
 
 
-NAMES = """quota_sample quota_report built_corpus deal_seeds size_windows wide_from_long corpus_invariants bm25_rank tfidf_rank baseline_panel baseline_delta baseline_delta_full dense_rank dense_metrics""".split()
+NAMES = """quota_sample quota_report built_corpus deal_seeds size_windows wide_from_long corpus_invariants bm25_rank tfidf_rank dense_deal_rank baseline_panel baseline_delta dense_rank dense_metrics""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _ROWS = """c AS (SELECT DISTINCT ON (deal_id, no) * FROM (SELECT upper(trim(deal_id)) AS deal_id, TRY_CAST(candidate_id AS INTEGER) AS no, loaded_at, target_ticker, candidate_ticker, is_target, anon_description, acquirer_ticker FROM corpus_per_deal)
@@ -215,6 +240,44 @@ def _terms(x: str) -> str:
 
 
 _PAIRED = "list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))"
+_MASKED = """qd AS (SELECT DISTINCT ON (deal_id) * FROM (SELECT deal_id, loaded_at, acquirer_name, acquirer_ticker, item1_text, mda_text FROM deal_filing WHERE hf_match) ORDER BY deal_id, loaded_at DESC NULLS LAST, acquirer_name DESC NULLS LAST, acquirer_ticker DESC NULLS LAST, item1_text DESC NULLS LAST, mda_text DESC NULLS LAST)"""
+_VECTOR = lambda x: f"list_transform(list_filter(string_split_regex(lower(coalesce({x}, '')), '\\s+'), lambda w: w <> ''), lambda w: {{'i': ('0x' || substr(md5(w), 1, 2))::INT % 64, 'v': CASE WHEN ('0x' || substr(md5(w), 3, 2))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END}})"
+_SUMS = lambda m: f"list_transform(range(0, 64), lambda k: coalesce(list_sum(list_transform(list_filter({m}, lambda e: e.i = k), lambda e: e.v)), 0)::DOUBLE)"
+
+
+def _dense_sql(lines: str, queries: str, group: str) -> str:
+    """CTE bodies to dr: items of ``lines`` (group, no, line) ranked against ``queries`` (group, q)."""
+    return f"""vq AS (SELECT {group}, {_VECTOR(_lex("q"))} AS m FROM {queries}), vq2 AS (SELECT {group}, {_SUMS("m")} AS qv FROM vq),
+vd AS (SELECT {group}, no, {_VECTOR(_lex("line"))} AS m FROM {lines}), vd2 AS (SELECT {group}, no, {_SUMS("m")} AS v FROM vd),
+vs AS (SELECT {group}, no, round(list_dot_product(v, qv) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv)), 0), 9) AS score FROM vd2 JOIN vq2 USING ({group})),
+dr AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY score DESC NULLS LAST, no) AS rank FROM vs)"""
+
+
+def _ranks_sql() -> str:
+    """CTE bodies to bp: place of the target under each baseline, method and condition."""
+    text = "concat_ws(' ', x1, x2)"
+    bm = f"""tk AS (SELECT g, no, string_split({_lex("line")}, ' ') AS d FROM bl WHERE {_lex("line")} <> ''),
+qf AS (SELECT g, t, count(*) AS qf FROM (SELECT g, unnest(string_split({_lex("q")}, ' ')) AS t FROM bq) GROUP BY ALL),
+sz AS (SELECT g, count(*) AS n, avg(len(d)) AS al FROM tk GROUP BY 1), tf AS (SELECT g, no, any_value(l) AS l, t, count(*) AS tf FROM (SELECT g, no, len(d) AS l, unnest(d) AS t FROM tk) GROUP BY g, no, t),
+df AS (SELECT g, t, any_value(n) AS n, any_value(al) AS al, count(*) AS df FROM tf JOIN sz USING (g) GROUP BY g, t),
+i0 AS (SELECT *, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df), i1 AS (SELECT *, avg(raw) OVER (PARTITION BY g) AS m FROM i0), i2 AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM i1),
+sc AS (SELECT g, no, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))) AS s FROM qf JOIN i2 USING (g, t) JOIN tf USING (g, t) GROUP BY ALL),
+rb AS (SELECT bl.g, bl.no, CASE WHEN {_lex("line")} = '' THEN -1.0 ELSE round(coalesce(s, 0), 9) END AS score FROM bl LEFT JOIN sc USING (g, no)), b1 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, no) AS rank FROM rb)"""
+    ti = f"""u0 AS (SELECT g, no, {_terms(_lex("line"))} AS k FROM bl), u1 AS (SELECT g, no, {_PAIRED} AS d FROM u0), un AS (SELECT g, count(*) AS n FROM u1 GROUP BY 1),
+ut AS (SELECT g, no, t, 1 + ln(count(*)) AS w FROM (SELECT g, no, unnest(d) AS t FROM u1) GROUP BY ALL), ud AS (SELECT g, t, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM ut JOIN un USING (g) GROUP BY g, t),
+uw AS (SELECT g, no, t, w * idf AS w FROM ut JOIN ud USING (g, t)), um AS (SELECT g, no, sqrt(sum(w * w)) AS nm FROM uw GROUP BY ALL),
+v0 AS (SELECT g, unnest({_PAIRED}) AS t FROM (SELECT g, {_terms(_lex("q"))} AS k FROM bq)), vw AS (SELECT g, t, (1 + ln(count(*))) * any_value(idf) AS qw FROM v0 JOIN ud USING (g, t) GROUP BY g, t), vn AS (SELECT g, sqrt(sum(qw * qw)) AS qm FROM vw GROUP BY 1),
+vt AS (SELECT g, no, sum(w * qw) AS dot FROM uw JOIN vw USING (g, t) GROUP BY ALL), u2 AS (SELECT g, no, round(coalesce(dot / (nm * qm), 0), 9) AS score FROM u1 LEFT JOIN vt USING (g, no) LEFT JOIN um USING (g, no) LEFT JOIN vn USING (g)),
+tz AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, no) AS rank FROM u2)"""
+    place = lambda method, source: f"SELECT '{method}' AS method, left(g, 1) AS condition, substr(g, 2) AS deal_id, CASE WHEN min(rank) <= 10 THEN min(rank) ELSE 0 END AS p FROM {source} JOIN bl USING (g, no) WHERE is_target GROUP BY g"
+    return f"""{_ROWS}, {_MASKED}, {sql_masked("qd", "acquirer_name", "acquirer_ticker")},
+q1 AS (SELECT upper(trim(deal_id)) AS deal_id, left({sql_mask("left(item1_text, 500)")}, 400) AS x1, left({sql_mask("left(mda_text, 400)")}, 300) AS x2 FROM mk), q2 AS (SELECT deal_id, {text} AS q FROM q1 WHERE {_lex(text)} <> ''),
+bl AS (SELECT 'B' || deal_id AS g, no, is_target, anon_description AS line FROM c JOIN q2 USING (deal_id) UNION ALL SELECT 'C' || deal_id, no, is_target, rtrim(split_part(anon_description, '| Description:', 1)) FROM c JOIN q2 USING (deal_id)),
+bq AS (SELECT 'B' || deal_id AS g, q FROM q2 UNION ALL SELECT 'C' || deal_id, q FROM q2),
+{bm}, {ti}, {_dense_sql("bl", "bq", "g")},
+bp AS ({place("bm25", "b1")} UNION ALL {place("tfidf", "tz")} UNION ALL {place("dense", "dr")})"""
+
+
 _POOL = f"""p AS (SELECT * FROM (SELECT DISTINCT ON (ticker) ticker, {sql_sector("sic")} AS sector, {sql_bucket("mktcap_usd_m")} AS size FROM pool WHERE ticker IS NOT NULL ORDER BY ticker, published_at DESC NULLS LAST, pool_id DESC NULLS LAST) WHERE sector <> 'SPAC')"""
 _SECTORS = [s for s, _ in V.SECTORS if s != "SPAC"] + ["Other", V.UNKNOWN]
 _NEAR = ", ".join(f"('{t}', '{b}')" for i, b in enumerate(V.SIZE_LABELS) for j, t in enumerate(V.SIZE_LABELS) if abs(i - j) <= 1)
@@ -268,22 +331,31 @@ tk AS (SELECT deal_id, no, {_PAIRED} AS d FROM it), nn AS (SELECT deal_id, count
 tf AS (SELECT deal_id, no, t, 1 + ln(count(*)) AS w FROM (SELECT deal_id, no, unnest(d) AS t FROM tk) GROUP BY ALL),
 df AS (SELECT deal_id, t, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM tf JOIN nn USING (deal_id) GROUP BY deal_id, t),
 dw AS (SELECT deal_id, no, t, w * idf AS w FROM tf JOIN df USING (deal_id, t)), dn AS (SELECT deal_id, no, sqrt(sum(w * w)) AS nm FROM dw GROUP BY ALL),
-q0 AS (SELECT deal_id, unnest({_PAIRED.replace("k", "k")}) AS t FROM (SELECT deal_id, any_value(q) AS k FROM it GROUP BY 1)),
+q0 AS (SELECT deal_id, unnest({_PAIRED}) AS t FROM (SELECT deal_id, any_value(q) AS k FROM it GROUP BY 1)),
 qw AS (SELECT deal_id, t, (1 + ln(count(*))) * any_value(idf) AS qw FROM q0 JOIN df USING (deal_id, t) GROUP BY deal_id, t), qn AS (SELECT deal_id, sqrt(sum(qw * qw)) AS qm FROM qw GROUP BY 1),
 dt AS (SELECT deal_id, no, sum(w * qw) AS dot FROM dw JOIN qw USING (deal_id, t) GROUP BY ALL),
 s AS (SELECT deal_id, no, round(coalesce(dot / (nm * qm), 0), 9) AS score FROM tk LEFT JOIN dt USING (deal_id, no) LEFT JOIN dn USING (deal_id, no) LEFT JOIN qn USING (deal_id))
 SELECT deal_id, no, round(score, 6) AS score, row_number() OVER (PARTITION BY deal_id ORDER BY score DESC, no) AS rank FROM s""",
+    "dense_deal_rank": f"""WITH {_ROWS}, {_MASKED}, {sql_masked("qd", "acquirer_name", "acquirer_ticker")},
+q1 AS (SELECT upper(trim(deal_id)) AS deal_id, left({sql_mask("left(item1_text, 500)")}, 400) AS x1, left({sql_mask("left(mda_text, 400)")}, 300) AS x2 FROM mk), q2 AS (SELECT deal_id, concat_ws(' ', x1, x2) AS q FROM q1 WHERE {_lex("concat_ws(' ', x1, x2)")} <> ''),
+li AS (SELECT deal_id, no, anon_description AS line FROM c JOIN q2 USING (deal_id)), {_dense_sql("li", "q2", "deal_id")} SELECT deal_id, no, round(score, 6) AS score, rank FROM dr""",
+    "baseline_panel": f"""WITH {_ranks_sql()}, mr AS (SELECT method, condition, deal_id, CASE WHEN p > 0 THEN 1.0 / p ELSE 0 END::DOUBLE AS mrr, p, 1 AS c FROM bp)"""
+    + draws("mr", "method, condition", "mrr c", "deal_id").replace("u AS (", "dw AS (").replace("FROM u GROUP", "FROM dw GROUP").replace(", u\n", ", dw u\n").replace("\ng AS", "\ngg AS").replace("FROM g,", "FROM gg g,").replace("FROM g)", "FROM gg)")
+    + """, ci AS (SELECT method, condition, quantile_cont(mrr / c, [0.025, 0.975]) AS q FROM z GROUP BY ALL),
+ma AS (SELECT method, condition, count(*) AS n, round(avg(mrr), 6) AS mrr, round(avg((p = 1)::INT), 6) AS recall_1, round(avg((p BETWEEN 1 AND 5)::INT), 6) AS recall_5, round(avg((p BETWEEN 1 AND 10)::INT), 6) AS recall_10,
+  round(avg(CASE WHEN p BETWEEN 1 AND 5 THEN 1 / log2(p + 1) ELSE 0 END), 6) AS ndcg_5, round(avg(CASE WHEN p BETWEEN 1 AND 10 THEN 1 / log2(p + 1) ELSE 0 END), 6) AS ndcg_10 FROM mr GROUP BY ALL)
+SELECT ma.*, round(q[1], 6) AS mrr_low, round(q[2], 6) AS mrr_high FROM ma JOIN ci USING (method, condition)
+UNION ALL SELECT 'chance', condition, max(n), round((SELECT sum(1.0 / i) FROM range(1, 11) t(i)) / 50, 6)::DOUBLE, 0.02::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, round((SELECT sum(1 / log2(i + 1)) FROM range(1, 6) t(i)) / 50, 6), round((SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i)) / 50, 6), NULL, NULL FROM ma GROUP BY condition""",
     "baseline_delta": BASE
     + ", "
-    + _BM25
-    + """, pl AS (SELECT deal_id, min(rank) AS place FROM bm WHERE is_target GROUP BY 1),
-df2 AS (SELECT model_key, strategy, coalesce(le.acquirer_ticker, le.deal_id) AS cluster, mrr - CASE WHEN place <= 10 THEN 1.0 / place ELSE 0 END AS d FROM le JOIN pl USING (deal_id) WHERE condition = 'B'),
-un AS (SELECT model_key, strategy, cluster, sum(d) AS s, count(*)::DOUBLE AS c FROM df2 GROUP BY ALL)"""
-    + draws("un", "model_key, strategy", "s c", "cluster").replace(", g AS", ", gg AS").replace("FROM g,", "FROM gg g,").replace("FROM g)", "FROM gg)").replace("\ng AS", "\ngg AS")
-    + """, fl AS (SELECT model_key, strategy, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_clusters, sum(s) / sum(c) AS mean FROM un GROUP BY ALL),
-mm AS (SELECT model_key, strategy, fl.*, z.s / z.c AS m FROM z JOIN fl USING (model_key, strategy))
-SELECT model_key, strategy, any_value(n) AS n, any_value(n_clusters) AS n_clusters, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
-round(least(1.0, 2 * least(avg((round(m - mean, 12) >= round(mean, 12))::INT), avg((round(m - mean, 12) <= round(mean, 12))::INT))), 6) AS p_value FROM mm GROUP BY model_key, strategy""",
+    + _ranks_sql()
+    + """, df2 AS (SELECT le.condition, method, model_key, strategy, coalesce(le.acquirer_ticker, le.deal_id) AS cluster, mrr - CASE WHEN bp.p > 0 THEN 1.0 / bp.p ELSE 0 END AS d FROM le JOIN bp ON bp.deal_id = le.deal_id AND bp.condition = le.condition),
+un9 AS (SELECT condition, method, model_key, strategy, cluster, sum(d) AS s, count(*)::DOUBLE AS c FROM df2 GROUP BY ALL)"""
+    + draws("un9", "condition, method, model_key, strategy", "s c", "cluster").replace("u AS (", "dw AS (").replace("FROM u GROUP", "FROM dw GROUP").replace(", u\n", ", dw u\n").replace("\ng AS", "\ngg AS").replace("FROM g,", "FROM gg g,").replace("FROM g)", "FROM gg)")
+    + """, fl AS (SELECT condition, method, model_key, strategy, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_clusters, sum(s) / sum(c) AS mean FROM un9 GROUP BY ALL),
+mm AS (SELECT condition, method, model_key, strategy, fl.n, fl.n_clusters, fl.mean, z.s / z.c AS m FROM z JOIN fl USING (condition, method, model_key, strategy))
+SELECT condition, method, model_key, strategy, any_value(n) AS n, any_value(n_clusters) AS n_clusters, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
+round(least(1.0, 2 * least(avg((round(m - mean, 12) >= round(mean, 12))::INT), avg((round(m - mean, 12) <= round(mean, 12))::INT))), 6) AS p_value FROM mm GROUP BY condition, method, model_key, strategy""",
     "dense_rank": """WITH s AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS s, e.label = q.label AS same_label
   FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query, vec_id, round(s, 6) AS score, rank, same_label FROM r WHERE rank <= 10""",

@@ -8,13 +8,54 @@ from pyspark.sql import functions as F
 from ..functions import business as V
 from ..functions import names as N
 from ..operators.asof import as_known_at
-from ..operators.relational import complete, conform, null_counts, others_of_group, pending, pick_first, pick_last, with_fallbacks
+from ..operators.relational import complete, conform, drop_present, first_rows, looked_up, mapped, null_counts, others_of_group, pending, pick_first, pick_last, with_fallbacks
 from ..sources.tables import table
 
 #: Columns that a deal must have.
 CRITICAL = ["deal_id", "acquirer_name", "acquirer_ticker", "target_name", "target_ticker", "announced_date", "closed_date", "target_sic", "deal_value_usd_m", "target_mktcap_usd_m"]
 
 
+#: Headings of an exported sheet of deals and the names they get.
+RENAMES = {
+    "Target/Issuer Name": "target_name",
+    "MI Transaction ID": "deal_id",
+    "Announced Date\nMM/dd/yyyy": "announced_date",
+    "Completion Date\nMM/dd/yyyy": "closed_date",
+    "Definitive Agreement Date\nMM/dd/yyyy": "def_agreement_date",
+    "Transaction Type": "transaction_type",
+    "Transaction Status": "status",
+    "Description of Consideration": "consideration_desc",
+    "Deal Summary": "deal_summary",
+    "Buyers/Investors Name": "acquirer_name",
+    "Buyer Ticker(s)": "acquirer_ticker",
+    "Actual Acquirer Country/Region": "acquirer_country",
+    "Target/Issuer Ticker": "target_ticker",
+    "SIC Code\n(Target/Issuer)": "target_sic",
+    "Target Country/ Region": "target_country",
+    "Target/Issuer Business Description": "target_business_desc",
+    "Target/Issuer Long Business Description": "target_long_desc",
+    "Total Transaction Value\n($M)": "deal_value_usd_m",
+    "Buyer: CIQ Total Revenue\n($000)": "acquirer_revenue_ciq_000",
+    "Buyer: CIQ EBITDA Incl EQ Income from Affiliates\n($000)": "acquirer_ebitda_ciq_000",
+    "Buyer: Total Revenue\n($000)": "acquirer_revenue_000",
+    "Buyer: EBITDA\n($000)": "acquirer_ebitda_000",
+    "Buyer: Total Equity\n($000)": "acquirer_equity_000",
+    "Target: Period Ended\nMM/dd/yyyy": "target_period_end",
+    "Target: CIQ Total Revenue\n($000)": "target_revenue_ciq_000",
+    "Target: CIQ EBITDA Incl EQ Income from Affiliates\n($000)": "target_ebitda_ciq_000",
+    "Target: Market Capitalization\n($M)": "target_mktcap_usd_m",
+    "Premium Paid\n($000)": "premium_paid_000",
+    "Deal Premium 1 Day Before\n(%)": "premium_1day_pct",
+    "Deal Premium 1 Week Before\n(%)": "premium_1week_pct",
+    "Deal Premium 1 Year Before\n(%)": "premium_1year_pct",
+    "Consideration: Cash\n($M)": "consideration_cash_m",
+    "Consideration: Common Stock\n($M)": "consideration_stock_m",
+    "Consideration: Earnout/ Contingent Payments\n($M)": "consideration_earnout_m",
+    "Adviser Name\n(All Roles Target/Issuer)": "adviser_target",
+    "Adviser Name\n(All Roles Buyer/Investor)": "adviser_acquirer",
+}
+
+
 def _deals(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "deal_filing")
 
@@ -52,6 +93,12 @@ def priority_year_join(spark: SparkSession, root: str) -> DataFrame:
     return out.select("deal_id", "k", how.alias("method"), "filing_id")
 
 
+def lag_year(spark: SparkSession, root: str) -> DataFrame:
+    """Deals by year of announcement and the year before, against the stored year of the filing."""
+    y = F.year("announced_date")
+    return _deals(spark, root).groupBy(y.alias("deal_year"), (y - 1).alias("lag_year")).agg(F.count("*").alias("n"), F.count_if(F.col("tenk_year") == y - 1).alias("n_same"))
+
+
 def text_quality_flags(spark: SparkSession, root: str) -> DataFrame:
     """Deals by whether their filing texts have more than 200 characters, against the stored flags."""
     d = _deals(spark, root)
@@ -148,6 +195,32 @@ def probe_records(spark: SparkSession, root: str) -> DataFrame:
     return both.groupBy("model_key", "provider").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("tokens"), F.sum(F.length("response_text")).alias("chars"))
 
 
+def target_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The pool's row of each deal's target, or where the pool has none one built from the deal; how many deals have which, by sector and size."""
+    d = _deals(spark, root).where("deal_id IS NOT NULL").select("deal_id", "loaded_at", "target_ticker", "target_name", "target_sic", "target_mktcap_usd_m")
+    d = pick_last(d, ["deal_id"], ["loaded_at", "target_ticker", "target_name", "target_sic", "target_mktcap_usd_m"])
+    p = table(spark, root, "pool").where("ticker IS NOT NULL").select(F.col("ticker").alias("target_ticker"), "published_at", "pool_id", "company_name", V.sector(F.col("sic")).alias("sector"), V.size_bucket(F.col("mktcap_usd_m")).alias("size"))
+    p = pick_last(p, ["target_ticker"], ["published_at", "pool_id"])
+    built = {"company_name": F.col("target_name"), "sector": V.sector(F.col("target_sic")), "size": V.size_bucket(F.col("target_mktcap_usd_m"))}
+    return looked_up(d, p, "target_ticker", built).groupBy("found", "sector", "size").agg(F.count("*").alias("n_deals"), F.count_distinct("company_name").alias("n_names"))
+
+
+#: Short names of the models; a model without one is left out.
+SLUGS = {"kestrel_small": "kestrel-s", "kestrel_large": "kestrel-l", "orrin_1b": "orrin-1", "orrin_70b": "orrin-70", "mirrane_mini": "mirrane-m"}
+
+
+def slugged_answers(spark: SparkSession, root: str) -> DataFrame:
+    """Answers by short name of the model; models without a short name are left out."""
+    r = table(spark, root, "responses_raw").select("response_id", "model_key").dropDuplicates(["response_id"])
+    return mapped(r, "model_key", SLUGS, "model_slug").groupBy("model_slug").agg(F.count("*").alias("n"))
+
+
+def pilot_deals(spark: SparkSession, root: str) -> DataFrame:
+    """The first ten deals by announcement and id: a pilot run's input (a limit is the feature)."""
+    d = drop_present(_deals(spark, root), ["item1_text", "mda_text", "no_such_column"]).where("announced_date IS NOT NULL").select("deal_id", "announced_date").distinct()
+    return first_rows(d, ["announced_date", "deal_id"], 10)
+
+
 def excluded_deals(spark: SparkSession, root: str) -> DataFrame:
     """Build status of deals: excluded by a given list, without a target ticker, or ok."""
     listed = table(spark, root, "deal_filing").where("status = 'Cancelled'").select("deal_id").distinct().withColumn("x", F.lit(True))
@@ -157,7 +230,7 @@ def excluded_deals(spark: SparkSession, root: str) -> DataFrame:
 
 
 NAMES = """distinct_on_first last_wins critical_null_audit critical_complete priority_year_join text_quality_flags asof_prior_filing co_occurring_targets
-resume_anti_join experiment_grid size_bucket_hist code_to_sector budget_buckets value_ranges cost_rollup probe_records excluded_deals""".split()
+resume_anti_join experiment_grid size_bucket_hist code_to_sector budget_buckets value_ranges cost_rollup probe_records target_rows slugged_answers pilot_deals lag_year excluded_deals""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 
@@ -232,6 +305,13 @@ SELECT CASE WHEN grouping(k) = 1 THEN 'all' ELSE k END AS model_key, count(*) AS
 (SELECT coalesce(r.model_key, 'unknown') AS k, i, o, i / 1e6 * coalesce(a, 1.0) + o / 1e6 * coalesce(b, 3.0) AS c FROM r LEFT JOIN p USING (model_key)) GROUP BY ROLLUP (k)""",
     "probe_records": """WITH r AS (SELECT DISTINCT ON (response_id) * FROM responses_raw ORDER BY response_id)
 SELECT model_key, CASE WHEN condition = 'A' THEN 'unknown' ELSE provider END AS provider, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS tokens, CAST(sum(length(response_text)) AS BIGINT) AS chars FROM r WHERE condition IS NOT NULL GROUP BY ALL""",
+    "lag_year": "SELECT year(announced_date)::INT AS deal_year, year(announced_date)::INT - 1 AS lag_year, count(*) AS n, count(*) FILTER (tenk_year = year(announced_date) - 1) AS n_same FROM deal_filing GROUP BY ALL",
+    "slugged_answers": "WITH s(k, model_slug) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in SLUGS.items()) + ") SELECT model_slug, count(DISTINCT response_id) AS n FROM responses_raw JOIN s ON s.k = model_key GROUP BY 1",
+    "pilot_deals": "SELECT DISTINCT deal_id, announced_date FROM deal_filing WHERE announced_date IS NOT NULL ORDER BY announced_date, deal_id NULLS LAST LIMIT 10",
+    "target_rows": f"""WITH d AS (SELECT DISTINCT ON (deal_id) * FROM deal_filing WHERE deal_id IS NOT NULL ORDER BY deal_id, loaded_at DESC NULLS LAST, target_ticker DESC NULLS LAST, target_name DESC NULLS LAST, target_sic DESC NULLS LAST, target_mktcap_usd_m DESC NULLS LAST),
+p AS (SELECT DISTINCT ON (ticker) ticker, company_name, {sql_sector("sic")} AS sector, {sql_bucket("mktcap_usd_m")} AS size FROM pool WHERE ticker IS NOT NULL ORDER BY ticker, published_at DESC NULLS LAST, pool_id DESC NULLS LAST),
+b AS (SELECT p.ticker IS NOT NULL AS found, CASE WHEN p.ticker IS NOT NULL THEN company_name ELSE target_name END AS nm, CASE WHEN p.ticker IS NOT NULL THEN p.sector ELSE {sql_sector("target_sic")} END AS sector, CASE WHEN p.ticker IS NOT NULL THEN p.size ELSE {sql_bucket("target_mktcap_usd_m")} END AS size
+  FROM d LEFT JOIN p ON p.ticker = d.target_ticker) SELECT found, sector, size, count(*) AS n_deals, count(DISTINCT nm) AS n_names FROM b GROUP BY ALL""",
     "excluded_deals": """SELECT CASE WHEN x THEN 'excluded' WHEN t IS NULL THEN 'no_target' ELSE 'ok' END AS status, count(*) AS n FROM
 (SELECT deal_id, max(target_ticker) AS t, bool_or(coalesce(status = 'Cancelled', false)) AS x FROM deal_filing GROUP BY 1) GROUP BY 1""",
 }

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Callable, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+from ..runtime import write_once
+
 CORRUPT = "_corrupt_record"
 
 
@@ -100,3 +105,63 @@ def with_vectors(texts: DataFrame, text: str, model_id: str, path: str, embed: C
     new.write.mode("append").parquet(path)
     held = spark.read.schema(VECTORS).parquet(path).where(F.col("model_id") == model_id).dropDuplicates(["text_sha1"])
     return keyed.join(held.select("text_sha1", "vector"), "text_sha1", "left").select(*texts.columns, "vector")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, quotes doubled and null as nothing; line breaks within fields stay."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue="", emptyValue='""')
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Text files that each hold one JSON array; with one partition the folder holds a single one, as ``read_json_array`` takes it.
+
+    Each partition streams its own array, so a large table is never gathered.
+    """
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([before + lines[0], *["," + x for x in lines[1:]]])], names=["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"])], names=["value"])
+
+    rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def snapshot(df: DataFrame, name: str, steps: list[dict]) -> DataFrame:
+    """``df`` written once; its name, rows and columns are appended to ``steps``."""
+    out = write_once(df)
+    steps.append({"step": name, "rows": out.count(), "columns": len(out.columns)})
+    return out
+
+
+def matching_runs(df: DataFrame, *, model: str | None = None, strategy: str | None = None) -> DataFrame:
+    """Rows of the runs asked for: ``model`` is any part of the column model_slug, ``strategy`` the whole of its column."""
+    if model:
+        df = df.where(F.contains(F.col("model_slug"), F.lit(model)))
+    return df.where(F.col("strategy") == strategy) if strategy else df
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], *, batch: int = 20, attempts: int = 3, pause: float = 1.0) -> DataFrame:
+    """(text_sha1, text) -> (text_sha1, vector) by calls of ``batch`` texts, tried again ``attempts`` times with growing pauses; a batch that still fails gives null vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            vectors: list = []
+            for at in range(0, len(b), batch):
+                part = b["text"].iloc[at : at + batch].tolist()
+                for i in range(attempts):
+                    try:
+                        vectors += embed(part)
+                        break
+                    except Exception:  # noqa: BLE001
+                        if i == attempts - 1:
+                            vectors += [None] * len(part)
+                        else:
+                            time.sleep(pause * (i + 1))
+            yield pd.DataFrame({"text_sha1": b["text_sha1"], "vector": pd.Series(vectors, dtype=object, index=b.index)})
+
+    return texts.select("text_sha1", "text").mapInPandas(run, "text_sha1 string, vector array<double>")

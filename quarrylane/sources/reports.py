@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 
 #: Rows that a report takes; more is an error, not a cut.
@@ -44,7 +42,3 @@ def latex(df: DataFrame, *, caption: str, label: str, bold: str | None = None, i
         body.append(" & ".join(cells) + r" \\")
     head = [c.replace("_", r"\_") for c in shown] + (["95\\% CI"] if interval else [])
     return "\n".join([r"\begin{table}[t]", r"\centering", rf"\caption{{{caption}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{'l' * len(head)}}}", r"\hline", " & ".join(head) + r" \\", r"\hline", *body, r"\hline", r"\end{tabular}", r"\end{table}"]) + "\n"
-
-
-def columns(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    return df.select(*[c for c in order if c in df.columns])

@@ -32,21 +32,30 @@ def test_flagship(spark):
     assert df.count() > 0 and "mrr" in df.columns
 
 
-@pytest.mark.skipif(not Path(SMALL).exists(), reason="the driver's tables are not here")
-def test_core_queries_against_sql(spark):
-    duckdb = pytest.importorskip("duckdb")
+def _core_oracles():
     from quarrylane.plans import corpora, deals, evaluation, point_in_time, texts
 
+    return {k: (m.QUERIES[k], q) for m in (evaluation, deals, texts, corpora, point_in_time) for k, q in m.ORACLE.items()}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for p in Path(SMALL).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    return con
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(_core_oracles()))
+def test_core_query_against_sql(spark, duck, name):
+    query, sql = _core_oracles()[name]
     plain = lambda v: round(v, 5) + 0.0 if isinstance(v, float) else v
-    for m in (evaluation, deals, texts, corpora, point_in_time):
-        for name in list(m.ORACLE)[:3]:
-            df = m.QUERIES[name](spark, SMALL)
-            cur = con.execute(m.ORACLE[name])
-            columns = [c[0] for c in cur.description]
-            assert sorted(columns) == sorted(df.columns), name
-            want = sorted((tuple(map(plain, r)) for r in cur.fetchall()), key=repr)
-            got = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr)
-            assert got == want, name
+    df = query(spark, SMALL)
+    cur = duck.execute(sql)
+    columns = [c[0] for c in cur.description]
+    assert sorted(columns) == sorted(df.columns)
+    want = sorted((tuple(map(plain, r)) for r in cur.fetchall()), key=repr)
+    got = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr)
+    assert got == want

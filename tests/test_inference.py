@@ -7,7 +7,8 @@ from quarrylane.operators import inference as I
 
 
 def draw(b, i, n, seed="42"):
-    return int(hashlib.md5(f"{seed}|{b}|{i}".encode()).hexdigest()[:15], 16) % n
+    digest = hashlib.md5(f"{seed}|{b}|{i // 4}".encode()).hexdigest()
+    return int(digest[i % 4 * 8 : i % 4 * 8 + 8], 16) % n
 
 
 def quantile(xs, q):
@@ -51,11 +52,25 @@ def test_empty_subset_resample_raises(spark):
     assert r.difference == r.low == r.high == 0
 
 
-def test_poisson_interval(spark):
-    rows = [("c", i, i / 400) for i in range(400)]
-    r = I.poisson_interval(spark.createDataFrame(rows, "c string, i int, v double"), ["c"], "v", "i", resamples=100).first()
+def test_large_cells_are_never_gathered(spark, monkeypatch):
+    monkeypatch.setattr(I, "MOST_UNITS", 100)
+    rows = [("c", i, i / 400) for i in range(400)] + [("small", i, float(i)) for i in range(5)]
+    got = {r.c: r for r in I.mean_interval(spark.createDataFrame(rows, "c string, i int, v double"), ["c"], "v", "i", resamples=200).collect()}
     half = 1.96 * (1 / 12) ** 0.5 / 20
-    assert r.mean == pytest.approx(0.49875) and r.low == pytest.approx(r.mean - half, abs=0.012) and r.high == pytest.approx(r.mean + half, abs=0.012)
+    r = got["c"]
+    assert r.n == 400 and r.mean == pytest.approx(0.49875) and r.low == pytest.approx(r.mean - half, abs=0.01) and r.high == pytest.approx(r.mean + half, abs=0.01)
+    means = [sum(draw(b, i, 5) for i in range(5)) / 5 for b in range(200)]
+    assert got["small"].low == pytest.approx(quantile(means, 0.025))
+    paired = spark.createDataFrame([("m", f"a{i}", 1.0 + i % 3) for i in range(300)], "k string, c string, d double")
+    p = I.paired_interval(paired, ["k"], "d", "c", resamples=100).first()
+    assert p.low < p.mean < p.high and p.p_value == 0 and p.n_clusters == 300
+
+
+def test_empty_resamples_can_be_counted(spark):
+    df = spark.createDataFrame([("m", "a", 1.0, True), ("m", "b", 0.0, False), ("n", "a", 1.0, False)], "k string, c string, v double, s boolean")
+    got = {r.k: r for r in I.subset_interval(df, ["k"], "v", "s", "c", resamples=40, strict=False).collect()}
+    empty = sum(all(draw(b, i, 2) == 1 for i in range(2)) for b in range(40))
+    assert 0 < empty == got["m"].n_empty and got["n"].n_empty == 40 and got["n"].low is None
 
 
 def test_spearman(spark):

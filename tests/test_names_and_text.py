@@ -106,3 +106,32 @@ def test_dictionary(spark):
     rows = dictionary(df, name="n", ticker="t", order="o").collect()
     assert len(rows) == 1
     assert rows[0].canonical == "Acme, Inc." and rows[0].ticker == "ACX" and "ACME Inc" in rows[0].aliases
+
+
+def test_html_and_dotted_tickers(spark):
+    from quarrylane.functions.names import has_ticker
+    from quarrylane.functions.redaction import identity_profile, names_in, profile, unescape
+
+    df = spark.createDataFrame([("Caf&eacute; &#8217;n&#x20;bar &amp; grill", "BRK.B", "sold to BRK.B today"), (None, None, None), ("plain", "AB", "ab AB")], "t string, k string, x string")
+    got = df.select(unescape(F.col("t")).alias("t"), has_ticker(F.col("x"), F.col("k")).alias("h")).collect()
+    assert [r.t for r in got] == ["Café ’n bar & grill", None, "plain"] and [r.h for r in got] == [True, False, True]
+    c = lambda v: F.lit(v).cast("string")
+    p = profile(c("Norvane Foods makes bread."), c(None), c("Norvane Foods Inc"), c("NRVN"), F.lit(2015), F.lit(12.5), F.lit(None).cast("double"))
+    r = spark.range(1).select(p.alias("p"), names_in(p, c("Norvane Foods Inc")).alias("leak"), names_in(c("by norvane itself"), c("Norvane (X:Y)")).alias("seen"), identity_profile(c("Norvane"), c(None), F.lit(2015), F.lit(1.0), F.lit(2.0)).alias("i")).first()
+    assert "[ACQUIRER]" in r.p and "Norvane" not in r.p and "FY2014" in r.p and "Revenue $12.5M | EBITDA margin N/A%" in r.p and not r.leak and r.seen
+    assert r.i.startswith("COMPANY: Norvane (N/A)\nFISCAL YEAR: FY2014")
+
+
+def test_recall_labels(spark):
+    from quarrylane.operators.entities import recall_labels
+
+    rows = [
+        (1, "It bought Norvane Foods Inc.", "Acme Corp (NYSE:ACM)", 2015, "Norvane Foods Inc.", "NRVN"), (2, "Tarrow Grid", "acme corp", 2015, "Norvane Foods Inc.", "NRVN"), (3, "UNKNOWN", "Acme Corp", 2015, "Tarrow Grid", None),
+        (4, "I cannot say", "Acme Corp", 2015, "Tarrow Grid", None), (5, None, None, None, None, None), (6, "Quell Systems", "Acme Corp", 2016, "Norvane Foods Inc.", "NRVN"), (7, "Mellow of Inc", "Zed", 2016, "Mellow Inc", "MLW"),
+        (8, "surely NRVN", None, 2016, "Norvane Foods Inc.", "NRVN"),
+    ]
+    df = spark.createDataFrame(rows, "id int, r string, a string, y int, n string, t string")
+    got = {x.id: x for x in recall_labels(df, key="id", response="r", acquirer="a", year="y", name="n", ticker="t").collect()}
+    assert {k: x.label for k, x in got.items()} == {1: "SUCCESS", 2: "SUCCESS", 3: "UNKNOWN", 4: "UNKNOWN", 5: "UNKNOWN", 6: "FAILURE", 7: "PARTIAL", 8: "SUCCESS"}
+    assert got[2].n_others == 1 and got[6].n_others == 0 and got[1].score == 100 and 85 <= got[7].score <= 100 and got[6].score < 85
+    assert recall_labels(df.limit(0), key="id", response="r", acquirer="a", year="y", name="n", ticker="t").count() == 0

@@ -54,3 +54,18 @@ def test_layout_does_not_matter(spark, parts):
     df = spark.createDataFrame(rows, "k string, o int, v int").repartition(parts)
     best = {r.k: r.v for r in L.pick_last(df, ["k"], ["o"]).collect()}
     assert best == {k: max((o, v) for kk, o, v in rows if kk == k)[1] for k in "ab"}
+
+
+def test_small_operators(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("b", 1, "y"), (None, 3, "z"), ("c", 1, "x")], "k string, n int, v string")
+    assert L.drop_present(df, ["v", "none"]).columns == ["k", "n"]
+    assert [r.k for r in L.first_rows(df, ["n"], 3).collect()] == ["b", "c", "a"]
+    assert [tuple(r) for r in L.mapped(df, "k", {"a": "A", "c": "C"}, "s").orderBy("k").select("k", "s").collect()] == [("a", "A"), ("c", "C")]
+    right = spark.createDataFrame([("a", "pool", None), ("q", "other", 5)], "k string, name string, size int")
+    from pyspark.sql import functions as F
+
+    got = {r.k: (r.name, r.size, r.found) for r in L.looked_up(df, right, "k", {"name": F.col("v"), "size": F.col("n")}).collect()}
+    assert got == {"a": ("pool", None, True), "b": ("y", 1, False), None: ("z", 3, False), "c": ("x", 1, False)}
+    nexts = {r.k: r.after for r in L.next_in_order(df.where("k IS NOT NULL").repartition(3), "k", F.col("v"), "after").collect()}
+    assert nexts == {"a": "y", "b": "x", "c": None}
+    assert L.next_in_order(df.limit(0), "k", F.col("v"), "after").count() == 0

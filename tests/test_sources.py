@@ -99,3 +99,68 @@ def test_streaming_evaluator(spark, tmp_path):
     q.stop()
     r = spark.table("cells").first()
     assert (r.n, r.parse_rate, r.mrr) == (2, 0.5, 0.5)
+
+
+def test_sinks_and_snapshots(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'say "hi"\nthere', None), (2, None, 0.5)], "id int, t string, v double").coalesce(1)
+    S.write_csv(df, str(tmp_path / "csv"))
+    assert sorted(map(tuple, S.read_csv(spark, str(tmp_path / "csv"), "id int, t string, v double").collect())) == sorted(map(tuple, df.collect()))
+    S.write_json_array(df, str(tmp_path / "json"))
+    back = S.read_json_array(spark, str(tmp_path / "json"), "id int, t string, v double")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    S.write_json_array(df.limit(0).coalesce(1), str(tmp_path / "none"))
+    assert S.read_json_array(spark, str(tmp_path / "none"), "id int").count() == 0
+    steps = []
+    assert S.snapshot(S.snapshot(df, "read", steps).where("v IS NOT NULL"), "filtered", steps).count() == 1
+    assert steps == [{"step": "read", "rows": 2, "columns": 3}, {"step": "filtered", "rows": 1, "columns": 3}]
+    runs = spark.createDataFrame([("orrin-70b", "cot"), ("orrin-1b", "zeroshot")], "model_slug string, strategy string")
+    assert S.matching_runs(runs, model="70").count() == 1 and S.matching_runs(runs, model="orrin", strategy="zero").count() == 0 and S.matching_runs(runs).count() == 2
+
+
+def test_embedding_batches_with_retry(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path)
+
+    def embed(texts):
+        from pathlib import Path
+
+        assert len(texts) <= 2
+        if "bad" in texts:
+            raise ValueError("no vector")
+        mark = Path(folder) / f"tried-{texts[0]}"
+        if not mark.exists():  # the first call of each batch fails
+            mark.touch()
+            raise OSError("try again")
+        return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([(t,) for t in ("a", "bb", "ccc", "bad")], "text string").withColumn("text_sha1", F.sha1("text")).coalesce(1)
+    got = {r.text_sha1: r.vector for r in S.embedded(df, embed, batch=2, pause=0.01).collect()}
+    assert sorted(got.values(), key=repr) == [None, None, [1.0], [2.0]] or sorted(got.values(), key=repr) == sorted([[1.0], [2.0], None, None], key=repr)
+
+
+def test_provenance_matrix_and_probes(spark):
+    deals = spark.createDataFrame([("d1", "PROFILE", "Candidate #01 | Size: x | Description: secret\nCandidate #02 | Size: y")], "deal_id string, profile string, candidate_list string")
+    templates = {n: (f"system {n}", n + ": {acquirer_profile}\n{candidate_list}") for n in ("A_zeroshot", "A_cot", "A_fewshot", "B_zeroshot", "B_cot", "B_fewshot", "C_fewshot")}
+    m = P.prompt_matrix(deals, templates, ["m1", "m2"])
+    assert m.count() == 18
+    got = {(r.condition, r.strategy): r for r in m.where("model_key = 'm1'").collect()}
+    assert got["C", "cot"].prompt_user.startswith("B_cot: PROFILE") and "secret" not in got["C", "cot"].prompt_user and "secret" in got["B", "cot"].prompt_user and got["C", "fewshot"].prompt_system == "system C_fewshot"
+    r = P.provenance(m, model_id="x/y", corpus_hash=P.file_hash("/no/such/file"), route=["p1"], seed=7).first()
+    assert r.corpus_hash == "missing" and r.provider_route == ["p1"] and len(r.experiment_fingerprint) == 16 and r.sampling_seed == 7
+    assert P.provider_routing() == {} and P.provider_routing(["a"], False) == {"provider": {"order": ["a"], "allow_fallbacks": False}}
+    rows = spark.createDataFrame([("Acme", 2015, "d1")], "acquirer_name string, deal_year int, deal_id string")
+    asked = P.probe_prompts(rows, "recall").first()
+    assert "Acme" in asked.prompt_user and "2015" in asked.prompt_user and P.probe_prompts(rows, "item").first().prompt_user.endswith("d1::")
+
+
+def test_command_line(spark, capsys):
+    import pytest
+
+    from quarrylane import cli
+
+    assert cli.main(["list"]) == 0 and "leakage_gate" in capsys.readouterr().out
+    df = spark.createDataFrame([("B", "orrin_70b", "cot"), ("C", "orrin_1b", "cot")], "condition string, model_key string, strategy string")
+    assert cli.narrowed(df, "B", "70", None).count() == 1
+    with pytest.raises(ValueError, match="no column"):
+        cli.narrowed(df.drop("strategy"), None, None, "cot")
