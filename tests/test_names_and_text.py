@@ -117,7 +117,7 @@ def test_html_and_dotted_tickers(spark):
     assert [r.t for r in got] == ["Café ’n bar & grill", None, "plain"] and [r.h for r in got] == [True, False, True]
     c = lambda v: F.lit(v).cast("string")
     p = profile(c("Norvane Foods makes bread."), c(None), c("Norvane Foods Inc"), c("NRVN"), F.lit(2015), F.lit(12.5), F.lit(None).cast("double"))
-    r = spark.range(1).select(p.alias("p"), names_in(p, c("Norvane Foods Inc")).alias("leak"), names_in(c("by norvane itself"), c("Norvane (X:Y)")).alias("seen"), identity_profile(c("Norvane"), c(None), F.lit(2015), F.lit(1.0), F.lit(2.0)).alias("i")).first()
+    r = spark.range(1).select(p.alias("p")).select("p", names_in(F.col("p"), c("Norvane Foods Inc")).alias("leak"), names_in(c("by norvane itself"), c("Norvane (X:Y)")).alias("seen"), identity_profile(c("Norvane"), c(None), F.lit(2015), F.lit(1.0), F.lit(2.0)).alias("i")).first()
     assert "[ACQUIRER]" in r.p and "Norvane" not in r.p and "FY2014" in r.p and "Revenue $12.5M | EBITDA margin N/A%" in r.p and not r.leak and r.seen
     assert r.i.startswith("COMPANY: Norvane (N/A)\nFISCAL YEAR: FY2014")
 
