@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, write_once
 from ..sources.tables import table
 from .tokens import VOCABULARY, token_counts
 
@@ -68,10 +68,13 @@ def mix(records: DataFrame, targets: DataFrame, *, key: str = "doc_id", source:
     Sources are compared trimmed and in lower case. Records with a null source or one without a
     target are in no mix; null sizes count as 0; repeated records count each time. A target source
     without tokens stays empty, and the shares of the others keep their proportion. Empty tables
-    give no rows. The result depends on the rows and the seed, not on the layout.
+    give no rows. Two different targets of one source in a mix raise an error. The result depends on the rows and the seed, not on the layout.
     """
     plan = targets.select("mix_name", _source("source").alias("source"), "target_share", "max_repeats").na.drop().toPandas()
-    plan = plan[plan["target_share"] > 0].drop_duplicates(["mix_name", "source"])
+    plan = plan[plan["target_share"] > 0].drop_duplicates()
+    twice = plan[plan.duplicated(["mix_name", "source"])]
+    if len(twice):
+        raise ValueError(f"two targets for one source: {twice[['mix_name', 'source']].values.tolist()}")
     rows = records.select(F.col(key).alias("k"), _source(source).alias("source"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"))
     rows = rows.where(F.col("source").isin(sorted(set(plan["source"])))) if len(plan) else rows.where("false")
     held = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # at most a row for each target source
@@ -148,5 +151,29 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
-ORACLE: dict[str, str] = {}
+#: What must hold of every mix: shares within this of their targets and one longest record, as long as each source has tokens.
+NEAR = 0.01
+
+
+def p7_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """For each mix: records repeated too often, of a source that is no target, sources off their share (where all have tokens), and records in two rows."""
+    mixed, targets = _mixed(spark, root)
+    mixed = write_once(mixed)
+    wanted = targets.select("mix_name", _source("source").alias("source"), "target_share", "max_repeats").distinct()
+    rows = mixed.join(F.broadcast(wanted), ["mix_name", "source"], "left")
+    often = rows.groupBy("mix_name").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("n0"), F.count_if(F.col("max_repeats").isNull() | (F.col("repeats") < 1)).alias("n1"))
+    twice = mixed.groupBy("mix_name", "doc_id").agg(F.count("*").alias("n")).groupBy("mix_name").agg(F.count_if(F.col("n") > 1).alias("n3"))
+    got = mixed.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n"), F.max(F.col("n_tokens") * F.col("repeats")).alias("longest"))
+    total, longest = F.sum("n").over(W.partitionBy("mix_name")), F.max("longest").over(W.partitionBy("mix_name"))
+    share = wanted.join(got, ["mix_name", "source"], "left").withColumns({"total": total, "most": longest})
+    far = F.abs(F.col("n") - F.col("target_share") * F.col("total")) > NEAR * F.col("total") + F.col("most")
+    off = share.groupBy("mix_name").agg(F.when(F.count_if(F.col("n").isNull()) > 0, 0).otherwise(F.count_if(far)).alias("n2"))
+    out = wanted.select("mix_name").distinct().join(often, "mix_name", "left").join(off, "mix_name", "left").join(twice, "mix_name", "left")
+    names = ("repeated_too_often", "source_without_target", "share_off_target", "record_in_two_rows")
+    return out.select("mix_name", F.inline(F.array(*[F.struct(F.lit(x).alias("invariant"), F.coalesce(F.col(f"n{i}"), F.lit(0)).cast("long").alias("n_violations")) for i, x in enumerate(names)])))
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_invariants": p7_invariants}
+ORACLE = {
+    "p7_invariants": "SELECT DISTINCT mix_name, invariant, 0::BIGINT AS n_violations FROM mix_targets, (VALUES ('repeated_too_often'), ('source_without_target'), ('share_off_target'), ('record_in_two_rows')) t(invariant)"
+}

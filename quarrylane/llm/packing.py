@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, write_once
 from ..sources.tables import table
 from .tokens import VOCABULARY, token_counts
 
@@ -116,5 +116,33 @@ def p6_fill(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill}
-ORACLE: dict[str, str] = {}
+#: What must hold of every packing, with no exception.
+INVARIANTS = ("container_over_capacity", "item_cut_without_need", "item_in_two_places", "tokens_lost_or_doubled", "pieces_not_in_order")
+
+
+def violations(packed: DataFrame, items: DataFrame, specs: DataFrame, *, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """(pack_name, invariant, n_violations) for each spec and invariant, over the whole result; keys must be unique."""
+    cap = specs.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
+    over = packed.groupBy("pack_name", "shard", "container").agg(F.sum("n_tokens").alias("used")).join(F.broadcast(cap), "pack_name").groupBy("pack_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n0"))
+    n = F.coalesce(F.col(size).cast("long"), F.lit(0))
+    wanted = items.select(F.col(key).alias("k"), n.alias("n")).crossJoin(F.broadcast(cap))  # a handful of specs
+    got = packed.groupBy("pack_name", F.col(key).alias("k")).agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("sum"), F.count_distinct("first_token").alias("firsts"), F.min("first_token").alias("start"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    both = wanted.join(got, ["pack_name", "k"], "full")
+    whole = F.col("n") <= F.col("capacity")
+    bad = both.groupBy("pack_name").agg(
+        F.count_if(whole & (F.col("firsts") > 1)).alias("n1"), F.count_if(whole & (F.col("pieces") > 1)).alias("n2"), F.count_if(~F.col("n").eqNullSafe(F.col("sum"))).alias("n3"),
+        F.count_if((F.col("firsts") != F.col("pieces")) | (F.col("start") != 0) | (F.col("end") != F.col("n"))).alias("n4"),
+    )
+    rows = F.array(*[F.struct(F.lit(name).alias("invariant"), F.coalesce(F.col(f"n{i}"), F.lit(0)).alias("n_violations")) for i, name in enumerate(INVARIANTS)])
+    return cap.select("pack_name").join(over, "pack_name", "left").join(bad, "pack_name", "left").select("pack_name", F.inline(rows))
+
+
+def p6_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """What a packing must never do, counted over all documents and containers."""
+    items = write_once(token_counts(table(spark, root, "documents"), keep=["doc_id"], vocabulary=VOCABULARY))
+    specs = table(spark, root, "pack_specs")
+    return violations(write_once(pack(items, specs)), items, specs)
+
+
+QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p6_invariants": p6_invariants}
+ORACLE = {"p6_invariants": "SELECT DISTINCT pack_name, invariant, 0::BIGINT AS n_violations FROM pack_specs, (VALUES " + ", ".join(f"('{x}')" for x in INVARIANTS) + ") t(invariant)"}
