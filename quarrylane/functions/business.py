@@ -58,13 +58,18 @@ def size_bucket(millions: Column) -> Column:
 def sector(sic: Column) -> Column:
     """Sector of an industry code, given as a number or in brackets behind its name."""
     code = F.coalesce(F.nullif(F.regexp_extract(sic, r"\((\d+)\)", 1), F.lit("")).try_cast("int"), F.trim(sic).try_cast("double").try_cast("int"))
-    out = F.when(code.isNull(), UNKNOWN)
-    for name, ranges in SECTORS:
-        test = F.lit(False)
-        for low, high in ranges:
-            test = test | code.between(low, high)
-        out = out.when(test, name)
-    return out.otherwise("Other")
+
+    def named(c: Column) -> Column:
+        out = F.when(c.isNull(), UNKNOWN)
+        for name, ranges in SECTORS:
+            test = F.lit(False)
+            for low, high in ranges:
+                test = test | c.between(low, high)
+            out = out.when(test, name)
+        return out.otherwise("Other")
+
+    # the code is worked out once and named within a lambda, else each comparison would repeat the parsing
+    return F.get(F.transform(F.array(code), named), F.lit(0))
 
 
 def adjacent_sectors(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.business import ADJACENT, SECTORS, SIZE_LABELS, UNKNOWN
+from ..runtime import write_once
 
 N_CANDIDATES = 50
 #: Strata of a draw and how many items each gives: same sector, neighbouring sectors, other sectors.
@@ -52,14 +53,15 @@ def draw_candidates(targets: DataFrame, pool: DataFrame, *, quotas: dict[str, in
     on the rows alone. The target's own ticker is never drawn. pick counts from 1 in each stratum;
     stratum 'fill' tops up to ``total`` from all sizes. Deals with a null key give no rows.
     """
-    base = pool.select("ticker", "sector", "size", F.md5("ticker").alias("h"))
+    # tables that several steps read are written once: the pool, its lanes, the targets and what they drew
+    base = write_once(pool.select("ticker", "sector", "size", F.md5("ticker").alias("h")))
     placed = base.select("ticker", "h", F.explode(sector_strata(F.col("sector"))).alias("s"), size_windows(F.col("size")).alias("sizes"))
     placed = placed.select("ticker", "h", "s.target_sector", "s.stratum", F.explode("sizes").alias("target_size"))
     keys = ["target_sector", "target_size", "stratum"]
-    lanes = placed.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy("h", "ticker")) - 1)
+    lanes = write_once(placed.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy("h", "ticker")) - 1))
     sizes = lanes.groupBy(*keys).agg(F.max("pos").alias("last")).select(*keys, (F.col("last") + 1).alias("n"))
 
-    t = targets.where("deal_id IS NOT NULL").select("deal_id", F.col("ticker").alias("own"), F.col("sector").alias("target_sector"), F.col("size").alias("target_size"))
+    t = write_once(targets.where("deal_id IS NOT NULL").select("deal_id", F.col("ticker").alias("own"), F.col("sector").alias("target_sector"), F.col("size").alias("target_size")))
     wants = F.array(*[F.struct(F.lit(k).alias("stratum"), F.lit(q).alias("quota")) for k, q in quotas.items()])
     asked = t.select("*", F.explode(wants).alias("w")).select("deal_id", "own", "target_sector", "target_size", "w.stratum", "w.quota").join(F.broadcast(sizes), keys)
     start = md5_int(F.concat_ws("|", "deal_id", "stratum"))
@@ -69,7 +71,7 @@ def draw_candidates(targets: DataFrame, pool: DataFrame, *, quotas: dict[str, in
     asked = asked.withColumn("pos", F.pmod(F.col("start") + F.col("j"), F.col("n")).cast("int"))
     got = asked.join(lanes, [*keys, "pos"]).where("own IS NULL OR ticker <> own")
     in_stratum = F.row_number().over(W.partitionBy("deal_id", "stratum").orderBy("j"))
-    got = got.withColumn("pick", in_stratum).where("pick <= quota").select("deal_id", "ticker", "stratum", "pick")
+    got = write_once(got.withColumn("pick", in_stratum).where("pick <= quota").select("deal_id", "ticker", "stratum", "pick"))
 
     drawn = got.groupBy("deal_id").agg(F.count("*").alias("k"), F.collect_set("ticker").alias("used"))
     short = t.join(drawn, "deal_id", "left").select("deal_id", "own", (F.lit(total) - F.coalesce("k", F.lit(0))).alias("deficit"), F.coalesce("used", F.array().cast("array<string>")).alias("used")).where("deficit > 0")

@@ -58,10 +58,10 @@ def quota_report(spark: SparkSession, root: str) -> DataFrame:
 
 def built_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Numbered candidates of every deal, the target among them, each with the description known when the deal was announced."""
-    targets = _targets(spark, root).where("ticker IS NOT NULL")
+    targets = write_once(_targets(spark, root).where("ticker IS NOT NULL"))
     drawn = quota_sample(spark, root).join(targets.select("deal_id"), "deal_id", "left_semi").select("deal_id", "ticker", F.lit(False).alias("is_target"))
     items = C.number_candidates(drawn.unionByName(targets.select("deal_id", "ticker", F.lit(True).alias("is_target"))))
-    items = items.join(targets.select("deal_id", "announced_date"), "deal_id")
+    items = write_once(items.join(targets.select("deal_id", "announced_date"), "deal_id"))
     pool = table(spark, root, "pool").where(F.col("ciq_desc").rlike(r"(?U)\S")).withColumn("n_chars", F.length("ciq_desc").cast("long"))
     known = as_known_at(
         items, pool, entity=("ticker", "ticker"), event_time="announced_date", available=[("published_at", True), ("valid_from", False)],
