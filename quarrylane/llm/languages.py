@@ -59,8 +59,8 @@ _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SMALL = re.compile(r"(?<![^\W_])[^\W\d_A-Z][^\W\d_]*(?:['’][^\W\d_]+)?")
 #: A language is told from this many words on, at this mean advantage over the one expected, in nats a word.
 LEAST_WORDS, MARGIN = 4, 0.5
-#: Share of words that only the expected language's sample has, from which nothing else is looked at.
-SURE = 0.08
+#: Nothing else is looked at where words that only the expected language's sample has are so many times as many as those of any other.
+SURE = 8
 _SMOOTH = 0.3
 
 
@@ -84,8 +84,16 @@ class Profiles:
         own = {k: set(_WORDS.findall(t.lower())) for k, t in SAMPLES.items()}
         shared = Counter(w for words in own.values() for w in words)
         self.common = {k: frozenset(w for w in words if shared[w] == 1) for k, words in own.items()}
+        self.others = {k: frozenset().union(*(v for j, v in self.common.items() if j != k)) for k in own}
         self.held: OrderedDict[str, np.ndarray] = OrderedDict()
 
+    def sure(self, expected: str | None, words: list[str]) -> bool:
+        """Whether the words of the expected language outnumber all others' by far."""
+        if expected not in self.common:
+            return False
+        n = sum(map(self.common[expected].__contains__, words))
+        return n >= LEAST_WORDS and n >= SURE * sum(map(self.others[expected].__contains__, words))
+
     def word(self, w: str) -> np.ndarray:
         v = self.held.get(w)
         if v is None:
@@ -119,7 +127,7 @@ def language(text: str, expected: str | None = None, known_words: list[str] | No
     """
     p = profiles()
     # a text with the words that only the expected language has needs no further look
-    if known_words and expected in p.common and len(known_words) >= LEAST_WORDS and sum(map(p.common[expected].__contains__, known_words)) >= SURE * len(known_words):
+    if p.sure(expected, known_words or text.lower().split()):
         return expected
     if not text.isascii() and len(_NOT_LATIN.findall(text)) >= LEAST_WORDS:
         weights = {k: len(r.findall(text)) * (3 if k in ("zh", "ja", "ko") else 1) for k, r in _SCRIPTS.items()}
@@ -129,7 +137,7 @@ def language(text: str, expected: str | None = None, known_words: list[str] | No
     words = plain_words(text)
     if len(words) < LEAST_WORDS:
         return None
-    if expected in p.common and sum(map(p.common[expected].__contains__, words)) >= SURE * len(words):
+    if p.sure(expected, words):
         return expected
     s = p.scores(words)
     best = int(s.argmax())
