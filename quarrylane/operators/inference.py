@@ -31,7 +31,9 @@ def _gathered(units: DataFrame, keys: Sequence[str], order: str, values: Sequenc
     unit = F.struct(F.col(order).alias("o"), F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
     cells = units.groupBy(*keys).agg(F.array_sort(F.collect_list(unit)).alias("u")).select(*keys, F.transform("u", lambda x: x["v"]).alias("u"))
     spread = cells.select(*keys, "u", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    spread = spread.repartition(*keys, "block")
+    # a number given outright: few bytes make much work here, and adaptive execution would put them into one task
+    parts = max(BLOCKS, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = spread.repartition(parts, *keys, "block")
     mine = F.filter(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: b % BLOCKS == F.col("block"))
     n = F.size("u")
     digests = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda g: F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), g.cast("string"))))
