@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import write_once
 from .edit_keys import one_edit_keys
-from .qgram_bits import close_keys, dice, vector, with_vectors
+from .qgram_bits import dice, keys_within, vector, with_vectors
 
 #: Words of names that do not tell companies apart.
 LEGAL = frozenset(
@@ -265,7 +265,7 @@ def match_entities(left: DataFrame, right: DataFrame, known: DataFrame) -> DataF
         return pairs.select(F.col("ln").alias("left"), F.col("rn").alias("right")).distinct()
 
     words = "NOT startswith(key, '=')"  # initials must be equal
-    near = close_keys(lk, rk).where("left = right OR NOT startswith(left, '=')").select("left", "right").unionByName(one_edit_keys(lk.where(words), rk.where(words))).distinct()
+    near = keys_within(lk, rk).where("left = right OR NOT startswith(left, '=')").select("left", "right").unionByName(one_edit_keys(lk.where(words), rk.where(words))).distinct()
     pairs = through(near)
     scored = entities(write_once(_name_scores(pairs, names, names)))
     vague = (F.col("acronym") & (F.col("core") < 0.5) | ~F.col("rest_known") & F.col("figures").isNull()) & (F.coalesce("ticker", F.lit(0.0)) == 0)

@@ -35,6 +35,32 @@ def test_close_keys_are_all_found(spark):
         Q.close_keys(frame(words), frame(words), radius=12)
 
 
+def test_keys_within_leaves_no_pair_out(spark, monkeypatch):
+    """Pairs without a common end, too, whether the keys fit one task or not."""
+    rnd = random.Random(2)
+    words = sorted({core(rnd).lower() for _ in range(300)})
+    left = sorted({w[6:] + w[:6] for w in words[:80]} | {w[:2] + w[3:] for w in words[:40]} | {"a", "ab"})
+    bits = lambda a, b: ((Q.vector(a) ^ Q.vector(b)) & (1 << 64) - 1).bit_count()
+    want = sorted((a, b, bits(a, b)) for a in left for b in words if bits(a, b) <= Q.RADIUS)
+    assert sum(a[:2] != b[:2] and a[-2:] != b[-2:] for a, b, _ in want) > 10
+    frame = lambda x: Q.with_vectors(spark.createDataFrame([(w,) for w in x] + [(None,)], "key string"), "key")
+    a, b = frame(left), frame(words)
+    assert sorted(tuple(r) for r in Q.keys_within(a, b).collect()) == want
+    monkeypatch.setattr(Q, "PART", 50)
+    assert sorted(tuple(r) for r in Q.keys_within(a, b).collect()) == want
+    assert Q.keys_within(a.limit(0), b).count() == Q.keys_within(a, b.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        Q.keys_within(a, b, radius=12)
+
+
+def test_names_without_a_common_end_are_met(spark):
+    """The two keys are 10 bits apart, but neither their first nor their last two letters agree."""
+    left = spark.createDataFrame([("t:BGSK", "Begrusko", "BGSK", 2011, 5000.0)], "group string, name string, ticker string, year int, figure double")
+    right = spark.createDataFrame([("e1", "Gruskobre (NYSE: BGSK)", 2011, 5000.0), ("e2", "Talvexmor", 2011, 5000.0)], "entity string, name string, year int, figure double")
+    best = M.match_entities(left, right, spark.createDataFrame([], "group string, entity string"))
+    assert [(r.group, r.entity, r.confidence >= M.MATCH) for r in best.collect()] == [("t:BGSK", "e1", True)]
+
+
 def test_every_single_edit_is_met(spark):
     """Whatever the length of the key and the kind of edit, the two searches together meet it."""
     from quarrylane.llm.edit_keys import one_edit_keys
