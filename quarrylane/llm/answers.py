@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
@@ -116,11 +117,16 @@ def refusal_weights() -> np.ndarray:
     return b
 
 
+def _more(pattern: re.Pattern, text: str, n: int) -> bool:
+    """Whether the pattern is found more than ``n`` times; looks no further than that."""
+    return next(islice(pattern.finditer(text), n, None), None) is not None
+
+
 def is_refusal(text: str, prompt: str | None = None) -> bool:
     """Declines, and names or orders nothing: an excuse in front of an answer is none.
 
     Names that the prompt has are no answer. Texts with two list items or a filled list are never a refusal.
     """
-    if _FILLED.search(text) or len(_REFERENCE.findall(text)) > 2 or len(_ITEM.findall(text)) > 1:
+    if _FILLED.search(text) or _more(_REFERENCE, text, 2) or _more(_ITEM, text, 1):
         return False
     return bool(_OTHER_TONGUES.search(text)) or float(refusal_features(text, prompt) @ refusal_weights()) > 0

@@ -84,15 +84,16 @@ class Profiles:
         own = {k: set(_WORDS.findall(t.lower())) for k, t in SAMPLES.items()}
         shared = Counter(w for words in own.values() for w in words)
         self.common = {k: frozenset(w for w in words if shared[w] == 1) for k, words in own.items()}
-        self.others = {k: frozenset().union(*(v for j, v in self.common.items() if j != k)) for k in own}
+        self.telling = frozenset().union(*self.common.values())  # each is a word of one language only
         self.held: OrderedDict[str, np.ndarray] = OrderedDict()
 
     def sure(self, expected: str | None, words: list[str]) -> bool:
         """Whether the words of the expected language outnumber all others' by far."""
         if expected not in self.common:
             return False
-        n = sum(map(self.common[expected].__contains__, words))
-        return n >= LEAST_WORDS and n >= SURE * sum(map(self.others[expected].__contains__, words))
+        told = list(filter(self.telling.__contains__, words))
+        n = sum(map(self.common[expected].__contains__, told))
+        return n >= LEAST_WORDS and n >= SURE * (len(told) - n)
 
     def word(self, w: str) -> np.ndarray:
         v = self.held.get(w)
