@@ -38,3 +38,13 @@ def test_swapped_core_with_other_second_word(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     rows = M.match_entities(frame(left, "group string, name string, ticker string, year int, figure double"), frame(right, "entity string, name string, year int, figure double"), none)
     assert {r.group: r.entity for r in rows.where(F.col("confidence") >= M.MATCH).collect()} == {f"t:{i}": f"e{i}" for i in range(len(cores))}
+
+
+def test_no_search_is_broadcast(spark):
+    """A small table of keys has many more forms than Spark reckons with; none of them is gathered on the driver."""
+    from quarrylane.llm.qgram_bits import keys_within, with_vectors
+
+    keys = with_vectors(spark.createDataFrame([("bresko",), ("talvex",)], "key string"), "key")
+    for met in (E.one_edit_keys(keys, keys), keys_within(keys, keys)):
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Exchange" in plan
