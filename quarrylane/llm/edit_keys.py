@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 
 def _forms(keys: DataFrame, name: str) -> DataFrame:
     """name, form, and the place and letter taken out; place 0 is the whole key."""
@@ -26,7 +28,7 @@ def one_edit_keys(left: DataFrame, right: DataFrame) -> DataFrame:
     Both sides hold distinct keys; null and empty keys pair with none.
     """
     # forms are many times larger than the keys that Spark's estimate goes by: never collected on the driver for a broadcast
-    met = _forms(left, "left").hint("merge").join(_forms(right, "right").hint("merge"), "form").where(F.col("left") != F.col("right"))
+    met = spread(_forms(left, "left")).join(_forms(right, "right"), "form").where(F.col("left") != F.col("right"))
     whole = (F.col("left_at") == 0) | (F.col("right_at") == 0)
     replaced = F.col("left_at") == F.col("right_at")
     swapped = (F.abs(F.col("left_at") - F.col("right_at")) == 1) & (F.col("left_letter") == F.col("right_letter"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, spread
 from ..sources.tables import table
 from .matching import MATCH, match_entities, reliability, slip
 
@@ -39,9 +39,9 @@ def sides(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFra
     # the ticker most often given with a name stands for those a slip away from it, and for a missing one if it is the only one
     seen = d.where("ticker IS NOT NULL AND n IS NOT NULL").groupBy("n", "ticker").agg(F.count("*").alias("c"))
     main = seen.groupBy("n").agg(F.max_by("ticker", F.struct("c", "ticker")).alias("main"))
-    seen = seen.join(main, "n").withColumn("same", slip("ticker", "main"))
+    seen = seen.join(spread(main), "n").withColumn("same", slip("ticker", "main"))
     one = seen.groupBy("n").agg(F.first("main").alias("main"), F.bool_and("same").alias("only"))
-    d = d.join(one, "n", "left")
+    d = d.join(spread(one), "n", "left")
     d = d.withColumn("ticker", F.when(F.col("ticker").isNull(), F.when(F.col("only"), F.col("main"))).when(slip("ticker", "main"), F.col("main")).otherwise(F.col("ticker")))
     group = F.coalesce(F.concat(F.lit("t:"), "ticker"), F.concat(F.lit("n:"), "n"))
     d = cut_lineage(d.select("deal_id", "hf_match", "hf_cik", "acquirer_name", "ticker", "year", "figure", group.alias("group")).where("group IS NOT NULL"))
@@ -61,7 +61,7 @@ def p1_matches(spark: SparkSession, root: str) -> DataFrame:
     deals, left, right, known = sides(spark, root)
     best = match_entities(left, right, known)
     ours = deals.where(~F.col("hf_match")).select("deal_id", "group").distinct()
-    out = ours.join(best, "group").select("deal_id", F.col("entity").alias("hf_cik"), "score", "confidence")
+    out = ours.join(spread(best), "group").select("deal_id", F.col("entity").alias("hf_cik"), "score", "confidence")
     first = W.partitionBy("deal_id").orderBy(F.desc("confidence"), "hf_cik")
     return out.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 

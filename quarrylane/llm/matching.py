@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import write_once
+from ..runtime import spread, write_once
 from .edit_keys import one_edit_keys
 from .qgram_bits import dice, keys_within, vector, with_vectors
 
@@ -145,12 +145,12 @@ def _keys(names: DataFrame) -> DataFrame:
     """Add ``rare`` (words that may be its core) and ``keys`` to distinct names with ``words``."""
     words = names.select("name", F.explode(F.array_distinct("words")).alias("w"))
     df = words.groupBy("w").agg(F.count("*").alias("df"))
-    per_name = words.join(df, "w").groupBy("name").agg(F.collect_list(F.struct("df", "w")).alias("d"))
+    per_name = spread(words).join(df, "w").groupBy("name").agg(F.collect_list(F.struct("df", "w")).alias("d"))
     least = F.array_min(F.transform("d", lambda x: x["df"]))
     within = lambda times: F.transform(F.filter("d", lambda x: (x["df"] <= times * least) & (F.length(x["w"]) >= 2)), lambda x: x["w"])
     per_name = per_name.select("name", within(RARE).alias("rare"), within(1).alias("rarest"))
     none = F.array().cast("array<string>")
-    out = names.join(per_name, "name", "left").withColumns({"rare": F.coalesce("rare", none), "rarest": F.coalesce("rarest", none)})
+    out = names.join(spread(per_name), "name", "left").withColumns({"rare": F.coalesce("rare", none), "rarest": F.coalesce("rarest", none)})
     pairs = F.expr("transform(sequence(1, greatest(size(words) - 1, 1)), i -> concat_ws('', slice(words, i, 2)))")
     begun = F.expr("transform(sequence(1, greatest(size(words) - 1, 1)), i -> IF(i < size(words), concat(words[i - 1], left(words[i], 1)), ''))")
     # a name of a few letters is met by names that have these initials; the mark keeps both apart from words
@@ -176,7 +176,7 @@ def _name_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
     """core, rest, rest_known, acronym for distinct (left, right) pairs of names."""
     l = left.select(F.col("name").alias("left"), F.col("words").alias("lw"), F.col("rare").alias("lr"), F.col("forms").alias("lf"))  # noqa: E741
     r = right.select(F.col("name").alias("right"), F.col("words").alias("rw"), F.col("rare").alias("rr"), F.col("initials").alias("ri"), F.col("forms").alias("rf"))
-    rows = pairs.join(l, "left").join(r, "right")
+    rows = pairs.join(spread(l), "left").join(spread(r), "right")
     same = F.size(F.array_intersect("lf", "rf")) * 2.0 / F.greatest(F.size("lf") + F.size("rf"), F.lit(1))
     rows = rows.withColumn("forms", same).drop("lf", "rf")
 
@@ -223,7 +223,7 @@ def match_entities(left: DataFrame, right: DataFrame, known: DataFrame) -> DataF
     sides = write_once(l_names.select(F.lit("l").alias("side"), F.col("group").alias("of"), "name").unionByName(r_names.select(F.lit("r").alias("side"), F.col("entity").alias("of"), "name")))
     l_names, r_names = sides.where("side = 'l'").select(F.col("of").alias("group"), "name"), sides.where("side = 'r'").select(F.col("of").alias("entity"), "name")
     sided = sides.groupBy("name").agg(F.max((F.col("side") == "l").cast("int")).alias("l"), F.max((F.col("side") == "r").cast("int")).alias("r"))
-    names = write_once(_keys(_parsed(sides.select("name"))).join(sided, "name"))
+    names = write_once(_keys(_parsed(sides.select("name"))).join(spread(sided), "name"))
     ln, rn = names.where("l = 1"), names.where("r = 1")
     # on the left only names of a few letters stand for initials, on the right only names of several words have them
     one = F.size("words") == 1
@@ -237,19 +237,19 @@ def match_entities(left: DataFrame, right: DataFrame, known: DataFrame) -> DataF
     l_fig = left.where("year IS NOT NULL AND figure > 0").groupBy("group", "year").agg(F.avg("figure").alias("lf"))
     r_fig = right.where("year IS NOT NULL AND figure > 0").groupBy("entity", "year").agg(F.max("figure").alias("rf"))
     l_tick = left.where("ticker IS NOT NULL").select("group", F.col("ticker").alias("lt")).distinct()
-    r_tick = rn.where("listed IS NOT NULL").select("name", "listed").join(r_names, "name").select("entity", F.col("listed").alias("rt")).distinct()
+    r_tick = rn.where("listed IS NOT NULL").select("name", "listed").join(spread(r_names), "name").select("entity", F.col("listed").alias("rt")).distinct()
 
     def entities(name_pairs: DataFrame) -> DataFrame:
         """Scores of (group, entity) for pairs of names."""
-        s = name_pairs.join(l_names.withColumnRenamed("name", "left"), "left").join(r_names.withColumnRenamed("name", "right"), "right")
+        s = name_pairs.join(spread(l_names.withColumnRenamed("name", "left")), "left").join(spread(r_names.withColumnRenamed("name", "right")), "right")
         quality = F.struct((F.col("core") * 4 + F.when(F.col("rest_known"), F.col("rest") * 2).otherwise(1.2)).alias("q"), "forms", "core", "rest", "rest_known")
         s = s.groupBy("group", "entity").agg(F.max(quality).alias("b"), F.max("acronym").alias("acronym"))
         s = s.select("group", "entity", "b.core", "b.rest", "b.rest_known", "b.forms", "acronym")
         ratio = F.greatest(F.col("lf") / F.col("rf"), F.col("rf") / F.col("lf"))
-        fig = s.select("group", "entity").join(l_fig, "group").join(r_fig, ["entity", "year"]).groupBy("group", "entity")
+        fig = s.select("group", "entity").join(spread(l_fig), "group").join(spread(r_fig), ["entity", "year"]).groupBy("group", "entity")
         fig = fig.agg(F.avg((ratio <= AGREE).cast("double")).alias("figures"), F.count_if(ratio <= AGREE).alias("n_figures"))
-        tick = s.select("group", "entity").join(l_tick, "group").join(r_tick, "entity").groupBy("group", "entity").agg(F.max(slip("lt", "rt").cast("double")).alias("ticker"))
-        s = s.join(fig, ["group", "entity"], "left").join(tick, ["group", "entity"], "left")
+        tick = s.select("group", "entity").join(spread(l_tick), "group").join(spread(r_tick), "entity").groupBy("group", "entity").agg(F.max(slip("lt", "rt").cast("double")).alias("ticker"))
+        s = s.join(spread(fig), ["group", "entity"], "left").join(spread(tick), ["group", "entity"], "left")
         w = {k: F.lit(v) for k, v in WEIGHTS.items()}
         zero = F.lit(0.0)
         core = F.when(F.col("acronym") & (F.col("core") < 0.5), INITIALS).otherwise(F.col("core"))
@@ -261,11 +261,12 @@ def match_entities(left: DataFrame, right: DataFrame, known: DataFrame) -> DataF
         return s.withColumn("score", score)
 
     def through(key_pairs: DataFrame) -> DataFrame:
-        pairs = key_pairs.join(l_of.withColumnRenamed("name", "ln"), "left").join(r_of.withColumnRenamed("name", "rn"), "right")
+        pairs = key_pairs.join(spread(l_of.withColumnRenamed("name", "ln")), "left").join(spread(r_of.withColumnRenamed("name", "rn")), "right")
         return pairs.select(F.col("ln").alias("left"), F.col("rn").alias("right")).distinct()
 
     words = "NOT startswith(key, '=')"  # initials must be equal
-    near = keys_within(lk, rk).where("left = right OR NOT startswith(left, '=')").select("left", "right").unionByName(one_edit_keys(lk.where(words), rk.where(words))).distinct()
+    # what both searches give stays twice here, since the pairs of names are made distinct
+    near = keys_within(lk, rk).where("left = right OR NOT startswith(left, '=')").select("left", "right").unionByName(one_edit_keys(lk.where(words), rk.where(words)))
     pairs = through(near)
     scored = entities(write_once(_name_scores(pairs, names, names)))
     vague = (F.col("acronym") & (F.col("core") < 0.5) | ~F.col("rest_known") & F.col("figures").isNull()) & (F.coalesce("ticker", F.lit(0.0)) == 0)
@@ -274,7 +275,7 @@ def match_entities(left: DataFrame, right: DataFrame, known: DataFrame) -> DataF
     ranked = scored.withColumn("vague", vague).withColumn("rivals", F.count_if(F.col("score") > 0.7).over(by_group))
     ranked = ranked.withColumn("score", F.when(F.col("vague") & (F.col("rivals") > 1), F.least("score", F.lit(0.5))).otherwise(F.col("score")))
     truth = known.where("group IS NOT NULL AND entity IS NOT NULL").groupBy("group").agg(F.min("entity").alias("__true"), F.count_distinct("entity").alias("__n"))
-    ranked = ranked.join(truth, "group", "left")
+    ranked = ranked.join(spread(truth), "group", "left")
     is_true = F.coalesce(F.col("entity") == F.col("__true"), F.lit(False))
     first = lambda c: F.max_by(F.struct("entity", "score", "forms", "core"), c)
     best = ranked.withColumn("o", F.struct("score", F.coalesce("n_figures", F.lit(0)).alias("n"), "forms", "core", (-F.conv(F.substring(F.md5("entity"), 1, 15), 16, 10).cast("long")).alias("e")))
@@ -292,7 +293,8 @@ def known_scores(best: DataFrame) -> DataFrame:
 
 def calibrate(best: DataFrame) -> tuple[float, float]:
     """Slope and offset of the confidence curve, from at most FIT_PAIRS scores of groups chosen by hash; the score itself about one half if no entity is known."""
-    told = known_scores(best).orderBy(F.xxhash64("group"), "y").limit(FIT_PAIRS).toPandas()
+    # chosen on the executors: collecting the ordered limit at once would bring that many rows of every task to the driver
+    told = write_once(known_scores(best).orderBy(F.xxhash64("group"), "y").limit(FIT_PAIRS)).toPandas()
     if not len(told):
         return 10.0, -7.5
     return fit_logistic(told["score"].to_numpy(dtype=float), told["y"].to_numpy(dtype=float), np.full(len(told), 1.0 / len(told)), ridge=1e-5)

@@ -29,6 +29,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the input: the join is never a broadcast through the driver.
+
+    Spark's estimate does not count what an explode, a join or a Python function adds, so a side that it
+    takes for small enough can be many times larger.
+    """
+    return df.hint("merge")
+
+
 def write_once(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read from there, so that each use reads only its columns.
 

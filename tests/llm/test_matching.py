@@ -168,3 +168,35 @@ def test_logistic():
 def test_slip(spark):
     df = spark.createDataFrame([("ABCD", "ABCD"), ("ABCD", "ABDC"), ("ABCD", "ABCCD"), ("ABCD", "WXYZ"), ("ABCD", None)], "a string, b string")
     assert [r[0] for r in df.select(M.slip("a", "b")).collect()] == [True, True, True, False, None]
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """First plans of all that the matching writes or checkpoints, in order."""
+    from quarrylane.llm import filers
+
+    seen = []
+    for module, name in ((M, "write_once"), (filers, "cut_lineage")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, real=real: (seen.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    return seen
+
+
+def test_nothing_that_grows_is_broadcast(spark, plans):
+    """Whatever Spark takes the sides of a join for, none of them is gathered on the driver."""
+    from quarrylane.llm.filers import p1_found
+
+    found = p1_found(spark, "/root/testdata/sf0.001")
+    assert found.count() > 5
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) >= 5
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_pairs_of_the_fit_are_chosen_before_they_are_collected(spark, plans, monkeypatch):
+    """Each task's largest rows are merged on an executor; the driver gets FIT_PAIRS rows, not that many of every task."""
+    monkeypatch.setattr(M, "FIT_PAIRS", 40)
+    best = spark.range(400, numPartitions=8).select(F.concat(F.lit("t:"), "id").alias("group"), F.lit(1).alias("n_true"), (0.5 + F.col("id") / 1000).alias("true_score"), (F.col("id") / 1000).alias("other_score"))
+    told = M.known_scores(best).orderBy(F.xxhash64("group"), "y").limit(40).toPandas()
+    assert M.calibrate(best) == pytest.approx(M.fit_logistic(told["score"].to_numpy(), told["y"].to_numpy(), np.full(40, 1 / 40), ridge=1e-5))
+    assert len(plans) == 1 and "TakeOrdered" in plans[0]
